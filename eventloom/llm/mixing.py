@@ -153,22 +153,26 @@ def rate_of(moves: list[list[float]], start: float) -> Column:
 
 
 @carry("doc_id", "text")
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET, keep_text: bool = True) -> DataFrame:
     """docs with n_tokens, p_toxic, p_low, p_high and rate: how often each document should be read, so that the expected token
     totals of the domains come to budget x all tokens x target, as near as rates of 0 or more allow.
 
     Targets must be 0 or more and sum to 1. A null or empty text has no tokens and the posterior of a text without known words. With
     no labels every document has even posteriors. Rows are documents of their own, repeated ones too; labels of one id count as their
-    greatest; a null label counts as 0. Extra columns are carried; an empty table gives no rows.
+    greatest; a null label counts as 0. Unless keep_text, the text is left out, and posteriors are computed once. Extra columns are carried; an empty table gives no rows.
     """
     if any(v < 0 for v in targets.values()) or abs(sum(targets.values()) - 1) > 1e-6 or set(targets) - set(DOMAINS):
         raise ValueError(f"targets must be shares of {DOMAINS} that sum to 1")
     model = fit(docs, labels)
+    if not keep_text:
+        scored = materialize(posteriors(docs, model).drop("text"))
+        moves, _, _ = rates(scored.where("n_tokens > 0"), targets, budget)
+        return scored.withColumn("rate", rate_of(moves, budget))
     slim = materialize(posteriors(docs.select("text"), model).drop("text").where("n_tokens > 0"))
     moves, _, _ = rates(slim, targets, budget)
     return posteriors(docs, model).withColumn("rate", rate_of(moves, budget))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    out = mix(docs.select("doc_id", "text"), labels)
+    out = mix(docs.select("doc_id", "text"), labels, keep_text=False)
     return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("p_toxic", "p_low", "p_high", "rate")])
