@@ -1,11 +1,550 @@
-"""The queries of this library and their SQL."""
+"""The queries of this library over the common tables, each with DuckDB SQL of the same result where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from eventloom.functions.patterns import from_start, kept, match_ids
+from eventloom.functions.tables import ordinal, table
+from eventloom.operators import counting, graph, lookup, overlay, paths, ranges, segments
+from eventloom.plans import performance
+from eventloom.sources import events as sources
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+HEADER = "SELECT *, CAST(day(ts) AS BIGINT) AS run, CAST(hour(ts) AS BIGINT) AS subrun, event_id + 1 AS event FROM events"
+
+
+def query(sql: str | None = None) -> Callable:
+    def put(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def header(spark: SparkSession, d: str) -> DataFrame:
+    return sources.headers(table(spark, d, "events"))
+
+
+# Sources
+
+
+@query("""SELECT 1 + i // 70 AS run, (i % 70) // 20 AS subrun, 1 + (i % 70) % 20 AS event FROM range(5000) t(i)""")
+def id_closed_form(spark, d):
+    return sources.generated(spark, 5000, events_in_run=70, events_in_subrun=20)
+
+
+@query("""SELECT 1 + i // 70 AS run, (i % 70) // 20 AS subrun, 1 + i % 70 AS event FROM range(100, 1100) t(i)""")
+def id_continuing(spark, d):
+    return sources.generated(spark, 1000, events_in_run=70, events_in_subrun=20, reset_event_on_subrun=False, skip=100)
+
+
+@query(f"""WITH h AS ({HEADER}) SELECT run, subrun, event FROM h WHERE run > 3 OR run = 3 AND (subrun > 5 OR subrun = 5 AND event >= 10) ORDER BY event_id LIMIT 500 OFFSET 20""")
+def estart_skip_limit(spark, d):
+    return header(spark, d).where(from_start("3 : 5 : 10")).orderBy("event_id").offset(20).limit(500).select("run", "subrun", "event")
+
+
+@query(f"""WITH h AS ({HEADER}) SELECT 'Run' AS level, run, CAST(NULL AS BIGINT) AS subrun, CAST(NULL AS BIGINT) AS event FROM h GROUP BY run
+UNION ALL SELECT 'SubRun', run, subrun, NULL FROM h GROUP BY run, subrun""")
+def processing_mode(spark, d):
+    return sources.levels(header(spark, d), "RunsAndSubRuns")
+
+
+@query(f"""WITH h AS ({HEADER}) SELECT DISTINCT h.run, h.subrun FROM h JOIN h x ON x.run = h.run AND x.subrun = h.subrun AND x.event_type = 'error'""")
+def nonempty_subruns(spark, d):
+    h = header(spark, d)
+    return sources.handled_levels(h.select("run", "subrun").distinct(), h.where("event_type = 'error'"), ["run", "subrun"], empty=False)
+
+
+ITEMS = """SELECT user_id % 4 AS file, event_id AS pos, CASE WHEN event_id % 50 < 4 THEN 'r' WHEN event_id % 10 < 4 THEN 's' ELSE 'e' END AS kind, event_id // 7 AS number FROM events WHERE user_id % 4 < 4"""
+
+
+@query(f"""WITH i AS ({ITEMS}), g AS (SELECT *, sum((kind = 'r')::INT) OVER (ORDER BY file, pos) AS g FROM i)
+SELECT CAST(file AS BIGINT) AS file, pos, kind, last_value(CASE WHEN kind = 'r' THEN number END IGNORE NULLS) OVER (ORDER BY file, pos) AS run,
+last_value(CASE WHEN kind = 's' THEN number END IGNORE NULLS) OVER (PARTITION BY g ORDER BY file, pos) AS subrun, CASE WHEN kind = 'e' THEN number END AS event FROM g""")
+def forward_fill(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_id") % 50 < 4, "r").when(F.col("event_id") % 10 < 4, "s").otherwise("e")
+    items = e.select((F.col("user_id") % 4).alias("file"), F.col("event_id").alias("pos"), kind.alias("kind"), F.floor(F.col("event_id") / 7).alias("number"))
+    return sources.forward_filled(items).select("file", "pos", "kind", "run", "subrun", "event")
+
+
+BROKEN = "SELECT user_id % 5 AS file, event_id AS pos, value, (event_id * 7) % 11 AS run, user_id % 3 AS subrun, event_id % 97 AS event FROM events"
+
+
+@query(f"""WITH h AS ({BROKEN}), n AS (SELECT *, coalesce(lag(run) OVER w <> run, true) OR coalesce(lag(subrun) OVER w <> subrun, true) AS new FROM h WINDOW w AS (PARTITION BY file ORDER BY pos)),
+m AS (SELECT *, new AND sum(new::INT) OVER (PARTITION BY file, run, subrun ORDER BY pos) > 1 AS again, row_number() OVER (PARTITION BY file, run, subrun, event ORDER BY pos) > 1 AS twice FROM n)
+SELECT file, pos, 'invalid_id' AS rule FROM m WHERE run = 0 OR event = 0 UNION ALL SELECT file, pos, 'repeated_subrun' FROM m WHERE again UNION ALL SELECT file, pos, 'repeated_event' FROM m WHERE twice""")
+def integrity_violations(spark, d):
+    e = table(spark, d, "events")
+    h = e.select((F.col("user_id") % 5).alias("file"), F.col("event_id").alias("pos"), (F.col("event_id") * 7 % 11).alias("run"), (F.col("user_id") % 3).alias("subrun"), (F.col("event_id") % 97).alias("event"))
+    return sources.integrity_violations(h, "file", "pos")
+
+
+# Filters
+
+
+@query(f"""WITH h AS ({HEADER}), n AS (SELECT *, row_number() OVER (ORDER BY event_id) AS c FROM h WHERE value > 20) SELECT run, subrun, event FROM n WHERE c % 7 = 3""")
+def prescale(spark, d):
+    return counting.prescale(header(spark, d), ["event_id"], 7, 3, visited=F.col("value") > 20).select("run", "subrun", "event")
+
+
+@query(f"""WITH h AS ({HEADER}), n AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS c FROM h) SELECT run, subrun, event FROM n WHERE c >= 11 AND (c - 11) % 10 < 4""")
+def block_prescale(spark, d):
+    return counting.block_prescale(header(spark, d), ["event_id"], 10, 4, 11).select("run", "subrun", "event")
+
+
+@query("""SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) AS place FROM events""")
+def global_ordinal(spark, d):
+    return ordinal(table(spark, d, "events").select("event_id", "value"), [F.desc("value"), "event_id"], "place").select("event_id", "place")
+
+
+@query(f"""WITH h AS ({HEADER}) SELECT run, subrun, event, event_type FROM h WHERE run = 3 AND subrun BETWEEN 2 AND 5 OR run IN (7, 9) AND subrun = 1 OR (event BETWEEN 100 AND 130)""")
+def event_id_filter(spark, d):
+    return header(spark, d).where(match_ids(["3:2-5:*", "7,9:1:*", "*:*:100-130"])).select("run", "subrun", "event", "event_type")
+
+
+PATHS = ["hi", "buy", "err", "odd"]
+
+
+def _paths() -> dict[str, list[paths.Entry]]:
+    v, t, u = F.col("value"), F.col("event_type"), F.col("user_id")
+    category = F.when(t == "error", F.when(u % 3 == 0, "Broken").when(u % 3 == 1, "Skip").otherwise("Minor"))
+    return {
+        "hi": [paths.Entry("large", v > 50), paths.Entry("even", u % 2 == 0)],
+        "buy": [paths.Entry("purchase", t == "purchase")],
+        "err": [paths.Entry("small", v > 90, "!"), paths.Entry("check", u % 5 != 0, error=category), paths.Entry("seven", u % 7 < 5)],
+        "odd": [paths.Entry("anything", v < 0, "-"), paths.Entry("odd", u % 2 == 0, "!")],
+    }
+
+
+POLICY = {"Broken": "FailPath", "Skip": "SkipEvent", "Minor": "FailModule"}
+STATES = f"""WITH h AS ({HEADER}), o AS (SELECT *,
+  CASE WHEN event_type <> 'error' THEN CASE WHEN user_id % 5 <> 0 THEN 'pass' ELSE 'fail' END WHEN user_id % 3 = 0 THEN 'failpath' WHEN user_id % 3 = 1 THEN 'exc' ELSE 'pass' END AS c FROM h),
+s AS (SELECT *, CASE WHEN value > 50 AND user_id % 2 = 0 THEN 'Pass' ELSE 'Fail' END AS st_hi,
+  CASE WHEN event_type = 'purchase' THEN 'Pass' ELSE 'Fail' END AS st_buy,
+  CASE WHEN value > 90 THEN 'Fail' WHEN c = 'exc' THEN 'Exception' WHEN c <> 'pass' THEN 'Fail' WHEN user_id % 7 < 5 THEN 'Pass' ELSE 'Fail' END AS st_err,
+  CASE WHEN value > 90 THEN 1 WHEN c = 'exc' THEN 1 WHEN c <> 'pass' THEN 2 ELSE 3 END AS ix_err,
+  CASE WHEN user_id % 2 = 0 THEN 'Fail' ELSE 'Pass' END AS st_odd FROM o)"""
+
+
+def states(spark: SparkSession, d: str) -> DataFrame:
+    return paths.run_paths(header(spark, d), _paths(), POLICY)
+
+
+def _selected(spark, d, **spec) -> DataFrame:
+    return states(spark, d).where(paths.wanted(PATHS, **spec)).select("run", "subrun", "event")
+
+
+def _select_sql(where: str) -> str:
+    return f"{STATES} SELECT run, subrun, event FROM s WHERE {where}"
+
+
+@query(f"""{STATES} SELECT event, st_hi, st_buy, st_err, CAST(ix_err AS BIGINT) AS ix_err, st_odd FROM s""")
+def path_states(spark, d):
+    return states(spark, d).select("event", "st_hi", "st_buy", "st_err", "ix_err", "st_odd")
+
+
+@query(" UNION ALL ".join(f"""({STATES} SELECT CAST({k} AS BIGINT) AS path_id, '{p}' AS path, count(*) AS n_run, count_if(st_{p} = 'Pass')::BIGINT AS n_passed, count_if(st_{p} = 'Fail')::BIGINT AS n_failed, count_if(st_{p} = 'Exception')::BIGINT AS n_error FROM s)""" for k, p in enumerate(PATHS)))
+def trigger_report(spark, d):
+    return paths.path_report(states(spark, d), PATHS)
+
+
+@query(f"""{STATES} SELECT 'err' AS path, place, label, v AS n_visited, p AS n_passed, f AS n_failed, x AS n_error FROM (
+SELECT CAST(0 AS BIGINT) AS place, 'small' AS label, count(*) AS v, count_if(value <= 90)::BIGINT AS p, count_if(value > 90)::BIGINT AS f, CAST(0 AS BIGINT) AS x FROM s
+UNION ALL SELECT 1, 'check', count_if(value <= 90)::BIGINT, count_if(value <= 90 AND c = 'pass')::BIGINT, count_if(value <= 90 AND c IN ('fail', 'failpath'))::BIGINT, count_if(value <= 90 AND c = 'exc')::BIGINT FROM s
+UNION ALL SELECT 2, 'seven', count_if(value <= 90 AND c = 'pass')::BIGINT, count_if(value <= 90 AND c = 'pass' AND user_id % 7 < 5)::BIGINT, count_if(value <= 90 AND c = 'pass' AND user_id % 7 >= 5)::BIGINT, 0 FROM s)""")
+def module_report(spark, d):
+    p = {"err": _paths()["err"]}
+    return paths.module_report(paths.run_paths(header(spark, d), p, POLICY), p)
+
+
+@query(f"""{STATES} SELECT count(*) AS n_events, count_if(st_hi = 'Pass' OR st_buy = 'Pass')::BIGINT AS n_passed, count_if(NOT (st_hi = 'Pass' OR st_buy = 'Pass'))::BIGINT AS n_failed FROM s""")
+def event_totals(spark, d):
+    return paths.event_totals(states(spark, d), ["hi", "buy"])
+
+
+@query(_select_sql("st_hi = 'Pass' OR st_buy = 'Pass'"))
+def event_select_positive(spark, d):
+    return _selected(spark, d, select=["hi", "b?y"])
+
+
+@query(_select_sql("st_hi = 'Fail' AND st_buy = 'Fail' AND st_err = 'Fail' AND st_odd = 'Fail'"))
+def event_select_negglob(spark, d):
+    return _selected(spark, d, select=["!*"])
+
+
+@query(_select_sql("st_hi = 'Pass' AND st_err <> 'Exception'"))
+def event_select_noexception(spark, d):
+    return _selected(spark, d, select=["hi & noexception"])
+
+
+@query(_select_sql("st_err = 'Exception' OR st_buy = 'Fail' AND st_err <> 'Exception'"))
+def event_select_exception(spark, d):
+    return _selected(spark, d, select=["exception@*", "!buy&noexception"])
+
+
+@query(_select_sql("st_hi = 'Pass' AND NOT st_buy = 'Pass'"))
+def select_reject(spark, d):
+    return _selected(spark, d, select=["hi"], reject=["buy"])
+
+
+@query(_select_sql("user_id % 2 <> 0"))
+def path_veto_ignore(spark, d):
+    return states(spark, d).where("st_odd = 'Pass'").select("run", "subrun", "event")
+
+
+# Product catalog: parts stand in for products
+
+
+CATALOG = """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Track' WHEN 1 THEN 'Hit' ELSE 'std::Hit' END AS friendly_class, 'mod' || chr(CAST(65 + p_size % 5 AS INT)) AS module_label,
+CASE WHEN p_size % 2 = 0 THEN '' ELSE 'i' || p_size % 3 END AS instance, ['EARLY', 'LATE', 'NOW'][CAST(p_partkey % 7 % 3 AS INT) + 1] AS process, ['Event', 'SubRun', 'Run', 'Results'][CAST(p_partkey % 4 AS INT) + 1] AS level,
+p_partkey % 11 = 0 AS transient, p_partkey % 13 = 0 AS dropped, p_partkey % 7 % 3 AS process_seq, CASE WHEN p_partkey % 7 % 3 = 2 THEN 'produced' ELSE 'present' END AS origin, p_partkey % 17 <> 0 AS available, 0 AS tier, p_partkey % 150 AS event FROM part"""
+
+
+def catalog(spark: SparkSession, d: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    seq = k % 7 % 3
+    return table(spark, d, "part").select(
+        "p_partkey", F.when(k % 3 == 0, "Track").when(k % 3 == 1, "Hit").otherwise("std::Hit").alias("friendly_class"),
+        F.concat(F.lit("mod"), F.char(65 + s % 5)).alias("module_label"), F.when(s % 2 == 0, "").otherwise(F.concat(F.lit("i"), s % 3)).alias("instance"),
+        F.element_at(F.array(*map(F.lit, ["EARLY", "LATE", "NOW"])), (seq + 1).cast("int")).alias("process"),
+        F.element_at(F.array(*map(F.lit, ["Event", "SubRun", "Run", "Results"])), (k % 4 + 1).cast("int")).alias("level"),
+        (k % 11 == 0).alias("transient"), (k % 13 == 0).alias("dropped"), seq.alias("process_seq"), F.when(seq == 2, "produced").otherwise("present").alias("origin"),
+        (k % 17 != 0).alias("available"), F.lit(0).alias("tier"), (k % 150).alias("event"),
+    )
+
+
+@query(f"""WITH c AS ({CATALOG}) SELECT p_partkey, (CASE WHEN module_label = 'modB' AND level = 'Run' THEN true WHEN regexp_full_match(friendly_class, '.*Hit') AND process = 'LATE' THEN false ELSE true END) AND NOT transient AND NOT dropped AS kept FROM c""")
+def keep_drop_catalog(spark, d):
+    return catalog(spark, d).select("p_partkey", kept(["keep *", "drop *Hit_*_*_LATE", "keep *_modB_*_* inRun"]).alias("kept"))
+
+
+LOOKUP = "module_label IN ('modA', 'modC') AND instance = ''"
+
+
+@query(f"""WITH c AS ({CATALOG}), v AS (SELECT * FROM c WHERE {LOOKUP} AND available AND NOT dropped AND (origin <> 'produced' OR module_label = 'modA')),
+r AS (SELECT *, max(process_seq) OVER (PARTITION BY event, module_label, friendly_class, p_partkey) AS m FROM v) SELECT event, module_label, p_partkey, process FROM r WHERE process_seq = m""")
+def product_lookup_latest_process(spark, d):
+    c = catalog(spark, d)
+    sel = lookup.tag_list(["modA", "modC"]) & lookup.instance_name("")
+    return lookup.resolve(c, sel, ["event", "module_label", "friendly_class", "p_partkey"], ["modA"]).select("event", "module_label", "p_partkey", "process")
+
+
+@query(f"""WITH c AS ({CATALOG}), g AS (SELECT event, module_label, process_seq, max(process) AS process, min(p_partkey) AS p_partkey FROM c WHERE available AND NOT dropped GROUP BY ALL),
+r AS (SELECT *, rank() OVER (PARTITION BY event, module_label ORDER BY process_seq DESC) AS r FROM g) SELECT event, module_label, process, p_partkey FROM r WHERE r = 1""")
+def product_lookup_by_label(spark, d):
+    c = catalog(spark, d).where("available AND NOT dropped").groupBy("event", "module_label", "process_seq").agg(F.max("process").alias("process"), F.min("p_partkey").alias("p_partkey"))
+    c = c.withColumns({"tier": F.lit(0), "available": F.lit(True), "dropped": F.lit(False), "origin": F.lit("present")})
+    return lookup.resolve(c, F.lit(True), ["event", "module_label"]).select("event", "module_label", "process", "p_partkey")
+
+
+@query(f"""WITH c AS ({CATALOG}) SELECT event, p_partkey, row_number() OVER (PARTITION BY event ORDER BY process_seq DESC, module_label, instance, p_partkey) AS place FROM c WHERE friendly_class = 'Track' AND available AND NOT dropped""")
+def get_many(spark, d):
+    c = catalog(spark, d).withColumn("instance", F.concat("instance", F.lpad(F.col("p_partkey").cast("string"), 0, "")))
+    c = c.withColumn("instance", F.struct("instance", "p_partkey"))
+    return lookup.get_many(c, F.col("friendly_class") == "Track", ["event"]).select("event", "p_partkey", "place")
+
+
+ITEMS_SQL = """SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INT) AS pos, l_partkey FROM lineitem"""
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
+@query(f"""{ITEMS_SQL}""")
+def view_explode(spark, d):
+    return lookup.view(_items(spark, d), "items", ["l_orderkey"]).select("l_orderkey", "pos", F.col("element.l_partkey").alias("l_partkey"))
+
+
+@query(f"""WITH i AS ({ITEMS_SQL}), p AS (SELECT o_orderkey, o_orderkey % 3 AS key FROM orders) SELECT o_orderkey, CAST(p.key AS INT) AS key, l_partkey FROM p LEFT JOIN i ON i.l_orderkey = o_orderkey AND i.pos = p.key""")
+def ptr_deref(spark, d):
+    elements = lookup.view(_items(spark, d), "items", ["l_orderkey"]).select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1).alias("product_id"), F.col("pos").alias("key"), F.col("element.l_partkey").alias("l_partkey"))
+    pointers = table(spark, d, "orders").select("o_orderkey", F.lit(1).alias("product_id"), (F.col("o_orderkey") % 3).cast("int").alias("key"))
+    return lookup.follow(pointers, elements, ["o_orderkey"]).select("o_orderkey", "key", "l_partkey")
+
+
+@query("""SELECT DISTINCT l_suppkey AS "left", l_partkey AS "right" FROM lineitem""")
+def assns_partner(spark, d):
+    return lookup.partner(table(spark, d, "lineitem").select(F.col("l_partkey").alias("left"), F.col("l_suppkey").alias("right")).distinct())
+
+
+@query("""SELECT o_orderkey, o_orderdate, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def parent_access(spark, d):
+    o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select("o_orderkey", "o_orderdate", "c_name", "n_name")
+
+
+# Ranges and sums
+
+
+@query(f"""WITH h AS ({HEADER}), e AS (SELECT DISTINCT run, subrun, event FROM h WHERE event % 9 <> 0), g AS (SELECT *, event - row_number() OVER (PARTITION BY run, subrun ORDER BY event) AS g FROM e)
+SELECT run, subrun, min(event) AS begin, max(event) + 1 AS "end" FROM g GROUP BY run, subrun, g""")
+def islands_ranges(spark, d):
+    return ranges.islands(header(spark, d).where("event % 9 <> 0")).select("run", "subrun", "begin", "end")
+
+
+@query(f"""WITH h AS ({HEADER}) SELECT run, subrun, min(event) AS begin, max(event) + 1 AS "end" FROM h GROUP BY run, subrun""")
+def ranges_merged(spark, d):
+    h = header(spark, d)
+    return ranges.merged(ranges.islands(h.where("event % 2 = 0")).unionByName(ranges.islands(h.where("event % 2 = 1")))).select("run", "subrun", "begin", "end")
+
+
+@query(f"""WITH h AS ({HEADER}), r AS (SELECT run, subrun, min(event) AS b, max(event) + 1 AS e FROM h GROUP BY run, subrun),
+c AS (SELECT *, CASE WHEN run < 5 OR run = 5 AND subrun < 7 THEN e WHEN run = 5 AND subrun = 7 THEN least(e, greatest(b, 1501)) ELSE b END AS m FROM r)
+SELECT run, subrun, 0 AS part, b AS begin, m AS "end" FROM c WHERE b < m UNION ALL SELECT run, subrun, 1, m, e FROM c WHERE m < e""")
+def split_ranges(spark, d):
+    return ranges.split_at(ranges.merged(ranges.islands(header(spark, d))), 5, 7, 1500)
+
+
+FRAGMENTS = f"""SELECT event_type AS kind, run, subrun, min(event) AS b, max(event) + 1 AS e, sum(value) AS v FROM ({HEADER}) GROUP BY ALL"""
+
+
+@query(f"""WITH f AS ({FRAGMENTS}) SELECT kind, run, round(sum(v), 4) AS total, CAST(sum(e - b) AS BIGINT) AS n_events FROM f GROUP BY kind, run""")
+def overlap_guard_sum(spark, d):
+    f = header(spark, d).groupBy(F.col("event_type").alias("kind"), "run", "subrun").agg(F.min("event").alias("begin"), (F.max("event") + 1).alias("end"), F.sum("value").alias("v"))
+    twice = f.unionByName(f.where("run % 2 = 0"))  # a fragment that comes twice counts once
+    return ranges.guarded_sum(twice, ["kind"], "v").withColumn("total", F.round("total", 4))
+
+
+@query("""SELECT o_orderstatus, list_transform([sum(o_orderkey % 5), sum(o_orderkey % 7), sum(o_custkey % 3)], lambda x: CAST(x AS BIGINT)) AS v FROM orders GROUP BY o_orderstatus""")
+def array_sum(spark, d):
+    o = table(spark, d, "orders").select("o_orderstatus", F.array(F.col("o_orderkey") % 5, F.col("o_orderkey") % 7, F.col("o_custkey") % 3).alias("v"))
+    return ranges.sum_arrays(o, ["o_orderstatus"], "v")
+
+
+# Output files
+
+
+SEGMENTS = f"WITH h AS ({HEADER}), s AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 700 AS segment FROM h)"
+
+
+@query(f"{SEGMENTS} SELECT event, segment FROM s")
+def segment_by_max_events(spark, d):
+    return segments.by_events(header(spark, d), ["event_id"], 700).select("event", "segment")
+
+
+@query(f"""{SEGMENTS} SELECT segment, count(*) AS n_events, min(run) AS lowest_run, max(run) AS highest_run, arg_min(subrun, event_id) AS lowest_subrun, arg_max(subrun, event_id) AS highest_subrun,
+min(event) AS lowest_event, max(event) AS highest_event, count(DISTINCT (run, subrun)) AS n_subruns FROM s GROUP BY segment""")
+def file_stats(spark, d):
+    return segments.file_stats(segments.by_events(header(spark, d), ["event_id"], 700))
+
+
+@query(f"""{SEGMENTS} SELECT segment, round(sum(value), 4) AS total, count_if(event_type = 'error')::BIGINT AS n_errors FROM s GROUP BY segment""")
+def results_per_segment(spark, d):
+    s = segments.by_events(header(spark, d), ["event_id"], 700)
+    return segments.results(s, {"total": F.round(F.sum("value"), 4), "n_errors": F.count_if(F.col("event_type") == "error").cast("long")})
+
+
+@query(f"""WITH RECURSIVE h AS ({HEADER}), g AS (SELECT run, subrun, count(*) AS n, row_number() OVER (ORDER BY run, subrun) AS k FROM h GROUP BY run, subrun),
+r AS (SELECT k, 0 AS segment, n AS acc FROM g WHERE k = 1 UNION ALL SELECT g.k, CASE WHEN r.acc >= 300 THEN r.segment + 1 ELSE r.segment END, CASE WHEN r.acc >= 300 THEN g.n ELSE r.acc + g.n END FROM r JOIN g ON g.k = r.k + 1)
+SELECT run, subrun, CAST(segment AS BIGINT) AS segment FROM r JOIN g USING (k)""")
+def segment_by_subrun_granularity(spark, d):
+    return segments.by_criteria(header(spark, d), "SubRun", max_events=300).select("run", "subrun", "segment").distinct()
+
+
+@query(f"""{SEGMENTS}, l AS (SELECT DISTINCT segment, run, subrun FROM s) SELECT segment, run, subrun, row_number() OVER (PARTITION BY run, subrun ORDER BY segment) > 1 AS is_repeat FROM l""")
+def level_carry_over(spark, d):
+    return segments.carry_over(segments.by_events(header(spark, d), ["event_id"], 700), ["run", "subrun"])
+
+
+# Mixing
+
+
+@query("""WITH p AS (SELECT event_id, event_id % 4 AS n, sum(event_id % 4) OVER (ORDER BY event_id) - event_id % 4 AS at_ FROM events)
+SELECT event_id, (at_ + 17 + unnest(range(0, n))) % (SELECT count(*) FROM part) AS entry FROM p""")
+def mix_sequential(spark, d):
+    size = table(spark, d, "part").count()
+    return overlay.consecutive(table(spark, d, "events").select("event_id"), ["event_id"], F.col("event_id") % 4, size, 17, wrap=True)
+
+
+@query()
+def mix_with_replacement(spark, d):
+    return overlay.with_replacement(table(spark, d, "events").select("event_id"), "event_id", 3, 1000, seed=5)
+
+
+@query()
+def mix_distinct(spark, d):
+    return overlay.distinct_within(table(spark, d, "events").select("event_id"), "event_id", 4, 1000, seed=5)
+
+
+@query()
+def mix_without_replacement(spark, d):
+    events = table(spark, d, "events")
+    second = overlay.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", seed=9)
+    primaries = events.where("event_id % 3 = 0").select("event_id")
+    dealt = overlay.consecutive(primaries, ["event_id"], F.lit(2), second.count())
+    return dealt.join(second, "entry").select("event_id", "entry", "o_orderkey")
+
+
+LISTS = """WITH i AS (SELECT l_orderkey // 5 AS g, l_orderkey % 5 AS k, list(l_partkey ORDER BY l_partkey, l_suppkey) AS xs FROM lineitem GROUP BY ALL),
+p AS (SELECT g, k, xs, sum(len(xs)) OVER (PARTITION BY g ORDER BY k) - len(xs) AS off FROM i WHERE k <> 2)"""
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    g, k = F.floor(F.col("l_orderkey") / 5).alias("g"), (F.col("l_orderkey") % 5).alias("k")
+    each = table(spark, d, "lineitem").groupBy(g, k).agg(F.array_sort(F.collect_list("l_partkey")).alias("xs"))
+    each = each.withColumn("xs", F.when(F.col("k") != 2, F.col("xs")))
+    return each.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "xs"))), lambda s: s["xs"]).alias("xs"))
+
+
+@query(f"""{LISTS} SELECT g, flatten(list(xs ORDER BY k)) AS flat, list(CAST(off AS INT) ORDER BY k) AS offsets FROM p GROUP BY g""")
+def flatten_offsets(spark, d):
+    return _lists(spark, d).where(F.exists("xs", lambda x: x.isNotNull())).select("g", overlay.flattened(F.col("xs")).alias("flat"), overlay.offsets(F.col("xs")).alias("offsets"))
+
+
+@query(f"""{LISTS} SELECT g, k, CAST(off AS BIGINT) AS key, CAST(42 AS INT) AS product_id FROM p WHERE len(xs) > 0""")
+def ptr_remap(spark, d):
+    xs = _lists(spark, d).select("g", F.filter(F.transform("xs", lambda x, i: F.struct(i.alias("k"), x.alias("x"))), lambda s: s["x"].isNotNull()).alias("ps"), overlay.offsets(F.col("xs")).alias("off"))
+    each = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 5).alias("g"), (F.col("l_orderkey") % 5).alias("k")).distinct().where("k <> 2")
+    place = F.row_number().over(_by("g", "k")) - 1
+    each = each.withColumn("n", place).join(xs.select("g", "off"), "g")
+    pointers = F.array(F.struct(F.lit(7).alias("product_id"), F.lit(0).alias("key")))
+    return each.select("g", "k", F.inline(overlay.remapped(pointers, F.get("off", F.col("n")), F.lit(42)))).select("g", "k", F.col("key").cast("long").alias("key"), "product_id")
+
+
+def _by(part: str, order: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(part).orderBy(order)
+
+
+# Provenance and dependencies
+
+
+EDGES = """SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
+UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders"""
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for t, a, k, b, p in (("nation", "n", "n_nationkey", "r", "n_regionkey"), ("customer", "c", "c_custkey", "n", "c_nationkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("orders", "o", "o_orderkey", "c", "o_custkey")):
+        e = table(spark, d, t).select(F.concat(F.lit(a), F.col(k)).alias("child"), F.concat(F.lit(b), F.col(p)).alias("parent"))
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+@query(f"""WITH RECURSIVE e AS ({EDGES}), c AS (SELECT child, parent AS ancestor FROM e UNION SELECT c.child, e.parent FROM c JOIN e ON e.child = c.ancestor) SELECT * FROM c""")
+def prov_closure(spark, d):
+    return graph.ancestors(_edges(spark, d)).select("child", "ancestor")
+
+
+@query(f"""WITH RECURSIVE e AS ({EDGES}), c AS (SELECT child, parent AS ancestor FROM e UNION SELECT c.child, e.parent FROM c JOIN e ON e.child = c.ancestor),
+k AS (SELECT 'n' || n_nationkey AS id FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer UNION ALL SELECT 'r' || r_regionkey FROM region WHERE r_regionkey <> 2) SELECT child, ancestor FROM c WHERE ancestor NOT IN (SELECT id FROM k)""")
+def prov_missing(spark, d):
+    have = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"))
+    have = have.unionByName(table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"))).unionByName(table(spark, d, "region").where("r_regionkey <> 2").select(F.concat(F.lit("r"), "r_regionkey").alias("id")))
+    return graph.missing(graph.ancestors(_edges(spark, d)), have, "id")
+
+
+@query(f"""SELECT DISTINCT parent, child FROM ({EDGES})""")
+def parent_child_map(spark, d):
+    return graph.children(_edges(spark, d))
+
+
+PLACES = "SELECT 'p' || p_partkey AS label, 'path' || p_partkey % 20 AS path, p_partkey // 20 AS pos FROM part"
+NEEDS = f"""WITH l AS ({PLACES}), n AS (SELECT 'p' || p_partkey AS label, 'p' || (p_partkey * 3 + p_size) % (SELECT count(*) FROM part) AS on_ FROM part),
+d AS (SELECT l.path, l.label, l.pos, on_, h.pos AS on_pos FROM n JOIN l USING (label) LEFT JOIN l h ON h.label = on_ AND h.path = l.path WHERE on_ IN (SELECT label FROM l))"""
+
+
+def _deps(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    k, n = F.col("p_partkey"), part.count()
+    places = part.select(F.concat(F.lit("p"), k).alias("label"), F.concat(F.lit("path"), k % 20).alias("path"), F.floor(k / 20).alias("pos"))
+    consumes = part.select(F.concat(F.lit("p"), k).alias("label"), F.concat(F.lit("p"), (k * 3 + F.col("p_size")) % n).alias("from_label"), F.lit("any").alias("class"))
+    produces = part.select(F.concat(F.lit("p"), k).alias("label"), F.lit("any").alias("class"))
+    return graph.dependencies(consumes, produces, places)
+
+
+@query(f"""{NEEDS} SELECT path, label, on_ AS "on" FROM d WHERE on_pos IS NULL""")
+def cross_path_violations(spark, d):
+    return graph.cross_path(_deps(spark, d))
+
+
+@query(f"""{NEEDS} SELECT path, label, on_ AS "on", label = on_ AS itself FROM d WHERE on_pos >= pos""")
+def order_violations(spark, d):
+    return graph.out_of_order(_deps(spark, d))
+
+
+# Time and memory tables
+
+
+PERF = """WITH h AS (SELECT CAST(day(ts) AS BIGINT) AS Run, CAST(hour(ts) AS BIGINT) AS SubRun, event_id + 1 AS Event, event_type, user_id, round(value, 3) AS v FROM events),
+TimeSource AS (SELECT Run, SubRun, Event, 'Reader' AS Source, round(v / 10, 3) AS Time FROM h), TimeEvent AS (SELECT Run, SubRun, Event, v AS Time FROM h),
+TimeModule AS (SELECT Run, SubRun, Event, event_type AS Path, 'm' || user_id % 5 AS ModuleLabel, CASE WHEN user_id % 3 = 0 THEN 'Out(WRITE)' WHEN user_id % 3 = 1 THEN 'Filter' ELSE 'Out(write)' END AS ModuleType, v AS Time FROM h),
+EventInfo AS (SELECT 'PreProcessEvent' AS Step, Run, SubRun, Event, v AS RSS, 2 * v AS Vsize FROM h UNION ALL SELECT 'PostProcessEvent', Run, SubRun, Event, round(v * (1 + Event % 7 / 10.0) - 1, 3), round(v * 2.5, 3) FROM h WHERE Event % 11 <> 0),
+ModuleInfo AS (SELECT 'PreProcessModule' AS Step, Run, SubRun, Event, Path, ModuleLabel, ModuleType, Time AS RSS, 2 * Time AS Vsize FROM TimeModule UNION ALL
+  SELECT 'PostProcessModule', Run, SubRun, Event, Path, ModuleLabel, ModuleType, round(Time * (1 + Event % 7 / 10.0) - 1, 0), round(Time * 2.5, 0) FROM TimeModule),
+Full_ AS (SELECT Run, SubRun, Event, sum(Time) AS FullTime FROM (SELECT Run, SubRun, Event, Time FROM TimeEvent UNION SELECT Run, SubRun, Event, Time FROM TimeModule WHERE ModuleType ILIKE '%(write)' UNION SELECT Run, SubRun, Event, Time FROM TimeSource) GROUP BY ALL)"""
+
+
+class Perf:
+    def __init__(self, spark: SparkSession, d: str):
+        h = header(spark, d).select(F.col("run").alias("Run"), F.col("subrun").alias("SubRun"), F.col("event").alias("Event"), "event_type", "user_id", F.round("value", 3).alias("v"))
+        u = F.col("user_id")
+        kind = F.when(u % 3 == 0, "Out(WRITE)").when(u % 3 == 1, "Filter").otherwise("Out(write)")
+        ids = ["Run", "SubRun", "Event"]
+        self.source = h.select(*ids, F.lit("Reader").alias("Source"), F.round(F.col("v") / 10, 3).alias("Time"))
+        self.event = h.select(*ids, F.col("v").alias("Time"))
+        self.module = h.select(*ids, F.col("event_type").alias("Path"), F.concat(F.lit("m"), u % 5).alias("ModuleLabel"), kind.alias("ModuleType"), F.col("v").alias("Time"))
+        grown = lambda c, digits: F.round(F.col(c) * (1 + F.col("Event") % 7 / F.lit(10.0)) - 1, digits)
+        pre = h.select(F.lit("PreProcessEvent").alias("Step"), *ids, F.col("v").alias("RSS"), (2 * F.col("v")).alias("Vsize"))
+        self.event_info = pre.unionByName(h.where("Event % 11 <> 0").select(F.lit("PostProcessEvent").alias("Step"), *ids, grown("v", 3).alias("RSS"), F.round(F.col("v") * 2.5, 3).alias("Vsize")))
+        m = ["Path", "ModuleLabel", "ModuleType"]
+        pre = self.module.select(F.lit("PreProcessModule").alias("Step"), *ids, *m, F.col("Time").alias("RSS"), (2 * F.col("Time")).alias("Vsize"))
+        self.module_info = pre.unionByName(self.module.select(F.lit("PostProcessModule").alias("Step"), *ids, *m, grown("Time", 0).alias("RSS"), F.round(F.col("Time") * 2.5, 0).alias("Vsize")))
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 4).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
+def perf_query(name: str, sql: str, f: Callable[[Perf], DataFrame]) -> None:
+    _QUERIES[name] = lambda spark, d: rounded(f(Perf(spark, d)))
+    _SQL[name] = f"{PERF} {sql}"
+
+
+_TIMES = "round(min({0}), 4) AS min_s, round(avg({0}), 4) AS avg_s, round(max({0}), 4) AS max_s, count(*) AS n"
+_DELTA = "SELECT a.Run, a.SubRun, a.Event, b.{0} - a.{0} AS Delta FROM EventInfo a JOIN EventInfo b USING (Run, SubRun, Event) WHERE a.Step = 'PreProcessEvent' AND b.Step = 'PostProcessEvent'"
+_MDELTA = "SELECT Path, ModuleLabel, ModuleType, Run, SubRun, Event, b.{0} - a.{0} AS Delta FROM ModuleInfo a JOIN ModuleInfo b USING (Path, ModuleLabel, ModuleType, Run, SubRun, Event) WHERE a.Step = 'PreProcessModule' AND b.Step = 'PostProcessModule'"
+_TOP = "SELECT Path, ModuleLabel, ModuleType, Run, SubRun, Event, round({0}, 4) AS {0} FROM (SELECT *, rank() OVER (PARTITION BY Path, ModuleLabel ORDER BY {0} DESC) AS r FROM {1}) WHERE r <= 3 AND {0} > 0"
+_POST = "(SELECT * FROM ModuleInfo WHERE Step = 'PostProcessModule')"
+
+perf_query("q01_event_summary", f"SELECT 'Full Event' AS label, {_TIMES.format('FullTime')} FROM Full_", lambda p: performance.event_summary(p.source, p.event, p.module))
+perf_query("q02_max_events", "SELECT Run, SubRun, Event, round(FullTime, 4) AS FullTime FROM (SELECT * FROM Full_ ORDER BY FullTime DESC, Run, SubRun, Event LIMIT 5)", lambda p: performance.slowest_events(p.source, p.event, p.module))
+perf_query("q03_module_summary", f"SELECT Path, ModuleLabel, ModuleType, {_TIMES.format('Time')} FROM TimeModule GROUP BY ALL", lambda p: performance.module_summary(p.module))
+perf_query("q04_read_summary", f"SELECT min(Source) AS Source, {_TIMES.format('Time')} FROM TimeSource", lambda p: performance.read_summary(p.source))
+for _n, _v in (("q05_max_delta_rss_events", "RSS"), ("q06_max_delta_vsize_events", "Vsize")):
+    perf_query(_n, f"SELECT Run, SubRun, Event, round(Delta, 4) AS Delta FROM ({_DELTA.format(_v)}) ORDER BY Delta DESC, Run, SubRun, Event LIMIT 5", lambda p, v=_v: performance.top_event_deltas(p.event_info, v))
+for _n, _v in (("q07_max_delta_rss_modules", "RSS"), ("q08_max_delta_vsize_modules", "Vsize")):
+    perf_query(_n, _TOP.format("Delta", f"({_MDELTA.format(_v)})"), lambda p, v=_v: performance.top_module_deltas(p.module_info, v))
+for _n, _v in (("q09_max_rss_events", "RSS"), ("q10_max_vsize_events", "Vsize")):
+    perf_query(_n, f"SELECT Run, SubRun, Event, round({_v}, 4) AS {_v} FROM EventInfo WHERE Step = 'PostProcessEvent' ORDER BY {_v} DESC, Run, SubRun, Event LIMIT 5", lambda p, v=_v: performance.top_events(p.event_info, v))
+for _n, _v in (("q11_max_rss_modules", "RSS"), ("q12_max_vsize_modules", "Vsize")):
+    perf_query(_n, _TOP.format(_v, _POST), lambda p, v=_v: performance.top_module_values(p.module_info, v))
+perf_query("q13_peak_summary", "SELECT 'Peak virtual memory (MB)' AS Description, round(max(Vsize), 4) AS Value FROM EventInfo UNION ALL SELECT 'Peak resident set size (MB)', round(max(RSS), 4) FROM EventInfo", lambda p: performance.peak_usage(p.event_info).select("Description", "Value"))
+perf_query("time_statistics", "SELECT Path, ModuleLabel, ModuleType, round(min(Time), 4) AS min_v, round(avg(Time), 4) AS mean_v, round(max(Time), 4) AS max_v, round(median(Time), 4) AS median_v, round(sqrt(avg(Time * Time)), 4) AS rms_v, round(stddev_pop(Time), 4) AS sd_v, count(*) AS n FROM TimeModule GROUP BY ALL", lambda p: performance.statistics(p.module, ["Path", "ModuleLabel", "ModuleType"], "Time"))
+perf_query("full_event_times", "SELECT Run, SubRun, Event, round(FullTime, 4) AS FullTime FROM Full_", lambda p: performance.full_events(p.source, p.event, p.module))
+
+
+@query(f"""WITH c AS ({CATALOG}) SELECT process, level, count(*) AS n_total, count_if(available)::BIGINT AS n_present, count_if(NOT available)::BIGINT AS n_missing FROM c GROUP BY ALL""")
+def product_listing(spark, d):
+    c = catalog(spark, d)
+    return c.groupBy("process", "level").agg(F.count("*").alias("n_total"), F.count_if("available").cast("long").alias("n_present"), F.count_if(~F.col("available")).cast("long").alias("n_missing"))
