@@ -369,7 +369,7 @@ def level_carry_over(spark, d):
 
 
 @query("""WITH p AS (SELECT event_id, event_id % 4 AS n, sum(event_id % 4) OVER (ORDER BY event_id) - event_id % 4 AS at_ FROM events)
-SELECT event_id, (at_ + 17 + unnest(range(0, n))) % (SELECT count(*) FROM part) AS entry FROM p""")
+SELECT event_id, CAST((at_ + 17 + unnest(range(0, n))) % (SELECT count(*) FROM part) AS BIGINT) AS entry FROM p""")
 def mix_sequential(spark, d):
     size = table(spark, d, "part").count()
     return overlay.consecutive(table(spark, d, "events").select("event_id"), ["event_id"], F.col("event_id") % 4, size, 17, wrap=True)
