@@ -91,7 +91,10 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     df = df.withColumn("n_words_left", F.when(F.size("_found") > 0, F.size(words_of(F.col("clean_text"))).cast("long")).otherwise(F.col("n_words")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (F.size("_found") > 0) & ((F.col("n_words_left") < min_words) | (F.col("n_words_left") < min_kept_share * F.col("n_words")))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_words", "_lines", "_host", "_over", "_found")
+    # A filter on the verdict must stop here: pushed further down, it would repeat the nested expressions below over and over.
+    df = df.withColumns({"base_failed": failed, "_stop": F.monotonically_increasing_id()})
+    df = df.withColumn("kept", (F.col("_stop") >= 0) & ~F.col("base_failed") & ~depleted)
+    return df.drop("_words", "_lines", "_host", "_over", "_found", "_stop")
 
 
 DIGEST = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
