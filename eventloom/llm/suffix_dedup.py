@@ -286,8 +286,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> D
         keyed = keyed.withColumn("_k_rid", F.lit(0).cast("long"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     single = keyed if ids.n == ids.ids else keyed.dropDuplicates(["_k_id", "_k_rid"])
-    splits = splitters(single, length, 4 * parts, ids.n)
-    rows = suffixes(single, length, splits).repartition(parts, "bucket").sortWithinPartitions("bucket", "h", "c", "_k_id", "_k_rid", "start")
+    splits = splitters(single, length, parts, ids.n)
+    rows = suffixes(single, length, splits).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "h", "c", "_k_id", "_k_rid", "start")
     marks = materialize(decided(rows))
     full = marks.where("kind = 1").select("_k_id", "_k_rid", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (length - 1)).cast("int").alias("hi"))
     open_ = marks.where("kind = 2")
