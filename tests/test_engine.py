@@ -121,12 +121,12 @@ def test_rules(spark):
 
 def test_file_names():
     stats = {"lowest_run": 1, "highest_run": 2, "lowest_subrun": 0, "highest_subrun": 3}
-    assert patterns.file_name("f/stem_%r_%s_%R_%S.root", stats) == "f/stem_1_0_2_3.root"
-    assert patterns.file_name("f/stem_%5R_%2S.root", stats) == "f/stem_00002_03.root"
+    assert patterns.file_name("out/part_%r_%s_%R_%S.root", stats) == "out/part_1_0_2_3.root"
+    assert patterns.file_name("out/part_%5R_%2S.root", stats) == "out/part_00002_03.root"
     assert patterns.file_name("%02r_%02s_%R_%S", stats) == "01_00_2_3" and patterns.file_name("%02r_%02s_%R_%S", {}) == "-_-_-_-"
     assert patterns.file_name("%02r_%02s_%R_%S", {"lowest_run": 7, "highest_run": 9, "lowest_subrun": 0, "highest_subrun": None}) == "07_00_9_-"
     counters = {}
-    assert [patterns.file_name("ethel-%02#-charlie", {}, counters) for _ in range(3)] == [f"ethel-0{k}-charlie" for k in range(3)]
+    assert [patterns.file_name("left-%02#-right", {}, counters) for _ in range(3)] == [f"left-0{k}-right" for k in range(3)]
     own = {"input_file": "/d/e/in.root", "label": "out", "process": "P", "opened": datetime(2024, 1, 2, 3, 4, 5)}
     assert patterns.file_name("%l_%p_%to_%ifb%ife", own) == "out_P_20240102T030405_in.root" and patterns.file_name("%ifs%in%up%%", own) == "/d/e/up.root"
     with pytest.raises(ValueError):
@@ -135,7 +135,7 @@ def test_file_names():
 
 
 def fixture_catalog(spark):
-    rows = [("modMulti", "int1", "EARLY", 0, "present", 1), ("modMulti", "int2", "EARLY", 0, "present", 2), ("modMulti", "", "EARLY", 0, "present", 3), ("modOther", "", "EARLY", 0, "present", 4), ("modMulti", "int1", "LATE", 1, "present", 100), ("modMulti", "int1", "CURRENT", 2, "produced", 200)]
+    rows = [("many", "int1", "FIRST", 0, "present", 1), ("many", "int2", "FIRST", 0, "present", 2), ("many", "", "FIRST", 0, "present", 3), ("other", "", "FIRST", 0, "present", 4), ("many", "int1", "SECOND", 1, "present", 100), ("many", "int1", "OWN", 2, "produced", 200)]
     df = spark.createDataFrame([(1, *r, True, False, 0) for r in rows], "event long, module_label string, instance string, process string, process_seq int, origin string, value int, available boolean, dropped boolean, tier int")
     return df
 
@@ -143,13 +143,13 @@ def fixture_catalog(spark):
 def test_lookup(spark):
     c = fixture_catalog(spark)
     one = lambda sel, **k: [r.value for r in lookup.resolve(c, sel, ["event"], **k).collect()]
-    tag = lambda t: lookup.by_tag(t, own="CURRENT")
-    assert one(tag("modMulti")) == [3] and one(tag("modMulti:int1")) == [200] and one(tag("modMulti:int1:LATE")) == [100]
-    assert one(tag("modMulti:int1:current_process")) == [200] and one(tag("modMulti:int2:current_process")) == [] and one(tag("modMulti:int2:input_source")) == [2]
-    assert one(lookup.module_label("modMulti")) == [200] and one(tag("modMulti:int1"), path_labels=["other"]) == [100]
+    tag = lambda t: lookup.by_tag(t, own="OWN")
+    assert one(tag("many")) == [3] and one(tag("many:int1")) == [200] and one(tag("many:int1:SECOND")) == [100]
+    assert one(tag("many:int1:current_process")) == [200] and one(tag("many:int2:current_process")) == [] and one(tag("many:int2:input_source")) == [2]
+    assert one(lookup.module_label("many")) == [200] and one(tag("many:int1"), path_labels=["other"]) == [100]
     with pytest.raises(Exception, match="several products"):
-        one(lookup.module_label("modMulti") & lookup.process_name("EARLY"))
-    many = lookup.get_many(c, lookup.module_label("modMulti"), ["event"]).orderBy("place").collect()
+        one(lookup.module_label("many") & lookup.process_name("FIRST"))
+    many = lookup.get_many(c, lookup.module_label("many"), ["event"]).orderBy("place").collect()
     assert len(many) == 5 and sum(r.value for r in many) == 306 and many[0].value == 200
     assert lookup.get_many(c, F.lit(True), ["event"]).agg(F.sum("value")).first()[0] == 310
     keys = c.select("event").distinct()
