@@ -518,3 +518,10 @@ def test_rates_reach_targets(spark):
     for d, g in zip(mixing.DOMAINS, goal):
         assert abs(sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in out) - g) < 1e-6 * sum(goal)
     assert min(r.rate for r in out) == 0
+
+
+def test_line_dedup_class(spark):
+    same = "a line of text that is long enough to take part in it"
+    rows = [(5, same, "en", "s", 0), (2, same + "!", "en", "s", 0), (9, "x", "en", "s", 0), (None, same, "en", "s", 0)]
+    got = {r.doc_id: (r.class_id, r.n_removed, r.n_links, r.dup_of) for r in line_dedup.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {2: (2, 0, 1, []), 5: (2, 1, 1, [2]), 9: (9, 0, 0, []), None: (2, 1, 1, [2])}
