@@ -152,12 +152,14 @@ def kept(rules: Iterable[str] = ("keep *",)) -> Column:
 _NAME = re.compile(r"%(?:(0\d+|\d+)?([rRsS#lp])|(t)([ocrRsS])|if([bnedp])|ifs%([^%]*)%([^%]*)%([ig]*)%)")
 
 
-def file_name(pattern: str, stats: Mapping, counters: dict[str, int] | None = None) -> str:
-    """Substitutes a file-name pattern from one row of file statistics.
+COUNTER = r"%(0?\d+)?#"
+
+
+def substituted(pattern: str, stats: Mapping) -> str:
+    """Substitutes a file-name pattern, all but `%#`, from one row of file statistics.
 
     %l label, %p process, %r/%R and %s/%S lowest and highest run and subrun (optionally filled, `%05r`), %to/tc/tr/tR/ts/tS times,
-    %if[bnedp] parts of the input name, %ifs%regex%text%[ig]% an edited input name, %# the number of earlier files with this name
-    otherwise; unknown values are `-`.
+    %if[bnedp] parts of the input name, %ifs%regex%text%[ig]% an edited input name; unknown values are `-`.
     """
     source = stats.get("input_file") or ""
     base, _, folder = source.rpartition("/")[2], None, source.rpartition("/")[0]
@@ -183,8 +185,13 @@ def file_name(pattern: str, stats: Mapping, counters: dict[str, int] | None = No
         flags = re.I if "i" in m[8] else 0
         return re.sub(m[6], re.sub(r"\$(\d)", r"\\\1", m[7]), source, count=0 if "g" in m[8] else 1, flags=flags) or "-"
 
-    name = _NAME.sub(put, pattern)
-    counter = re.search(r"%(0?\d+)?#", name)
+    return _NAME.sub(put, pattern)
+
+
+def file_name(pattern: str, stats: Mapping, counters: dict[str, int] | None = None) -> str:
+    """The whole name: `%#` is the number of earlier files whose name is the same otherwise."""
+    name = substituted(pattern, stats)
+    counter = re.search(COUNTER, name)
     if counter:
         counters = {} if counters is None else counters
         n = counters.get(name, 0)
@@ -195,5 +202,5 @@ def file_name(pattern: str, stats: Mapping, counters: dict[str, int] | None = No
 
 def check_counter(pattern: str, closes_on_properties: bool) -> None:
     """Output that can switch files needs `%#` in its name."""
-    if closes_on_properties and not re.search(r"%(0?\d+)?#", pattern):
+    if closes_on_properties and not re.search(COUNTER, pattern):
         raise ValueError("a file name without %# cannot tell several files apart")

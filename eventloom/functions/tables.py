@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,13 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """A copy of df in the folder that spark.checkpoint.dir names (one made here where it is unset, as in tests)."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, kind: str = "table") -> str:
+    """A new path in the folder that spark.checkpoint.dir names (one made here where it is unset, as in tests)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{(folder or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{(folder or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """A copy of df in the shared folder, without its lineage."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ordinal(df: DataFrame, order: list[Column | str], name: str = "ordinal") -> DataFrame:
@@ -55,3 +60,11 @@ def _started(ranged: DataFrame, total: Column) -> DataFrame:
         before += totals[p] or 0
     starts = ranged.sparkSession.createDataFrame(rows, "_p long, _before long")
     return ranged.join(F.broadcast(starts), "_p", "left")
+
+
+def in_order(df: DataFrame, order: list[Column | str], step: Callable, schema: str) -> DataFrame:
+    """Maps the rows of df in a total order, batch after batch in one task of constant memory: step takes and yields pandas batches.
+
+    For decisions that need the one before, over rows that stand for many others: boundaries of levels, requests of primaries.
+    """
+    return df.repartition(1).sortWithinPartitions(*order).mapInPandas(step, schema)

@@ -52,6 +52,23 @@ def missing(closure: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return closure.join(present.select(F.col(key).alias("ancestor")), "ancestor", "left_anti").select("child", "ancestor")
 
 
+def provenances(catalog: DataFrame, present_only: bool = True, resolved: DataFrame | None = None) -> DataFrame:
+    """Catalog rows to report: present ones, and only those of a set of resolved products (keys in common) if one is given."""
+    rows = catalog.where("available AND NOT dropped") if present_only else catalog
+    return rows if resolved is None else rows.join(resolved, resolved.columns, "left_semi")
+
+
+def data_flow(products: DataFrame, edges: DataFrame) -> DataFrame:
+    """(event, source, target, kind): a module makes a product, and a product is read by the module that makes its child.
+
+    products: event, product_id, module_label; edges: event, child, parent.
+    """
+    made = products.select("event", F.col("module_label").alias("source"), F.col("product_id").cast("string").alias("target"), F.lit("makes").alias("kind"))
+    maker = products.select("event", F.col("product_id").alias("child"), "module_label")
+    read = edges.join(maker, ["event", "child"]).select("event", F.col("parent").cast("string").alias("source"), F.col("module_label").alias("target"), F.lit("reads").alias("kind"))
+    return made.unionByName(read).distinct()
+
+
 def children(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """parent -> child, each once."""
     return edges.select(parent, child).distinct()

@@ -51,6 +51,11 @@ def visible(path_labels: list[str] | None) -> Column:
     return seen & ~F.coalesce(F.col("dropped"), F.lit(False))
 
 
+def tiers(primary: DataFrame, *secondaries: DataFrame) -> DataFrame:
+    """One catalog over the primary file and the secondary files in their order, as tiers 0, 1, ...: lookups stop at the first with a hit."""
+    return reduce(DataFrame.unionByName, [c.withColumn("tier", F.lit(k)) for k, c in enumerate((primary, *secondaries))])
+
+
 def resolve(catalog: DataFrame, selector: Column, keys: list[str], path_labels: list[str] | None = None) -> DataFrame:
     """The one product for each key: available, visible, of the newest process that has one.
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.functions.tables import ordinal, running_sum
+from eventloom.functions.tables import in_order, ordinal, running_sum
 
 
 def uniform(*keys, seed: int = 0) -> Column:
@@ -53,25 +57,80 @@ def shuffled(secondary: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return ordinal(secondary, [uniform(F.col(key), seed=seed), F.col(key)], "entry").withColumn("entry", F.col("entry") - 1)
 
 
-def files_for(counts: list[int], sizes: list[int], coverage: float = 1.0, wrap: bool = True) -> list[tuple[int, int]]:
-    """(file, first entry) for each primary's count: a request never spans files; a file is left when a request does not fit.
+def random_start(seed: int) -> float:
+    """A place in the stream, as a share of its size, for a sequential walk from a drawn start."""
+    return random.Random(seed).random()
+
+
+def from_random_start(primaries: DataFrame, order: list, n: Column, size: int, seed: int = 0) -> DataFrame:
+    """consecutive() from a drawn start; the stream goes on at its beginning."""
+    return consecutive(primaries, order, n, size, int(random_start(seed) * size), wrap=True)
+
+
+def files_for(primaries: DataFrame, order: list, n: int | str, sizes: list[int], coverage: float = 1.0, wrap: bool = True) -> DataFrame:
+    """Adds file and first (entry): a request never spans files; a file is left when a request does not fit.
 
-    Runs over the primaries' counts only, never over their data. coverage over 1 is a percentage.
+    coverage over 1 is a percentage. With one n for all primaries the place follows from the primary's ordinal; with a column of counts
+    the counts pass one task as a stream.
     """
     share = coverage / 100 if coverage > 1 else coverage
-    out, f, used = [], 0, 0
-    for n in counts:
-        if all(n > s * share for s in sizes):
-            raise ValueError("a request is larger than every file")
-        while used + n > sizes[f] * share:
-            f, used = f + 1, 0
-            if f == len(sizes):
-                if not wrap:
-                    raise ValueError("the secondary files are used up")
-                f = 0
-        out.append((f, used))
-        used += n
-    return out
+    room = [s * share for s in sizes]
+    if isinstance(n, int):
+        fits = [int(r // n) for r in room]
+        if n < 1 or not any(fits):
+            raise ValueError("a request is larger than every file, or empty")
+        ends = F.array(*[F.lit(e).cast("long") for e in itertools.accumulate(fits)])
+        rows = ordinal(primaries, order, "_n").withColumn("_k", F.col("_n") - 1)
+        over = F.when(F.col("_k") >= sum(fits), F.raise_error(F.lit("the secondary files are used up")).cast("boolean")).otherwise(True)
+        rows = rows.withColumn("_k", F.pmod("_k", F.lit(sum(fits)))) if wrap else rows.where(over)
+        rows = rows.withColumn("file", F.size(F.filter(ends, lambda e: e <= F.col("_k"))).cast("long"))
+        before = F.when(F.col("file") > 0, F.get(ends, (F.col("file") - 1).cast("int"))).otherwise(0)
+        return rows.withColumn("first", ((F.col("_k") - before) * n).cast("long")).drop("_n", "_k")
+
+    def place(batches):
+        f = used = 0
+        for pdf in batches:
+            out = []
+            for k in pdf[n]:
+                if all(k > r for r in room):
+                    raise ValueError("a request is larger than every file")
+                while used + k > room[f]:
+                    f, used = f + 1, 0
+                    if f == len(room):
+                        if not wrap:
+                            raise ValueError("the secondary files are used up")
+                        f = 0
+                out.append((f, used))
+                used += int(k)
+            yield pdf.assign(file=[x[0] for x in out], first=[x[1] for x in out])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in primaries.dtypes)
+    return in_order(primaries, order, place, f"{schema}, file long, first long")
+
+
+def gather(draws: DataFrame, secondary: DataFrame, key: str, product: str, compact: bool = False) -> DataFrame:
+    """(key, products): the products of a primary's entries by entry; missing ones are null, or left out if compact."""
+    rows = draws.select(key, "entry").join(secondary.select("entry", F.col(product).alias("_x")), "entry", "left")
+    lists = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("entry", "_x"))), lambda s: s["_x"]).alias("products"))
+    return lists.withColumn("products", F.array_compact("products")) if compact else lists
+
+
+def mixed(gathered: DataFrame, mix: Callable[[Column], Column], wanted: Column | None = None) -> DataFrame:
+    """Adds mixed: the combination of the products where it is wanted (null elsewhere: nothing is put)."""
+    value = mix(F.col("products"))
+    return gathered.withColumn("mixed", value if wanted is None else F.when(wanted, value))
+
+
+def with_parents(draws: DataFrame, secondary: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
+    """Each entry with the run or subrun row of its secondary event; a parent comes once for each entry, not once in all."""
+    return draws.join(secondary.select("entry", *keys), "entry").join(parents, keys, "left")
+
+
+def check_id_maps(maps: DataFrame) -> DataFrame:
+    """(old_id, new_id) over all secondary files (rows file, old_id, new_id); an id that two files map differently is an error."""
+    one = maps.groupBy("old_id").agg(F.min("new_id").alias("new_id"), F.max("new_id").alias("_other"))
+    bad = F.when(F.col("new_id") != F.col("_other"), F.raise_error(F.lit("secondary files map an id differently")).cast("boolean")).otherwise(True)
+    return one.where(bad).drop("_other")
 
 
 def flattened(xs: Column) -> Column:

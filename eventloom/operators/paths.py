@@ -133,6 +133,34 @@ def module_report(df: DataFrame, paths: Mapping[str, list[Entry]]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
+def module_totals(df: DataFrame, paths: Mapping[str, list[Entry]], policy: Mapping[str, str] | None = None) -> DataFrame:
+    """(label, n_visited, n_run, n_passed, n_failed, n_error) of each module over all paths.
+
+    A module that several paths hold is visited by each but runs once an event, with its own result before `!` and `-`. A failed module
+    of the error policy counts as failed, an ignored error as passed.
+    """
+    places: dict[str, list[tuple[str, int, Entry]]] = {}
+    for n, entries in paths.items():
+        for k, e in enumerate(entries):
+            places.setdefault(e.label, []).append((n, k, e))
+    aggs, rows = [], []
+    for m, (label, at) in enumerate(places.items()):
+        visits = [F.get(f"out_{n}", F.lit(k)).isNotNull() for n, k, _ in at]
+        ran, e = reduce(Column.__or__, visits), at[0][2]
+        does = F.lit("none")
+        if e.error is not None:
+            does = F.when(e.error.isNull(), "none").otherwise("Rethrow")
+            for category, action in (policy or {}).items():
+                does = F.when(e.error == category, action).otherwise(does)
+        passed, failed = (does == "IgnoreCompletely") | (does == "none") & e.condition, (does == "FailModule") | (does == "none") & ~e.condition
+        tests = {"visited": None, "run": ran, "passed": ran & passed, "failed": ran & failed, "error": ran & ~does.isin("none", "IgnoreCompletely", "FailModule")}
+        for name, test in tests.items():
+            count = F.count_if(test) if test is not None else reduce(Column.__add__, [F.count_if(v) for v in visits])
+            aggs.append(count.cast("long").alias(f"{name}{m}"))
+        rows.append(F.struct(F.lit(label).alias("label"), *[F.col(f"{name}{m}").alias(f"n_{name}") for name in tests]))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
 def event_totals(df: DataFrame, names: list[str]) -> DataFrame:
     ok = accepted(names)
     return df.agg(F.count("*").alias("n_events"), F.count_if(ok).cast("long").alias("n_passed"), F.count_if(~ok).cast("long").alias("n_failed"))

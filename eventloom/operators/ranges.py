@@ -27,6 +27,25 @@ def overlaps(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return ranges.where(F.col("begin") < F.col("end")).withColumn("_top", F.max("end").over(before)).where("begin < _top").select(*keys, "run", "subrun").distinct()
 
 
+def relation(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, relation) of two sets of ranges for each key that both have: same, disjoint or overlapping.
+
+    Each set holds merged() ranges. Ranges overlap across sets where one begins before an earlier one of the other set has ended.
+    """
+    both = None
+    for side, df in enumerate((left, right)):
+        m = df.where(F.col("begin") < F.col("end")).groupBy(*keys, "run", "subrun", "begin", "end").agg(F.lit(side).alias("_side"))
+        both = m if both is None else both.unionByName(m)
+    w = Window.partitionBy(*keys, "run", "subrun").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    top = lambda k: F.max(F.when(F.col("_side") == k, F.col("end"))).over(w)
+    other = F.when(F.col("_side") == 0, top(1)).otherwise(top(0))
+    rows = both.withColumn("_meets", F.coalesce(F.col("begin") < other, F.lit(False)))
+    pairs = rows.groupBy(*keys, "run", "subrun", "begin", "end").agg(F.count("*").alias("_n"), F.max("_meets").alias("_meets"), F.min("_side").alias("_lo"), F.max("_side").alias("_hi"))
+    sums = pairs.groupBy(*keys).agg(F.min("_n").alias("_n"), F.max("_meets").alias("_meets"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    name = F.when(F.col("_n") == 2, "same").when(F.col("_meets"), "overlapping").otherwise("disjoint")
+    return sums.where((F.col("_lo") == 0) & (F.col("_hi") == 1)).select(*keys, name.alias("relation"))
+
+
 def split_at(ranges: DataFrame, run: int, subrun: int, event: int, last_in_subrun: bool = False) -> DataFrame:
     """Ranges with part 0 (this file) and 1 (the next), split after an event unless it was the last of its subrun.
 

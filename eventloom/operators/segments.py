@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.functions.patterns import check_counter, file_name
-from eventloom.functions.tables import ordinal
+from eventloom.functions.patterns import COUNTER, check_counter, substituted
+from eventloom.functions.tables import in_order, ordinal
 
 UNLIMITED = 2**31 - 1
-GRANULARITY = {"Event": [], "SubRun": ["run", "subrun"], "Run": ["run"]}
+GRANULARITY = {"SubRun": ["run", "subrun"], "Run": ["run"], "InputFile": []}
 
 
 def by_events(df: DataFrame, order: list, max_events: int) -> DataFrame:
@@ -19,30 +20,49 @@ def by_events(df: DataFrame, order: list, max_events: int) -> DataFrame:
     return ordinal(df, order, "_n").withColumn("segment", F.floor((F.col("_n") - 1) / max_events).cast("long")).drop("_n")
 
 
-def by_criteria(df: DataFrame, granularity: str = "SubRun", max_events: int = UNLIMITED, max_subruns: int = UNLIMITED, max_runs: int = UNLIMITED) -> DataFrame:
+def by_criteria(df: DataFrame, granularity: str = "SubRun", max_events: int = UNLIMITED, max_subruns: int = UNLIMITED, max_runs: int = UNLIMITED, max_files: int = UNLIMITED, max_bytes: int | None = None, max_seconds: float | None = None, file: str = "file", size: str = "size", time: str = "ts") -> DataFrame:
     """Adds segment: a file closes at the first boundary of the granularity where any limit is reached.
 
-    Only a row for each boundary group passes the sequential step, which is as short as the number of runs or subruns.
+    Runs and subruns count where they end: one that a switch interrupts counts once, in the file that holds its end. Bytes are the sum
+    of a column; seconds are those between the first and the last event of the file. Boundaries follow each other in the order of their
+    ids; only one row for each passes the step that needs the one before.
     """
-    if min(max_events, max_subruns, max_runs) < 1:
-        raise ValueError("a limit is 1 or more")
-    keys = GRANULARITY[granularity]
-    if not keys:
+    given = [max_events, max_subruns, max_runs, max_files, *[x for x in (max_bytes, max_seconds) if x is not None]]
+    if min(given) <= 0:
+        raise ValueError("a limit is above 0")
+    if granularity == "Job":
+        return df.withColumn("segment", F.lit(0).cast("long"))
+    if granularity not in GRANULARITY:
         raise ValueError("use by_events for files that close between events")
-    groups = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("run", "subrun").alias("s")).withColumn("one", F.lit(1))
-
-    def assign(pdf):
-        pdf = pdf.sort_values(keys)
-        out, segment, n, s, runs = [], 0, 0, 0, set()
-        for row in pdf.itertuples():
-            out.append(segment)
-            n, s = n + row.n, s + row.s
-            runs.add(row.run)
-            if n >= max_events or s >= max_subruns or len(runs) >= max_runs:
-                segment, n, s, runs = segment + 1, 0, 0, set()
-        return pdf[keys].assign(segment=out)
-
-    segments = groups.groupBy("one").applyInPandas(assign, ", ".join(f"{k} long" for k in keys) + ", segment long")
+    keys = GRANULARITY[granularity] or [file]
+    at = lambda f, c: F.unix_micros(f(c)) if max_seconds is not None else F.lit(0).cast("long")
+    groups = df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min(F.struct("run", "subrun")).alias("_a"), F.max(F.struct("run", "subrun")).alias("_z"), F.count_distinct("run").alias("runs"),
+        F.count_distinct("run", "subrun").alias("subruns"), (F.sum(size) if max_bytes is not None else F.lit(0)).cast("long").alias("size"), at(F.min, time).alias("first"), at(F.max, time).alias("last"),
+    )
+    groups = groups.select(*keys, "n", "runs", "subruns", "size", "first", "last", F.col("_a.run").alias("r0"), F.col("_a.subrun").alias("s0"), F.col("_z.run").alias("r1"), F.col("_z.subrun").alias("s1"))
+    files = granularity == "InputFile"
+
+    def assign(batches):
+        segment, prev, began = 0, None, None
+        n = subruns = runs = inputs = total = 0
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if prev is not None:
+                    n, total, inputs = n + prev.n, total + prev.size, inputs + files
+                    runs += prev.runs - (row.r0 == prev.r1)
+                    subruns += prev.subruns - ((row.r0, row.s0) == (prev.r1, prev.s1))
+                    old = max_seconds is not None and prev.last - began >= max_seconds * 1e6
+                    if old or n >= max_events or subruns >= max_subruns or runs >= max_runs or inputs >= max_files or (max_bytes is not None and total >= max_bytes):
+                        segment, began = segment + 1, None
+                        n = subruns = runs = inputs = total = 0
+                began, prev = row.first if began is None else min(began, row.first), row
+                out.append(segment)
+            yield pdf[keys].assign(segment=out)
+
+    types = dict(df.dtypes)
+    segments = in_order(groups, keys, assign, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", segment long")
     return df.join(segments, keys)
 
 
@@ -56,11 +76,19 @@ def file_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def named(stats: list[dict], pattern: str, several: bool = True, **fixed) -> list[str]:
-    """Names of closed files in order; stats are the few rows of file_stats()."""
+def file_names(stats: DataFrame, pattern: str, several: bool = True, **fixed) -> DataFrame:
+    """(segment, name) of each closed file: the pattern is filled in Arrow batches and `%#` numbers the files of one filled pattern."""
     check_counter(pattern, several)
-    counters: dict[str, int] = {}
-    return [file_name(pattern, {**fixed, **s}, counters) for s in stats]
+
+    @F.pandas_udf("string")
+    def fill(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series([substituted(pattern, {**fixed, **{k: None if pd.isna(v) else v for k, v in r.items()}}) for r in rows.to_dict("records")], dtype=object)
+
+    filled = stats.select("segment", fill(F.struct(*stats.columns)).alias("_f"))
+    n = (F.row_number().over(Window.partitionBy("_f").orderBy("segment")) - 1).cast("string")
+    width = F.coalesce(F.regexp_extract("_f", COUNTER, 1).try_cast("int"), F.lit(0))
+    number = F.lpad(n, F.greatest(width, F.length(n)), F.lit("0"))
+    return filled.withColumn("_n", number).select("segment", F.regexp_replace("_f", F.lit(COUNTER), F.col("_n")).alias("name"))
 
 
 def results(df: DataFrame, aggregates: dict) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions.patterns import from_start, kept, match_ids
-from eventloom.functions.tables import ordinal, table
+from eventloom.functions.tables import ordinal, scratch, table
 from eventloom.operators import counting, graph, lookup, overlay, paths, ranges, segments
 from eventloom.plans import performance
+from eventloom.sinks import files
 from eventloom.sources import events as sources
+from eventloom.streaming import boundaries
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -548,3 +550,159 @@ perf_query("full_event_times", "SELECT Run, SubRun, Event, round(FullTime, 4) AS
 def product_listing(spark, d):
     c = catalog(spark, d)
     return c.groupBy("process", "level").agg(F.count("*").alias("n_total"), F.count_if("available").cast("long").alias("n_present"), F.count_if(~F.col("available")).cast("long").alias("n_missing"))
+
+
+# Limits, module totals, relations
+
+
+@query(f"""WITH h AS ({HEADER}), l AS (SELECT *, dense_rank() OVER (ORDER BY run, subrun) AS k FROM h), e AS (SELECT *, row_number() OVER (ORDER BY event_id) AS n FROM l WHERE k <= 40) SELECT run, subrun, event FROM e WHERE n <= 300""")
+def processing_limits(spark, d):
+    return sources.limited(header(spark, d), ["event_id"], max_events=300, max_subruns=40).select("run", "subrun", "event")
+
+
+@query(f"""WITH h AS ({HEADER}), v AS (SELECT event % 2 = 0 AS c1, value > 30 AS c2 FROM h), n AS (SELECT count(*) AS n, count_if(c1) AS a, count_if(NOT c1) AS b, count_if(c2) AS c, count_if(c1 AND c2) AS ac FROM v)
+SELECT 'even' AS label, 2 * n AS n_visited, n AS n_run, CAST(a AS BIGINT) AS n_passed, CAST(b AS BIGINT) AS n_failed, CAST(0 AS BIGINT) AS n_error FROM n
+UNION ALL SELECT 'large', CAST(a AS BIGINT), CAST(a AS BIGINT), CAST(ac AS BIGINT), CAST(a - ac AS BIGINT), CAST(0 AS BIGINT) FROM n""")
+def module_totals(spark, d):
+    even, large = paths.Entry("even", F.col("event") % 2 == 0), F.col("value") > 30
+    p = {"a": [even, paths.Entry("large", large)], "b": [paths.Entry("even", even.condition, "!")]}
+    return paths.module_totals(paths.run_paths(header(spark, d), p), p)
+
+
+RANGES = "SELECT user_id % 50 AS kind, run, subrun, min(event) AS b, max(event) + 1 AS e FROM h WHERE {} GROUP BY ALL"
+
+
+@query(f"""WITH h AS ({HEADER}), l AS ({RANGES.format("event % 5 < 3")}), r AS ({RANGES.format("event % 5 > 1")}), lk AS (SELECT DISTINCT kind FROM l), rk AS (SELECT DISTINCT kind FROM r),
+x AS (SELECT kind, count(*) AS n, count_if(l.b = r.b AND l.e = r.e) AS s FROM l JOIN r USING (kind, run, subrun) WHERE l.b < r.e AND r.b < l.e GROUP BY kind),
+c AS (SELECT kind, (SELECT count(*) FROM l WHERE l.kind = lk.kind) AS nl, (SELECT count(*) FROM r WHERE r.kind = lk.kind) AS nr FROM lk JOIN rk USING (kind))
+SELECT kind, CASE WHEN s = nl AND s = nr THEN 'same' WHEN n > 0 THEN 'overlapping' ELSE 'disjoint' END AS relation FROM c LEFT JOIN x USING (kind)""")
+def range_relations(spark, d):
+    h = header(spark, d).withColumn("kind", F.col("user_id") % 50)
+    of = lambda rows: rows.groupBy("kind", "run", "subrun").agg(F.min("event").alias("begin"), (F.max("event") + 1).alias("end"))
+    return ranges.relation(of(h.where("event % 5 < 3")), of(h.where("event % 5 > 1")), ["kind"])
+
+
+# More of output files
+
+
+@query(f"""WITH RECURSIVE h AS ({HEADER}), q AS (SELECT run, subrun, count(*) AS n FROM h GROUP BY run, subrun), g AS (SELECT *, row_number() OVER (ORDER BY run, subrun) AS k, CAST(lead(run) OVER (ORDER BY run, subrun) IS DISTINCT FROM run AS INT) AS ends FROM q),
+r AS (SELECT k, 0 AS segment, n AS acc, 1 AS subs, ends AS runs FROM g WHERE k = 1 UNION ALL SELECT g.k, CASE WHEN c THEN segment + 1 ELSE segment END, CASE WHEN c THEN g.n ELSE acc + g.n END, CASE WHEN c THEN 1 ELSE subs + 1 END, CASE WHEN c THEN g.ends ELSE runs + g.ends END
+FROM (SELECT *, acc >= 800 OR subs >= 30 OR runs >= 1 AS c FROM r) r JOIN g ON g.k = r.k + 1) SELECT run, subrun, CAST(segment AS BIGINT) AS segment FROM r JOIN g USING (k)""")
+def segment_by_several_limits(spark, d):
+    return segments.by_criteria(header(spark, d), "SubRun", max_events=800, max_subruns=30, max_runs=1).select("run", "subrun", "segment").distinct()
+
+
+FILE_STATS = f"{SEGMENTS}, f AS (SELECT segment, arg_min(run, (run, subrun, event)) AS r, arg_max(run, (run, subrun, event)) AS top FROM s GROUP BY segment)"
+
+
+@query(f"""{FILE_STATS}, n AS (SELECT segment, 'out_r' || lpad(r::VARCHAR, 4, '0') || '_' || top AS f FROM f) SELECT segment, f || '_' || lpad((row_number() OVER (PARTITION BY f ORDER BY segment) - 1)::VARCHAR, 2, '0') || '.dat' AS name FROM n""")
+def file_names(spark, d):
+    stats = segments.file_stats(segments.by_events(header(spark, d), ["event_id"], 700))
+    return segments.file_names(stats, "%l_r%04r_%R_%02#.dat", label="out")
+
+
+@query(f"""{SEGMENTS} SELECT segment, '{{"tier":"reco","n_events":"' || count(*) || '"}}' AS metadata FROM s GROUP BY segment""")
+def file_metadata(spark, d):
+    stats = segments.file_stats(segments.by_events(header(spark, d), ["event_id"], 700)).select("segment", "n_events")
+    return segments.metadata(stats, {"tier": "raw"}, {"tier": "reco"})
+
+
+@query(f"""{SEGMENTS} SELECT run, subrun, event, value, segment FROM s WHERE event_type = 'click'""")
+def output_round_trip(spark, d):
+    path = scratch(spark, "output")
+    files.write_events(segments.by_events(header(spark, d), ["event_id"], 700), path, F.col("event_type") == "click", ["run", "subrun", "event", "value"])
+    return files.read(spark, path).withColumn("segment", F.col("segment").cast("long"))
+
+
+@query(f"""{SEGMENTS}, l AS (SELECT segment, 'Event' AS level, run, subrun, event FROM s UNION ALL (SELECT DISTINCT segment, 'SubRun', run, subrun, NULL FROM s) UNION ALL (SELECT DISTINCT segment, 'Run', run, NULL, NULL FROM s))
+SELECT *, row_number() OVER (PARTITION BY segment, level ORDER BY run, subrun, event) - 1 AS entry FROM l""")
+def file_index(spark, d):
+    return files.index(segments.by_events(header(spark, d), ["event_id"], 700))
+
+
+# More of mixing
+
+
+@query(f"""WITH p AS (SELECT event_id, event_id % 4 AS n, sum(event_id % 4) OVER (ORDER BY event_id) - event_id % 4 AS at_ FROM events), c AS (SELECT count(*) AS size FROM part)
+SELECT event_id, CAST((at_ + CAST(floor({overlay.random_start(11)!r} * size) AS BIGINT) + unnest(range(0, n))) % size AS BIGINT) AS entry FROM p, c""")
+def mix_random_start(spark, d):
+    return overlay.from_random_start(table(spark, d, "events").select("event_id"), ["event_id"], F.col("event_id") % 4, table(spark, d, "part").count(), seed=11)
+
+
+@query("""WITH p AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) % 150 AS k FROM events) SELECT event_id, CASE WHEN k < 50 THEN 0 WHEN k < 66 THEN 1 ELSE 2 END::BIGINT AS file, CAST(3 * CASE WHEN k < 50 THEN k WHEN k < 66 THEN k - 50 ELSE k - 66 END AS BIGINT) AS first FROM p""")
+def mix_files(spark, d):
+    return overlay.files_for(table(spark, d, "events").select("event_id"), ["event_id"], 3, [300, 100, 504], coverage=50)
+
+
+MIXED = """WITH p AS (SELECT event_id, event_id % 4 AS n, sum(event_id % 4) OVER (ORDER BY event_id) - event_id % 4 AS at_ FROM events), m AS (SELECT event_id, unnest(range(0, n)) AS i, at_ FROM p),
+e AS (SELECT event_id, CAST((at_ + i) % (SELECT count(*) FROM part) AS BIGINT) AS entry FROM m), s AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS entry FROM part)"""
+
+
+def _draws(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    part = ordinal(table(spark, d, "part").select("p_partkey", "p_size"), ["p_partkey"], "_n").withColumn("entry", F.col("_n") - 1).drop("_n")
+    return overlay.consecutive(table(spark, d, "events").select("event_id"), ["event_id"], F.col("event_id") % 4, table(spark, d, "part").count(), wrap=True), part
+
+
+@query(f"""{MIXED} SELECT event_id, CAST(sum(CASE WHEN p_size % 7 <> 0 THEN p_size END) AS BIGINT) AS total, CAST(count(CASE WHEN p_size % 7 <> 0 THEN 1 END) AS BIGINT) AS n FROM e JOIN s USING (entry) GROUP BY event_id HAVING n > 0""")
+def mix_gather(spark, d):
+    draws, part = _draws(spark, d)
+    lists = overlay.gather(draws, part.withColumn("x", F.when(F.col("p_size") % 7 != 0, F.col("p_size").cast("long"))), "event_id", "x", compact=True)
+    out = overlay.mixed(lists, lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, b: a + b), F.size("products") > 0)
+    return out.where("mixed IS NOT NULL").select("event_id", F.col("mixed").alias("total"), F.size("products").cast("long").alias("n"))
+
+
+@query(f"""{MIXED} SELECT event_id, entry, s_name FROM e JOIN s USING (entry) LEFT JOIN supplier ON s_suppkey = p_size""")
+def mix_parent_products(spark, d):
+    draws, part = _draws(spark, d)
+    parents = table(spark, d, "supplier").select(F.col("s_suppkey").alias("p_size"), "s_name")
+    return overlay.with_parents(draws, part, parents, ["p_size"]).select("event_id", "entry", "s_name")
+
+
+# Secondary files, reports over provenance, streams, old tables
+
+
+@query(f"""WITH c AS ({CATALOG}), t AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS t FROM c WHERE module_label = 'modC' AND available AND NOT dropped), m AS (SELECT *, min(t) OVER (PARTITION BY event) AS best FROM t)
+SELECT event, p_partkey, CAST(t AS BIGINT) AS file FROM m WHERE t = best""")
+def secondary_files(spark, d):
+    c = catalog(spark, d)
+    rows = lookup.tiers(c.where("p_partkey % 4 > 1"), c.where("p_partkey % 4 = 0"), c.where("p_partkey % 4 = 1"))
+    return lookup.get_many(rows, lookup.module_label("modC"), ["event"]).select("event", "p_partkey", F.col("tier").cast("long").alias("file"))
+
+
+@query(f"""WITH c AS ({CATALOG}) SELECT p_partkey, module_label, process FROM c WHERE available AND NOT dropped AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)""")
+def provenance_report(spark, d):
+    resolved = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    return graph.provenances(catalog(spark, d), resolved=resolved).select("p_partkey", "module_label", "process")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS event, l_linenumber AS id, 'mod' || l_suppkey % 5 AS m FROM lineitem) SELECT DISTINCT event, m AS source, CAST(id AS VARCHAR) AS target, 'makes' AS kind FROM p
+UNION ALL SELECT DISTINCT event, CAST(id - 1 AS VARCHAR), m, 'reads' FROM p WHERE id > 1""")
+def data_flow(spark, d):
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("product_id"), F.concat(F.lit("mod"), F.col("l_suppkey") % 5).alias("module_label"))
+    edges = p.where("product_id > 1").select("event", F.col("product_id").alias("child"), (F.col("product_id") - 1).alias("parent"))
+    return graph.data_flow(p, edges)
+
+
+@query(f"""{NEEDS} SELECT '  "' || label || '" -> "' || on_ || '" [label="path:' || path || '"];' AS line FROM d UNION ALL SELECT 'digraph {{' UNION ALL SELECT '}}'""")
+def dependency_dot(spark, d):
+    return graph.dot(_deps(spark, d).withColumn("kind", F.concat(F.lit("path:"), "path")), "label", "on", "kind")
+
+
+@query(f"""WITH h AS ({HEADER}), n AS (SELECT *, (lag(subrun) OVER w IS DISTINCT FROM subrun)::INT AS b FROM h WINDOW w AS (PARTITION BY run ORDER BY event_id)), g AS (SELECT *, sum(b) OVER (PARTITION BY run ORDER BY event_id) AS g FROM n),
+m AS (SELECT *, max(g) OVER (PARTITION BY run) AS last FROM g) SELECT run, subrun, count(*) AS n_events, round(sum(value), 4) AS total, min(event) AS begin, max(event) + 1 AS "end" FROM m WHERE g < last GROUP BY run, subrun, g""")
+def stream_boundaries(spark, d):
+    rows = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    items = sources.headers(rows).select("run", F.col("event_id").alias("seq"), "subrun", "event", "value", F.lit(False).alias("flush"))
+    return boundaries.run_available(boundaries.close_on_boundary(items), scratch(spark, "stream")).withColumn("total", F.round("total", 4))
+
+
+@query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n % 3 = 1""")
+def stream_prescale(spark, d):
+    rows = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).select("user_id", "event_id")
+    return boundaries.run_available(boundaries.stream_prescale(rows, ["user_id"], "event_id", 3, 1), scratch(spark, "stream"))
+
+
+@query(f"""WITH h AS ({HEADER}) SELECT run AS "Run", subrun AS "SubRun", event AS "Event", value AS "Time" FROM h""")
+def migrated_times(spark, d):
+    old = header(spark, d).select(F.concat_ws(":", "run", "subrun", "event").alias("id"), F.col("value").alias("FullTime"))
+    return performance.migrated(old, "id", {"FullTime": "Time"})

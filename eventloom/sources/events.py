@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from eventloom.functions.tables import ordinal
+
 
 def generated(spark: SparkSession, max_events: int, events_in_run: int = 0, events_in_subrun: int = 0, first: tuple[int, int, int] = (1, 0, 1), reset_event_on_subrun: bool = True, skip: int = 0, timestamp: Callable[[Column], Column] | None = None, max_time: float | None = None, max_subruns: int | None = None) -> DataFrame:
     """run, subrun, event of `max_events` generated events in closed form over a range; sizes of 0 or less never roll over.
@@ -49,6 +51,14 @@ def levels(header: DataFrame, mode: str = "RunsSubRunsAndEvents") -> DataFrame:
     return out
 
 
+def limited(header: DataFrame, order: list, max_events: int = -1, max_subruns: int = -1) -> DataFrame:
+    """The first events and the first subruns of a job, -1 for no limit. Subruns come in the order of their ids."""
+    if max_subruns >= 0:
+        subruns = ordinal(header.select("run", "subrun").distinct(), ["run", "subrun"], "_n").where(F.col("_n") <= max_subruns)
+        header = header.join(subruns.drop("_n"), ["run", "subrun"], "left_semi")
+    return ordinal(header, order, "_n").where(F.col("_n") <= max_events).drop("_n") if max_events >= 0 else header
+
+
 def handled_levels(parents: DataFrame, events: DataFrame, keys: list[str], empty: bool = True) -> DataFrame:
     """Run or subrun headers that begin: all, or only those with an event below when empty ones are not handled."""
     return parents if empty else parents.join(events.select(*keys).distinct(), keys, "left_semi")

@@ -45,3 +45,29 @@ def close_on_boundary(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["run", "subrun", "n_events", "total", "begin", "end"])
 
     return stream.groupBy("run").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_prescale(stream: DataFrame, keys: list[str], order: str, factor: int, offset: int = 0) -> DataFrame:
+    """Every factor-th row of each key as it arrives, counted across batches: kept where position % factor = offset.
+
+    A counter for each key is the whole state; rows of one batch count in the order of a column.
+    """
+    if factor < 1:
+        raise ValueError("a prescale factor is 1 or more")
+    cols = stream.columns
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (seen,) = state.get if state.exists else (0,)
+        rows = pd.concat(list(batches)).sort_values(order)
+        place = range(seen + 1, seen + 1 + len(rows))
+        state.update((seen + len(rows),))
+        yield rows[[p % factor == offset for p in place]][cols]
+
+    return stream.groupBy(*keys).applyInPandasWithState(step, stream.schema, "seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_available(stream: DataFrame, path: str) -> DataFrame:
+    """Runs a stream over all that is there, with its checkpoint and its output below path, and returns the output."""
+    spark = stream.sparkSession
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")

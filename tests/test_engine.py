@@ -12,6 +12,7 @@ from eventloom.functions import patterns
 from eventloom.functions.tables import ordinal
 from eventloom.operators import counting, graph, lookup, overlay, paths, ranges, segments
 from eventloom.plans import performance, workflow
+from eventloom.sinks import files
 from eventloom.sources import events as sources
 from eventloom.streaming import boundaries
 
@@ -130,8 +131,9 @@ def test_file_names():
     own = {"input_file": "/d/e/in.root", "label": "out", "process": "P", "opened": datetime(2024, 1, 2, 3, 4, 5)}
     assert patterns.file_name("%l_%p_%to_%ifb%ife", own) == "out_P_20240102T030405_in.root" and patterns.file_name("%ifs%in%up%%", own) == "/d/e/up.root"
     with pytest.raises(ValueError):
-        segments.named([stats], "plain.root")
-    assert segments.named([stats, stats], "x_%r_%#", label="l") == ["x_1_0", "x_1_1"]
+        patterns.check_counter("plain.root", True)
+    counters = {}
+    assert [patterns.file_name("x_%r_%#", stats, counters) for _ in range(2)] == ["x_1_0", "x_1_1"]
 
 
 def fixture_catalog(spark):
@@ -175,6 +177,59 @@ def test_ranges(spark):
     assert rows_of(ranges.current_range(events, spark.createDataFrame([(1, 0, 1, 2), (1, 0, 3, 9), (1, 0, 5, 9)], "run long, subrun long, begin long, end long")), "subrun", "n_seen") == [(0, 2)]
 
 
+def test_closing_limits(spark):
+    """Runs 1 (subruns 0, 1), 2 (0) and 3 (0), two events of 10 bytes each, in files a, a, b, b; a minute between subruns."""
+    rows = [(r, s, e, f, 10, datetime(2020, 1, 1, 0, m)) for r, s, f, m in ((1, 0, "a", 0), (1, 1, "a", 1), (2, 0, "b", 2), (3, 0, "b", 3)) for e in (1, 2)]
+    df = spark.createDataFrame(rows, "run long, subrun long, event long, file string, size long, ts timestamp")
+    got = lambda *a, **k: [x[2] for x in rows_of(segments.by_criteria(df, *a, **k).select("run", "subrun", "segment").distinct(), "run", "subrun", "segment")]
+    assert got(max_runs=1) == [0, 0, 1, 2]  # a run counts where it ends
+    assert got(max_subruns=1) == got(max_events=1) == [0, 1, 2, 3] and got(max_events=3) == [0, 0, 1, 1]
+    assert got("Run", max_subruns=1) == [0, 0, 1, 2] and got("InputFile", max_files=1) == [0, 0, 1, 1] and got("Job", max_events=1) == [0, 0, 0, 0]
+    assert got(max_bytes=30) == [0, 0, 1, 1] and got(max_seconds=60.0) == [0, 0, 1, 1]
+    assert segments.by_criteria(df.where("false"), max_events=1).count() == 0
+    for bad in ({"max_bytes": 0}, {"max_events": 0}):
+        with pytest.raises(ValueError):
+            segments.by_criteria(df, **bad)
+    with pytest.raises(ValueError):
+        segments.by_criteria(df, "Event")
+
+
+def test_relations(spark):
+    make = lambda *rows: spark.createDataFrame(list(rows), "k string, run long, subrun long, begin long, end long")
+    left = make(("same", 1, 0, 1, 5), ("apart", 1, 0, 1, 5), ("touch", 1, 0, 1, 5), ("over", 1, 0, 1, 5), ("part", 1, 0, 1, 5), ("part", 1, 0, 7, 9), ("subrun", 1, 0, 1, 5), ("only", 1, 0, 1, 5))
+    right = make(("same", 1, 0, 1, 5), ("apart", 1, 0, 8, 9), ("touch", 1, 0, 5, 6), ("over", 1, 0, 4, 6), ("part", 1, 0, 1, 5), ("subrun", 1, 1, 1, 5))
+    want = {"same": "same", "apart": "disjoint", "touch": "disjoint", "over": "overlapping", "part": "overlapping", "subrun": "disjoint"}
+    assert {r.k: r.relation for r in ranges.relation(left, right, ["k"]).collect()} == want
+
+
+def test_module_totals_with_errors(spark):
+    df = spark.createDataFrame([(1, None), (2, "bad"), (3, "soft"), (4, "skip")], "event long, err string")
+    p = {"a": [paths.Entry("m", F.col("event") < 3, error=F.col("err"))]}
+    policy = {"bad": "IgnoreCompletely", "soft": "FailModule", "skip": "SkipEvent"}
+    got = paths.module_totals(paths.run_paths(df, p, policy), p, policy)
+    assert rows_of(got, "label", "n_visited", "n_run", "n_passed", "n_failed", "n_error") == [("m", 4, 4, 2, 1, 1)]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0, 1, 5.0, 0), (1, 0, 2, 6.0, 1), (1, 1, 1, 7.0, 1)], "run long, subrun long, event long, value double, segment long")
+    path = str(tmp_path / "out")
+    files.write_events(df, path, F.col("value") > 5, ["run", "event"])
+    assert rows_of(files.read(spark, path), "segment", "run", "event") == [(1, 1, 1), (1, 1, 2)]
+    files.write_tail(path, {"index": files.index(df), "history": spark.createDataFrame([("A", 0)], "process string, seq long")})
+    assert rows_of(files.read(spark, path, "history"), "process", "seq") == [("A", 0)]
+    runs = files.read(spark, path, "index").where("level = 'Run'")
+    assert rows_of(runs, "segment", "run", "entry") == [(0, 1, 0), (1, 1, 0)]
+    with pytest.raises(ValueError):
+        files.write_tail(path, {"other": df})
+    assert files.check_metadata({"a": '"x"'}) == {"a": '"x"'}
+    with pytest.raises(ValueError):
+        files.check_metadata({"a": "x"})
+    kinds = spark.createDataFrame([("raw", "phys"), ("raw", "phys")], "file_type string, run_type string")
+    assert rows_of(files.inherited(kinds, ["file_type", "run_type"]), "file_type", "run_type") == [("raw", "phys")]
+    with pytest.raises(Exception, match="differ in file_type"):
+        files.inherited(kinds.unionByName(spark.createDataFrame([("sim", "phys")], kinds.schema)), ["file_type"]).collect()
+
+
 def test_workflow():
     base = {"producers": {"p": {}}, "filters": {"f": {}, "g": {}}, "analyzers": {"a": {}, "idle": {}}}
     w = workflow.compile_workflow({"physics": base | {"two": ["p", "!f"], "one": ["g"], "e": ["a", "out"]}, "outputs": {"out": {}}})
@@ -189,11 +244,25 @@ def test_workflow():
 
 
 def test_mixing_parts(spark):
-    assert overlay.files_for([3, 3, 3, 2], [6, 5]) == [(0, 0), (0, 3), (1, 0), (1, 3)]
-    with pytest.raises(ValueError):
-        overlay.files_for([9], [6, 5])
+    counts = lambda *ns: spark.createDataFrame(list(enumerate(ns)), "id long, n long")
+    assert rows_of(overlay.files_for(counts(3, 3, 3, 2), ["id"], "n", [6, 5]), "id", "file", "first") == [(0, 0, 0), (1, 0, 3), (2, 1, 0), (3, 1, 3)]
+    for k in (1, 2, 5):
+        same = counts(*[k] * 12)
+        assert rows_of(overlay.files_for(same, ["id"], k, [6, 4, 11], 0.9), "id", "file", "first") == rows_of(overlay.files_for(same, ["id"], "n", [6, 4, 11], 0.9), "id", "file", "first")
     with pytest.raises(ValueError):
-        overlay.files_for([5, 5], [6], wrap=False)
+        overlay.files_for(counts(9), ["id"], 9, [6, 5])
+    with pytest.raises(Exception, match="larger than every file"):
+        overlay.files_for(counts(9), ["id"], "n", [6, 5]).collect()
+    with pytest.raises(Exception, match="used up"):
+        overlay.files_for(counts(5, 5), ["id"], 5, [6], wrap=False).collect()
+    with pytest.raises(Exception, match="used up"):
+        overlay.files_for(counts(5, 5), ["id"], "n", [6], wrap=False).collect()
+    draws, second = spark.createDataFrame([("p", 1), ("p", 0), ("p", 5)], "k string, entry long"), spark.createDataFrame([(0, "a"), (1, None)], "entry long, x string")
+    assert overlay.gather(draws, second, "k", "x").first()[1] == ["a", None, None] and overlay.gather(draws, second, "k", "x", compact=True).first()[1] == ["a"]
+    maps = spark.createDataFrame([("f", 1, 7), ("g", 1, 7), ("g", 2, 8)], "file string, old_id long, new_id long")
+    assert rows_of(overlay.check_id_maps(maps), "old_id", "new_id") == [(1, 7), (2, 8)]
+    with pytest.raises(Exception, match="differently"):
+        overlay.check_id_maps(maps.unionByName(spark.createDataFrame([("h", 2, 9)], maps.schema))).collect()
     df = spark.createDataFrame([({0: "a", 2: "b"}, {0: "c"})], "l map<int,string>, r map<int,string>")
     assert df.select(overlay.shifted_union(F.col("l"), F.col("r"))).first()[0] == {0: "a", 2: "b", 3: "c"}
     with pytest.raises(Exception, match="too few"):
@@ -269,6 +338,14 @@ def test_sources(spark, tmp_path):
         sources.generated(spark, 5, max_time=1.0)
 
 
+def test_stream_prescale_counts_across_batches(spark, tmp_path):
+    for part in ([1, 2], [3, 4, 5]):
+        spark.createDataFrame([("a", n) for n in part] + [("b", part[0])], "k string, n long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, n long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = boundaries.run_available(boundaries.stream_prescale(stream, ["k"], "n", 2), str(tmp_path / "run"))
+    assert rows_of(out, "k", "n") == [("a", 2), ("a", 4), ("b", 3)]
+
+
 def test_streaming_boundaries(spark, tmp_path):
     schema = "run long, seq long, subrun long, event long, value double, flush boolean"
     rows = [(1, 1, 0, 1, 1.0, False), (1, 2, 0, 2, 2.0, False), (1, 3, 1, 1, 4.0, False), (1, 4, None, None, None, True), (2, 5, 0, 1, 8.0, False)]
