@@ -15,6 +15,8 @@ from eventloom.llm.common import NO_ID, carry, components, join_small, materiali
 from eventloom.llm.textvec import buffers
 
 BITS, RADIUS, SHINGLE = 64, 3, 3
+#: The pipeline's stage: five words; 9 of the first 64 bits may differ and 19 of all 128, which is about a similarity of 0.8.
+STAGE_SHINGLE, STAGE_RADIUS, STAGE_TOTAL = 5, 9, 19
 LANES = np.uint64(0x0101010101010101)
 BIN_BITS = 12
 #: Probing one more value costs about as much as verifying so many candidates.
@@ -52,24 +54,33 @@ def majority_bits(hs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """(_k_id, _k_rid, fp): the SimHash of every text; null and wordless texts have 0."""
+def remixed(h: np.ndarray) -> np.ndarray:
+    """A second, independent hash of each hash, for 64 more fingerprint bits."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, n: int = SHINGLE, wide: bool = False) -> DataFrame:
+    """(_k_id, _k_rid, fp): the SimHash of every text; null and wordless texts have 0. If wide, also fp2 with 64 more bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = buffers(b.column(2))
             raw = data.tobytes()
-            fps, hs, held = [], [], 0
+            fps, more, hs, held = [], [], [], 0
             for i in range(len(off) - 1):
                 hs.append(shingle_hashes(raw[off[i] : off[i + 1]], n))
                 held += len(hs[-1])
-                if held > 200_000:
+                if held > 200_000 or i == len(off) - 2:
                     fps.append(majority_bits(hs))
+                    if wide:
+                        more.append(majority_bits(list(map(remixed, hs))))
                     hs, held = [], 0
-            fps.append(majority_bits(hs))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(fps).view(np.int64))], ["_k_id", "_k_rid", "fp"])
+            cols = [pa.array(np.concatenate(x or [np.zeros(0, np.uint64)]).view(np.int64)) for x in ([fps, more] if wide else [fps])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["_k_id", "_k_rid", "fp", "fp2"][: 2 + len(cols)])
 
-    return with_key(docs).select("_k_id", "_k_rid", F.col("text")).mapInArrow(run, "_k_id long, _k_rid long, fp long")
+    return with_key(docs).select("_k_id", "_k_rid", F.col("text")).mapInArrow(run, "_k_id long, _k_rid long, fp long" + ", fp2 long" * wide)
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
@@ -206,13 +217,15 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[at], nodes[low[at]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, total: int | None = None) -> DataFrame:
     """Edges (a, b) that connect all pairs of distinct fingerprints with at most `radius` differing bits, and no others.
 
+    With a total, fps has fp2 too and a pair also differs in at most `total` bits of both together.
+
     fps: a materialised table of distinct fingerprints (fp). Index rows hold each partition's value, probe rows the values within the
     allocated threshold; both meet by value, hot values are split into cells, and verified pairs of a task shrink to a forest.
     """
-    n = fps.count()
+    n, names = fps.count(), ["fp"] + ["fp2"] * (total is not None)
     parts = group_bits(bit_counts(fps), n, choose_parts(n, radius))
     hists = histograms(fps, parts)
 
@@ -225,13 +238,15 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 for i, bits in enumerate(parts):
                     tag = np.uint64(i) << np.uint64(60)
                     own = limits[i] >= 0  # an own value that is probed too is one row for both
-                    rows = [(values[i] | tag, fp, np.where(own, 3, 1).astype(np.int32))]
+                    every = np.arange(len(fp))
+                    rows = [(values[i] | tag, every, np.where(own, 3, 1).astype(np.int32))]
                     for t in range(1, radius + 1):
                         if (some := limits[i] >= t).any():
                             masks = balls(len(bits), t)[len(balls(len(bits), t - 1)) :]
-                            rows.append((((values[i][some][:, None] ^ masks) | tag).ravel(), np.repeat(fp[some], len(masks)), np.full(some.sum() * len(masks), 2, np.int32)))
-                    for k, f, role in rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(f.view(np.int64)), pa.array(role)], ["key", "fp", "role"])
+                            rows.append((((values[i][some][:, None] ^ masks) | tag).ravel(), np.repeat(every[some], len(masks)), np.full(some.sum() * len(masks), 2, np.int32)))
+                    for k, at, role in rows:
+                        own = [whole.column(c)[lo : lo + 20_000].to_numpy()[at] for c in range(len(names))]
+                        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(role), *map(pa.array, own)], ["key", "role", *names])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -241,13 +256,16 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             x, y = forest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-        for cell, fp, role, block in groups(batches):
+        for cell, fp, role, block, *more in groups(batches):
             live, d = np.arange(len(cell)), 1
             while len(live := live[live + d < len(cell)]) and len(live := live[cell[live] == cell[live + d]]):
                 x, y = live, live + d
                 # Cells of two blocks compare across the blocks only; the rows of a cell are sorted by block.
                 ok = ((role[x] & 1) & (role[y] >> 1) | (role[y] & 1) & (role[x] >> 1)).astype(bool) & ((block[x] != block[y]) | one_block(cell, block)[x])
-                near = ok & (np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)) <= radius)
+                bits = np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64))
+                near = ok & (bits <= radius)
+                if more:
+                    near &= bits + np.bitwise_count((more[0][x] ^ more[0][y]).view(np.uint64)) <= total
                 if near.any():
                     held.append((fp[x[near]], fp[y[near]]))
                     count += int(near.sum())
@@ -258,9 +276,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held:
             yield flush()
 
-    rows = split_hot(materialize(fps.select("fp").mapInArrow(emit, "key long, fp long, role int")), "key", "fp")
+    rows = split_hot(materialize(fps.select(*names).mapInArrow(emit, "key long, role int" + "".join(f", {c} long" for c in names))), "key", "fp")
     parts_n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts_n, "cell").sortWithinPartitions("cell", "block").select("cell", "fp", "role", "block")
+    dealt = rows.repartition(parts_n, "cell").sortWithinPartitions("cell", "block").select("cell", "fp", "role", "block", *names[1:])
     return dealt.mapInArrow(verify, "a long, b long").where("a != b")
 
 
@@ -289,7 +307,7 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 @carry("doc_id", "text")
-def simhash_dedup(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS, first: bool = True) -> DataFrame:
+def simhash_dedup(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS, first: bool = True, total: int | None = None) -> DataFrame:
     """docs with fp (long), component_id (the smallest doc_id of its component) and is_first (the one document of the component that stays; left out if not `first`).
 
     Rows equal in id and text are one document. Null and wordless texts share fingerprint zero and link like others. A component of
@@ -297,9 +315,10 @@ def simhash_dedup(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS, first
     no rows.
     """
     docs = with_key(docs)
-    marks = materialize(fingerprints(docs, n).distinct())
-    distinct = materialize(marks.groupBy("fp").agg(F.min(F.when(F.col("_k_id") != NO_ID, F.col("_k_id"))).alias("least")))
-    edges = materialize(links(distinct.select("fp"), radius))
+    marks = materialize(fingerprints(docs, n, total is not None).distinct())
+    second = [] if total is None else [F.min("fp2").alias("fp2")]
+    distinct = materialize(marks.groupBy("fp").agg(F.min(F.when(F.col("_k_id") != NO_ID, F.col("_k_id"))).alias("least"), *second))
+    edges = materialize(links(distinct.drop("least"), radius, total))
     roots = materialize(components(edges))
     joined = join_small(distinct, roots.withColumnsRenamed({"node": "fp"}), ["fp"], "left").withColumn("root", F.coalesce("root", "fp"))
     # Components of one fingerprint need no second look; the others are few, and joined by their root.
@@ -322,5 +341,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 @carry("doc_id", "text", exact=True)
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each component, in the columns of docs. Repeated rows are one document, of which one row stays."""
-    return with_key(simhash_dedup(docs).where("is_first")).dropDuplicates(["_k_id", "_k_rid"])
+    """One document of each component of five-word fingerprints, in the columns of docs.
+
+    The index takes 64 bits and a radius; the 64 more bits keep unlike texts apart at any number of documents. Repeated rows are one
+    document, of which one row stays.
+    """
+    return with_key(simhash_dedup(docs, STAGE_SHINGLE, STAGE_RADIUS, total=STAGE_TOTAL).where("is_first")).dropDuplicates(["_k_id", "_k_rid"])

@@ -146,14 +146,20 @@ def test_line_dedup_real_and_awkward(spark, sf, docs, empty):
 # op 2
 
 
-def brute_fp(text):
+def brute_mix(h):
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 31
+
+
+def brute_fp(text, n=3, mix=lambda h: h):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
-    sh = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
-    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    sh = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [" ".join(w)] if w else []
+    hs = [mix(xxhash.xxh64_intdigest(s.encode(), 42)) for s in sh]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
 
 
-def brute_components(fps):
+def brute_components(fps, near=lambda a, b: (a ^ b).bit_count() <= 3):
     root = {f: f for f in fps}
 
     def find(x):
@@ -164,7 +170,7 @@ def brute_components(fps):
     fps = sorted(fps)
     for i, a in enumerate(fps):
         for b in fps[:i]:
-            if bin(a ^ b).count("1") <= 3:
+            if near(a, b):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     return {f: find(f) for f in fps}
 
@@ -180,8 +186,11 @@ def test_simhash(spark, sf, docs, empty):
                 least[comp[f]] = min(i, least.get(comp[f], i))
         got = simhash.digest(df).collect()
         assert sorted((r.doc_id or -1, r.fingerprint, r.component_id or -1) for r in got) == sorted((r.doc_id or -1, f"{fp[r.doc_id, r.text]:016x}", least.get(comp[fp[r.doc_id, r.text]], -1) or -1) for r in rows)
+        wide = {k: (brute_fp(k[1], 5), brute_fp(k[1], 5, brute_mix)) for k in fp}
+        second = {a: min(y for x, y in wide.values() if x == a) for a, _ in wide.values()}
+        near = lambda a, b: (n := (a ^ b).bit_count()) <= 9 and n + (second[a] ^ second[b]).bit_count() <= 19
         kept = simhash.stage(df).collect()
-        assert len(kept) == len(set(comp.values()))
+        assert len(kept) == len(set(brute_components(set(second), near).values()))
     assert simhash.digest(empty).count() == 0
     kept = simhash.stage(clashing(docs))
     assert kept.columns == clashing(docs).columns and {r.fp for r in kept.collect()} == {"own fp"}
@@ -207,6 +216,21 @@ def test_simhash_links(spark, monkeypatch, m, block):
     assert groups(mine) == groups(comp)
 
 
+def test_simhash_stage_drops_near_copies_only(spark):
+    """Texts of 300 words with 2 of them changed go; texts that share a third of their words in order stay."""
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, shared = [], words(100)
+    for i in range(40):
+        base = words(300)
+        edited = list(base)
+        for at in (40, 200):
+            edited[at] = f"new{i}"
+        rows += [(4 * i, base), (4 * i + 1, edited), (4 * i + 2, shared + words(200)), (4 * i + 3, words(6))]
+    kept = {r.doc_id for r in simhash.stage(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    assert all(i in kept for i, _ in rows if i % 4 != 1) and sum(i % 4 == 1 for i in kept) <= 6
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(5, 5)]
