@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontam, line_dedup, mixing, quality, simhash
+from eventloom.llm import decontam, line_dedup, mixing, quality
+from eventloom.llm import near_dedup as jaccard
 from eventloom.llm.common import materialize, table
 
 
@@ -19,8 +20,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each SimHash component."""
-    return simhash.stage(docs)
+    """Keeps one document of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard.stage(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", dedup_lines), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mixing", mix)]
 
-#: SimHash and alignment have no SQL form; the stages are tested one by one.
+#: Similarity joins and alignment have no SQL form; the stages are tested one by one.
 ORACLE_SQL = None
 
 

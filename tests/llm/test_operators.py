@@ -549,3 +549,37 @@ def test_line_dedup_class(spark):
     rows = [(5, same, "en", "s", 0), (2, same + "!", "en", "s", 0), (9, "x", "en", "s", 0), (None, same, "en", "s", 0)]
     got = {r.doc_id: (r.class_id, r.n_removed, r.n_links, r.dup_of) for r in line_dedup.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {2: (2, 0, 1, []), 5: (2, 1, 1, [2]), 9: (9, 0, 0, []), None: (2, 1, 1, [2])}
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_near_dedup_is_exact(spark, sf, docs, empty, monkeypatch, block):
+    """The pipeline's stage keeps one document of each component of similarity 0.8 or more, and no pair below it is joined."""
+    import corpus_pipeline
+    from eventloom.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "split_hot", lambda r, k, i, f=near_dedup.split_hot: f(r, k, i, block))
+    rng = random.Random(8)
+    rows, base = [], [[f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(12)]
+    for k in range(150):
+        w = list(base[k % 12])
+        for at in rng.sample(range(200), rng.randint(0, 7)):
+            w[at] = f"new{k}"
+        rows.append((k, " ".join(w)))
+    edited = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def shingles(text):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    for df in (sf, docs, edited):
+        texts = {(r.doc_id, r.text): shingles(r.text) for r in df.collect()}
+        comp = brute_components({tuple(sorted(s)) for s in texts.values()}, lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b)))
+        want = {}
+        for (i, _), s in texts.items():
+            c = comp[tuple(sorted(s))]
+            want[c] = min(want.get(c, 10**9), 10**9 if i is None else i)
+        kept = corpus_pipeline.near_dedup(spark, df, SF).collect()
+        assert sorted(10**9 if r.doc_id is None else r.doc_id for r in kept) == sorted(want.values())
+    assert near_dedup.stage(empty).count() == 0
+    kept = near_dedup.stage(clashing(docs))
+    assert kept.columns == clashing(docs).columns and {r.root for r in kept.collect()} == {"own root"}
