@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import carry, join_small, materialize, split_hot, with_key
-from eventloom.llm.simhash import groups
+from eventloom.llm.common import NO_ID, carry, components, join_small, materialize, split_hot, with_key
+from eventloom.llm.simhash import forest, groups
 
 TAU = 2
 MIN_CHARS = 20
@@ -154,7 +154,8 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 
 
 def verified(rows: DataFrame, tau: int, least: int) -> DataFrame:
-    """(h1, h2, n_links, linked) of lines: how many other texts are within tau edits, and the first place of those.
+    """(h1, h2, n_links, _a, _r, _p, to) of each task: of lines, how many other texts are within tau edits, and the first place of
+    those; and, where `to` is set, edges (h1, to) that connect what the pairs of the task connect.
 
     rows: cell, block, key, h1, h2, line, first (struct). A pair that meets under several keys counts under the first alone.
     """
@@ -164,6 +165,7 @@ def verified(rows: DataFrame, tau: int, least: int) -> DataFrame:
             starts = np.append(np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), len(cell))
             links: dict[int, int] = defaultdict(int)
             least_at: dict[int, tuple] = {}
+            pairs: list[tuple[int, int]] = []
             for lo, hi in zip(starts, starts[1:]):
                 one = block[lo:hi].min() == block[lo:hi].max()
                 rows_ = sorted(range(lo, hi), key=lambda k: (len(line[k]), h1[k], h2[k]))
@@ -177,6 +179,7 @@ def verified(rows: DataFrame, tau: int, least: int) -> DataFrame:
                             continue
                         if first_key(lx, ly, tau, least) != int(key[x]) & (2**64 - 1) or not within(lx, ly, tau):
                             continue
+                        pairs.append((x, y))
                         for u, v in ((x, y), (y, x)):
                             links[u] += 1
                             place = (a[v], r[v], p[v])
@@ -187,13 +190,41 @@ def verified(rows: DataFrame, tau: int, least: int) -> DataFrame:
                 places = [least_at[k] for k in links]
                 cols = [pa.array(h1[at]), pa.array(h2[at]), pa.array(list(links.values()), pa.int64())]
                 cols += [pa.array([x[k] for x in places], pa.int64()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "n_links", "_a", "_r", "_p"])
+                names = ["h1", "h2", "n_links", "_a", "_r", "_p", "to"]
+                yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(at), pa.int64())], names)
+                u, v = forest(h1[[x for x, _ in pairs]], h1[[y for _, y in pairs]])
+                yield pa.RecordBatch.from_arrays([pa.array(u), *[pa.nulls(len(u), pa.int64())] * 5, pa.array(v)], names)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = ["cell", "block", "key", "h1", "h2", "line", "first.a", "first.r", "first.p"]
     dealt = rows.repartition(n, "cell").sortWithinPartitions("cell", "block").select(*cols)
-    out = dealt.mapInArrow(run, "h1 long, h2 long, n_links long, _a long, _r long, _p long")
-    return out.groupBy("h1", "h2").agg(F.sum("n_links").alias("n_links"), F.min(F.struct(F.col("_a").alias("a"), F.col("_r").alias("r"), F.col("_p").alias("p"))).alias("linked"))
+    return dealt.mapInArrow(run, "h1 long, h2 long, n_links long, _a long, _r long, _p long, to long")
+
+
+def line_links(found: DataFrame) -> DataFrame:
+    """(h1, h2, n_links, linked) of each line in what verified() gives."""
+    place = F.struct(F.col("_a").alias("a"), F.col("_r").alias("r"), F.col("_p").alias("p"))
+    return found.where("to IS NULL").groupBy("h1", "h2").agg(F.sum("n_links").alias("n_links"), F.min(place).alias("linked"))
+
+
+def line_groups(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """marked with head: the first place of all lines that equal lines and links connect with a line."""
+    roots = materialize(components(found.where("to IS NOT NULL").select("h1", "to"), "h1", "to").withColumnsRenamed({"node": "h1"}))
+    grouped = materialize(join_small(marked, roots, ["h1"], "left").withColumn("root", F.coalesce("root", "h1")))
+    return materialize(grouped.join(grouped.groupBy("root").agg(F.min("first").alias("head")), "root").drop("root"))
+
+
+def classes(found: DataFrame) -> DataFrame:
+    """(_k_id, _k_rid, class_id): the least id of the documents that shared or linked lines connect with each; null if none has an id.
+
+    found: _k_id, _k_rid and the head of each line's group.
+    """
+    head_id = F.when(F.col("head.a") == 2**63 - 1, F.lit(NO_ID)).otherwise(F.col("head.a"))
+    own = materialize(found.select("_k_id", "_k_rid", F.xxhash64("_k_id", "_k_rid").alias("node"), F.xxhash64(head_id, "head.r").alias("b")).distinct())
+    roots = materialize(components(own, "node", "b"))
+    docs = join_small(own.select("_k_id", "_k_rid", "node").distinct(), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
+    least = docs.groupBy("root").agg(F.min(F.when(F.col("_k_id") != NO_ID, F.col("_k_id"))).alias("class_id"))
+    return docs.join(least, "root").select("_k_id", "_k_rid", "class_id")
 
 
 def first_key(x: str, y: str, tau: int, least: int) -> int | None:
@@ -215,7 +246,7 @@ def _plan(length: int, tau: int, least: int) -> list[tuple[int, int, int, int]]:
 
 
 @carry("doc_id", "text")
-def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, classed: bool = False) -> DataFrame:
     """docs with clean_text, n_lines, n_removed, n_links and dup_of.
 
     Lines of min_chars code points or more take part, blanks at their ends aside. A line goes if an equal line stands earlier (by
@@ -223,6 +254,7 @@ def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, near
     or more. n_links counts, over the lines of the document, the different texts within tau edits of each; dup_of lists the ids of the
     documents that hold the earlier lines. Rows equal in id and text are one document: neither loses lines to the other. Null and
     empty texts have no lines. Other lines, blank ones too, stay as they are. Extra columns are carried; an empty table gives no rows.
+    classed: also class_id, the least id of the documents that equal and linked lines connect with the document, or its own.
     """
     docs = with_key(docs)
     order = F.when(F.col("_k_id") == -(2**63), F.lit(2**63 - 1)).otherwise(F.col("_k_id"))
@@ -234,9 +266,14 @@ def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, near
     texts = join_small(lines.withColumn("lid", F.col("h1")), wanted, ["lid"], "left_semi", rows=1_000_000)
     texts = texts.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("line").alias("line"))
     pairs = split_hot(shared, "key", "lid").join(texts, F.col("lid") == F.col("h1"))
-    links = materialize(verified(pairs, tau, near_chars))
+    linked = materialize(verified(pairs, tau, near_chars))
+    links = materialize(line_links(linked))
     marked = materialize(counted.join(links, ["h1", "h2"], "left").where("n > 1 OR n_links IS NOT NULL").drop("n"))
+    if classed:
+        marked = line_groups(marked, linked)
     found = join_small(lines.drop("line"), marked, ["h1", "h2"])
+    if classed:
+        found = materialize(found)
     mine = F.least("first", "linked")
     found = found.withColumn("gone", (place != F.col("first")) | F.coalesce(F.col("linked") < F.col("first"), F.lit(False)))
     per_doc = found.groupBy("_k_id", "_k_rid").agg(
@@ -245,6 +282,8 @@ def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, near
         F.collect_set(F.when(F.col("gone") & (mine["a"] != 2**63 - 1), mine["a"])).alias("dup_of"),
     )
     out = docs.join(per_doc, ["_k_id", "_k_rid"], "left")
+    if classed:
+        out = out.join(classes(found), ["_k_id", "_k_rid"], "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     none = F.array().cast("array<int>")
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     clean = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
@@ -258,9 +297,8 @@ def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, near
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    out = line_dedup(docs.select("doc_id", "text"))
-    # The class of a document is the first document that holds an earlier form of one of its lines, or itself.
-    return out.select("doc_id", F.least("doc_id", F.array_min("dup_of")).alias("class_id"), "n_lines", "n_removed", "n_links", "dup_of")
+    out = line_dedup(docs.select("doc_id", "text"), classed=True)
+    return out.select("doc_id", "class_id", "n_lines", "n_removed", "n_links", "dup_of")
 
 
 @carry("doc_id", "text", "n_chars", exact=True)

@@ -583,3 +583,13 @@ def test_near_dedup_is_exact(spark, sf, docs, empty, monkeypatch, block):
     assert near_dedup.stage(empty).count() == 0
     kept = near_dedup.stage(clashing(docs))
     assert kept.columns == clashing(docs).columns and {r.root for r in kept.collect()} == {"own root"}
+
+
+def test_line_dedup_class_follows_chains(spark):
+    """5 is near 4 and 4 near 3; 9 is near both 1 and 2, which are not near each other; all get the class of the first."""
+    line = "a line of text that is long enough to take part in near matching, number "
+    other = "quite another sentence, of which the copies differ at their very end: "
+    rows = [(3, line + "xxxx"), (4, line + "xxyy"), (5, line + "yyyy"), (1, other + "aaaa"), (2, other + "bbbb"), (9, other + "aabb"), (7, "x")]
+    rows += [(12, line + "yyyy\n" + "z" * 50), (None, "z" * 50), (20, None)]
+    got = {r.doc_id: r.class_id for r in line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3: 3, 4: 3, 5: 3, 12: 3, None: 3, 1: 1, 2: 1, 9: 1, 7: 7, 20: 20}
