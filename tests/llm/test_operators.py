@@ -593,3 +593,21 @@ def test_line_dedup_class_follows_chains(spark):
     rows += [(12, line + "yyyy\n" + "z" * 50), (None, "z" * 50), (20, None)]
     got = {r.doc_id: r.class_id for r in line_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {3: 3, 4: 3, 5: 3, 12: 3, None: 3, 1: 1, 2: 1, 9: 1, 7: 7, 20: 20}
+
+
+def test_secrets_joined_to_other_text(spark):
+    rng = random.Random(21)
+    made = {p: p + "".join(rng.choice(a) for _ in range(n)) for p, a, n in secret_scan.FORMATS}
+    heads = ["auth=", "GITHUB=", "key=", "host.example/path/", "export_x=", "a.b/c+"]
+    rows = [(k, h + made[p]) for k, (h, p) in enumerate((h, p) for h in heads for p in ("ghp_", "glpat-", "AIza", "npm_", "gho_"))]
+    rows.append((100, "auth=" + made["ghp_"] + "/" + made["gho_"]))
+    got = {r.doc_id: r.found for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    cut = [t for k, t in rows[:-1] if not any(x.kind == "format" and t.endswith(x.value) and len(x.value) >= 24 for x in got[k])]
+    assert not cut, cut
+    assert len(got[100]) == 2
+    model = secret_scan.default_automaton()
+    for _, t in rows:  # one pass gives the best of all sub-runs
+        starts = [i for i in range(len(t)) if t[i] not in "./=" and (i == 0 or t[i - 1] in secret_scan.JOINS)]
+        ends = [i for i in range(1, len(t) + 1) if t[i - 1] not in "./=" and (i == len(t) or t[i] in secret_scan.JOINS)]
+        every = [model.ratio(t[a:z]) for a in starts for z in ends if z - a >= 16 and re.search("[0-9]", t[a:z]) and re.search("[A-Za-z]", t[a:z])]
+        assert abs(max(every) - model.best(t)[0]) < 1e-6
