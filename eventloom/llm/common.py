@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one made here where it is unset (tests)."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. A local session without one gets a folder of its own; on a cluster that is an error."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -43,6 +45,20 @@ def join_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     return left.join(F.broadcast(small) if small.count() <= rows else small, on, how)
 
 
+def join_unique(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", hot: int = 1_000_000) -> DataFrame:
+    """Joins with a materialised side that has each key once. Keys with over `hot` rows on the left are joined apart, by broadcast: there
+    are few of them, and their rows stay where they are; the rest are shuffled by key."""
+    key = [key] if isinstance(key, str) else key
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how)
+    many = materialize(left.groupBy(*key).count().where(F.col("count") > hot).select(*key))
+    if many.isEmpty():
+        return left.join(right, key, how)
+    apart = join_small(left, many, key, "left_semi")
+    rest = join_small(left, many, key, "left_anti")
+    return rest.join(right, key, how).unionByName(join_small(apart, materialize(join_small(right, many, key, "left_semi")), key, how))
+
+
 def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds _k_id (the id, null as the least long) and _k_rid (a hash of id and text). Rows equal in both are one document and get one verdict."""
     return docs.withColumns({"_k_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_k_rid": F.xxhash64(F.col(id_col), F.col(text_col))})
@@ -86,11 +102,12 @@ def split_hot(rows: DataFrame, key: str, ident: str, block: int = 1000) -> DataF
     return rows.withColumn("cell", F.when(F.col("_nb").isNull(), F.col(key)).otherwise(pair)).drop("_nb", "_j")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
     """(node, root): each node of the undirected edges with the smallest node reachable, by alternating large and small stars.
 
-    Every round is a pair of aggregations and joins over the edges; nothing is gathered for a node. Self-loops and repeats are
-    harmless; no edges give no rows.
+    Every round is a pair of aggregations and joins over the edges; nothing is gathered for a node. Rounds go on until nothing changes (the
+    square of the logarithm of the nodes at most); more than `rounds` are an error, never a partial result. Self-loops and repeats
+    are harmless; no edges give no rows.
     """
     e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
     was = None
@@ -106,4 +123,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if now == was:
             break
         was = now
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -11,12 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import NO_ID, carry, components, join_small, materialize, split_hot, with_key
+from eventloom.llm.common import NO_ID, carry, components, join_small, join_unique, materialize, split_hot, with_key
 from eventloom.llm.textvec import buffers
 
 BITS, RADIUS, SHINGLE = 64, 3, 3
-#: The pipeline's stage: five words; 9 of the first 64 bits may differ and 19 of all 128, which is about a similarity of 0.8.
-STAGE_SHINGLE, STAGE_RADIUS, STAGE_TOTAL = 5, 9, 19
 LANES = np.uint64(0x0101010101010101)
 BIN_BITS = 12
 #: Probing one more value costs about as much as verifying so many candidates.
@@ -54,33 +52,23 @@ def majority_bits(hs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def remixed(h: np.ndarray) -> np.ndarray:
-    """A second, independent hash of each hash, for 64 more fingerprint bits."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def fingerprints(docs: DataFrame, n: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """(_k_id, _k_rid, fp): the SimHash of every text; null and wordless texts have 0. If wide, also fp2 with 64 more bits."""
+def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """(_k_id, _k_rid, fp): the SimHash of every text; null and wordless texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = buffers(b.column(2))
             raw = data.tobytes()
-            fps, more, hs, held = [], [], [], 0
+            fps, hs, held = [np.zeros(0, np.uint64)], [], 0
             for i in range(len(off) - 1):
                 hs.append(shingle_hashes(raw[off[i] : off[i + 1]], n))
                 held += len(hs[-1])
                 if held > 200_000 or i == len(off) - 2:
                     fps.append(majority_bits(hs))
-                    if wide:
-                        more.append(majority_bits(list(map(remixed, hs))))
                     hs, held = [], 0
-            cols = [pa.array(np.concatenate(x or [np.zeros(0, np.uint64)]).view(np.int64)) for x in ([fps, more] if wide else [fps])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["_k_id", "_k_rid", "fp", "fp2"][: 2 + len(cols)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(fps).view(np.int64))], ["_k_id", "_k_rid", "fp"])
 
-    return with_key(docs).select("_k_id", "_k_rid", F.col("text")).mapInArrow(run, "_k_id long, _k_rid long, fp long" + ", fp2 long" * wide)
+    return with_key(docs).select("_k_id", "_k_rid", F.col("text")).mapInArrow(run, "_k_id long, _k_rid long, fp long")
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
@@ -217,15 +205,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[at], nodes[low[at]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, total: int | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) that connect all pairs of distinct fingerprints with at most `radius` differing bits, and no others.
 
-    With a total, fps has fp2 too and a pair also differs in at most `total` bits of both together.
-
     fps: a materialised table of distinct fingerprints (fp). Index rows hold each partition's value, probe rows the values within the
     allocated threshold; both meet by value, hot values are split into cells, and verified pairs of a task shrink to a forest.
     """
-    n, names = fps.count(), ["fp"] + ["fp2"] * (total is not None)
+    n = fps.count()
     parts = group_bits(bit_counts(fps), n, choose_parts(n, radius))
     hists = histograms(fps, parts)
 
@@ -245,8 +231,7 @@ def links(fps: DataFrame, radius: int = RADIUS, total: int | None = None) -> Dat
                             masks = balls(len(bits), t)[len(balls(len(bits), t - 1)) :]
                             rows.append((((values[i][some][:, None] ^ masks) | tag).ravel(), np.repeat(every[some], len(masks)), np.full(some.sum() * len(masks), 2, np.int32)))
                     for k, at, role in rows:
-                        own = [whole.column(c)[lo : lo + 20_000].to_numpy()[at] for c in range(len(names))]
-                        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(role), *map(pa.array, own)], ["key", "role", *names])
+                        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(role), pa.array(fp[at].view(np.int64))], ["key", "role", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -256,16 +241,13 @@ def links(fps: DataFrame, radius: int = RADIUS, total: int | None = None) -> Dat
             x, y = forest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-        for cell, fp, role, block, *more in groups(batches):
+        for cell, fp, role, block in groups(batches):
             live, d = np.arange(len(cell)), 1
             while len(live := live[live + d < len(cell)]) and len(live := live[cell[live] == cell[live + d]]):
                 x, y = live, live + d
                 # Cells of two blocks compare across the blocks only; the rows of a cell are sorted by block.
                 ok = ((role[x] & 1) & (role[y] >> 1) | (role[y] & 1) & (role[x] >> 1)).astype(bool) & ((block[x] != block[y]) | one_block(cell, block)[x])
-                bits = np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64))
-                near = ok & (bits <= radius)
-                if more:
-                    near &= bits + np.bitwise_count((more[0][x] ^ more[0][y]).view(np.uint64)) <= total
+                near = ok & (np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)) <= radius)
                 if near.any():
                     held.append((fp[x[near]], fp[y[near]]))
                     count += int(near.sum())
@@ -276,9 +258,9 @@ def links(fps: DataFrame, radius: int = RADIUS, total: int | None = None) -> Dat
         if held:
             yield flush()
 
-    rows = split_hot(materialize(fps.select(*names).mapInArrow(emit, "key long, role int" + "".join(f", {c} long" for c in names))), "key", "fp")
+    rows = split_hot(materialize(fps.select("fp").mapInArrow(emit, "key long, role int, fp long")), "key", "fp")
     parts_n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts_n, "cell").sortWithinPartitions("cell", "block").select("cell", "fp", "role", "block", *names[1:])
+    dealt = rows.repartition(parts_n, "cell").sortWithinPartitions("cell", "block").select("cell", "fp", "role", "block")
     return dealt.mapInArrow(verify, "a long, b long").where("a != b")
 
 
@@ -291,59 +273,44 @@ def one_block(cell: np.ndarray, block: np.ndarray) -> np.ndarray:
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Column arrays of whole groups: rows sorted by the first column are handed on without the last group, which the next batch may go on with."""
-    rest: list[np.ndarray] | None = None
+    rest: list[list[np.ndarray]] = []  # parts that end with the group that is still open
     for b in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        if rest is not None:
-            cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
         if not len(cols[0]):
             continue
         cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        if cut:
-            yield [c[:cut] for c in cols]
-        rest = [c[cut:] for c in cols]
-    if rest is not None and len(rest[0]):
-        yield rest
+        if rest and (cut or rest[-1][0][-1] != cols[0][0]):
+            yield [np.concatenate(c) for c in zip(*rest, [x[:cut] for x in cols])]
+            rest = []
+        elif cut:
+            yield [x[:cut] for x in cols]
+        rest.append([x[cut:] for x in cols])
+    if rest:
+        yield [np.concatenate(c) for c in zip(*rest)]
 
 
 @carry("doc_id", "text")
-def simhash_dedup(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS, first: bool = True, total: int | None = None) -> DataFrame:
-    """docs with fp (long), component_id (the smallest doc_id of its component) and is_first (the one document of the component that stays; left out if not `first`).
+def simhash_dedup(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs with fp (long) and component_id (the smallest doc_id of its component).
 
     Rows equal in id and text are one document. Null and wordless texts share fingerprint zero and link like others. A component of
-    null ids only has a null component_id; a null id is otherwise the last choice. Extra columns are carried; an empty table gives
-    no rows.
+    null ids only has a null component_id. Extra columns are carried; an empty table gives no rows. Fingerprints that very many
+    documents share, and components of very many fingerprints, are joined apart from the rest.
     """
     docs = with_key(docs)
-    marks = materialize(fingerprints(docs, n, total is not None).distinct())
-    second = [] if total is None else [F.min("fp2").alias("fp2")]
-    distinct = materialize(marks.groupBy("fp").agg(F.min(F.when(F.col("_k_id") != NO_ID, F.col("_k_id"))).alias("least"), *second))
-    edges = materialize(links(distinct.drop("least"), radius, total))
+    marks = materialize(fingerprints(docs, n).distinct())
+    distinct = materialize(marks.groupBy("fp").agg(F.min(F.when(F.col("_k_id") != NO_ID, F.col("_k_id"))).alias("least")))
+    edges = materialize(links(distinct.drop("least"), radius))
     roots = materialize(components(edges))
-    joined = join_small(distinct, roots.withColumnsRenamed({"node": "fp"}), ["fp"], "left").withColumn("root", F.coalesce("root", "fp"))
-    # Components of one fingerprint need no second look; the others are few, and joined by their root.
-    multi = materialize(joined.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component_id")))
-    by_fp = join_small(joined, multi, ["root"], "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id"))
-    tagged = marks.join(by_fp, "fp")
-    extra = ["fp", "component_id"]
-    if first:
-        order = F.when(F.col("_k_id") == NO_ID, F.lit(2**63 - 1)).otherwise(F.col("_k_id"))
-        least = tagged.groupBy("root").agg(F.min(F.struct(order.alias("i"), F.col("_k_rid").alias("r"))).alias("least"))
-        tagged = tagged.join(least, "root").withColumn("is_first", F.struct(order.alias("i"), F.col("_k_rid").alias("r")) == F.col("least"))
-        extra.append("is_first")
-    return docs.join(tagged.select("_k_id", "_k_rid", *extra), ["_k_id", "_k_rid"]).drop("_k_id", "_k_rid")
+    joined = materialize(join_small(distinct, roots.withColumnsRenamed({"node": "fp"}), ["fp"], "left").withColumn("root", F.coalesce("root", "fp")))
+    # Components of one fingerprint need no second look.
+    several = joined.where("fp != root").select("root").distinct()
+    multi = materialize(joined.groupBy("root").agg(F.min("least").alias("component_id")).join(several, "root", "left_semi"))
+    by_fp = materialize(join_unique(joined, multi, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+    tagged = join_unique(marks, by_fp, "fp")
+    return docs.join(tagged.select("_k_id", "_k_rid", "fp", "component_id"), ["_k_id", "_k_rid"]).drop("_k_id", "_k_rid")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    out = simhash_dedup(docs.select("doc_id", "text"), first=False)
+    out = simhash_dedup(docs.select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-@carry("doc_id", "text", exact=True)
-def stage(docs: DataFrame) -> DataFrame:
-    """One document of each component of five-word fingerprints, in the columns of docs.
-
-    The index takes 64 bits and a radius; the 64 more bits keep unlike texts apart at any number of documents. Repeated rows are one
-    document, of which one row stays.
-    """
-    return with_key(simhash_dedup(docs, STAGE_SHINGLE, STAGE_RADIUS, total=STAGE_TOTAL).where("is_first")).dropDuplicates(["_k_id", "_k_rid"])
