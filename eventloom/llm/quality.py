@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import BROADCAST_ROWS, carry, materialize
+from eventloom.llm.common import carry, join_small, materialize, with_key
 
 SPACES = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -35,26 +35,36 @@ def _with_repeats(df: DataFrame, window: int) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, lines): hashes of the normalised lines that more than max(min_docs, max_share of the host's documents) different texts of the host hold.
+    """(_host, _line): hashes of the normalised lines that more than max(min_docs, max_share of the host's documents) documents of the host hold.
 
-    Exact copies of a text count once: copies are for deduplication, and do not make their lines boilerplate.
+    Documents are distinct rows of id and text. A line also has to stand in more than min_docs different texts: copies of one text are
+    for deduplication, and do not make boilerplate of its lines.
     """
-    seen = docs.select(F.coalesce(F.col(host), F.lit("")).alias("_host"), F.xxhash64("text").alias("_t"), line_hashes(F.col("text")).alias("_l"))
-    per_host = seen.groupBy("_host", "_t").agg(F.count("*").alias("n")).groupBy("_host").agg(F.count("*").alias("_docs"))
-    copies = seen.select("_host", "_t", F.explode("_l").alias("_line"))
-    # The copies of a line within equal texts fall together before the shuffle wherever they share a task.
-    counts = copies.groupBy("_host", "_line", "_t").agg(F.lit(1).alias("one")).groupBy("_host", "_line").agg(F.count("*").alias("_n"))
-    over = counts.where(F.col("_n") > min_docs).join(per_host, "_host").where(F.col("_n") > F.col("_docs") * max_share)
+    seen = with_key(docs).select(F.coalesce(F.col(host), F.lit("")).alias("_host"), F.xxhash64("text").alias("_t"), "_k_id", "_k_rid", line_hashes(F.col("text")).alias("_l"))
+    # One row for each text with the number of its documents, so that copies are counted before their lines are told apart.
+    texts = seen.dropDuplicates(["_host", "_t", "_k_id", "_k_rid"]).groupBy("_host", "_t").agg(F.count("*").alias("_c"), F.first("_l").alias("_l"))
+    texts = materialize(texts)
+    per_host = texts.groupBy("_host").agg(F.sum("_c").alias("_docs"))
+    counts = texts.select("_host", "_c", F.explode("_l").alias("_line")).groupBy("_host", "_line").agg(F.sum("_c").alias("_n"), F.count("*").alias("_texts"))
+    over = counts.where((F.col("_n") > min_docs) & (F.col("_texts") > min_docs)).join(per_host, "_host").where(F.col("_n") > F.col("_docs") * max_share)
     return over.select("_host", "_line")
 
 
-def norm_line(line: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(line, r"[0-9]+", "0"), SPACES, " "))
-
-
 def line_hashes(text: Column) -> Column:
     """Distinct hashes of the normalised lines of a text that hold a word: lower case, digits as 0, one space for white space."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.xxhash64(F.trim(norm_line(x)))))
+    return F.array_distinct(F.transform(F.filter(F.transform(F.split(normal(text), "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x)))
+
+
+def normal(text: Column) -> Column:
+    """A whole text with its lines normalised, but for a blank at their ends."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " "))
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose normal form has a hash in `gone`."""
+    pairs = F.arrays_zip(F.split(F.coalesce(text, F.lit("")), "\n").alias("x"), F.split(normal(text), "\n").alias("y"))
+    left = F.filter(pairs, lambda p: (F.trim(p["y"]) == "") | ~F.array_contains(gone, F.xxhash64(F.trim(p["y"]))))
+    return F.array_join(F.transform(left, lambda p: p["x"]), "\n")
 
 
 @carry("doc_id", "text", "source", "n_chars")
@@ -67,34 +77,31 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     source must be renamed to it; an empty table gives no rows.
     """
     over = materialize(boilerplate(docs, "source", min_docs, max_share))
-    docs = docs.withColumn("_host", F.coalesce(F.col("source"), F.lit("")))
-    if over.count() <= BROADCAST_ROWS:
-        lists = over.groupBy("_host").agg(F.collect_list("_line").alias("_over"))
-        docs = docs.join(F.broadcast(lists), "_host", "left").withColumn("_found", F.array_intersect(line_hashes(F.col("text")), F.coalesce("_over", F.array().cast("array<bigint>"))))
-    else:
-        key = [F.xxhash64("text").alias("_t"), F.xxhash64(F.lit(7), "text").alias("_t2")]
-        lines = docs.select("_host", *key, F.explode(line_hashes(F.col("text"))).alias("_line")).distinct()
-        found = lines.join(over, ["_host", "_line"]).groupBy("_host", "_t", "_t2").agg(F.collect_list("_line").alias("_found"))
-        docs = docs.withColumns({"_t": key[0], "_t2": key[1]}).join(found, ["_host", "_t", "_t2"], "left").drop("_t", "_t2").withColumn("_found", F.coalesce("_found", F.array().cast("array<bigint>")))
+    keyed = with_key(docs)
+    lines = keyed.select("_k_id", "_k_rid", F.coalesce(F.col("source"), F.lit("")).alias("_host"), F.explode(line_hashes(F.col("text"))).alias("_line"))
+    found = join_small(lines, over, ["_host", "_line"]).groupBy("_k_id", "_k_rid", "_host").agg(F.collect_set("_line").alias("_found"))
+    keyed = keyed.withColumn("_host", F.coalesce(F.col("source"), F.lit("")))
+    docs = join_small(keyed, materialize(found), ["_k_id", "_k_rid", "_host"], "left").drop("_k_id", "_k_rid", "_host")
     text = F.coalesce(F.col("text"), F.lit(""))
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("_found", F.xxhash64(F.trim(norm_line(x)))))), "\n")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumn("_words", words_of(F.col("text")))
-    df = df.withColumn("clean_text", F.when(F.size("_found") > 0, left).otherwise(F.col("text")))
-    df = df.withColumn("_lines", lines).withColumns({
+    some = F.col("_found").isNotNull()
+    df = docs.withColumns({
+        "_words": words_of(F.col("text")),
+        "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        "clean_text": F.when(some, without_lines(F.col("text"), F.col("_found"))).otherwise(F.col("text")),
+    }).withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
     })
     df = _with_repeats(df, WINDOW)
-    df = df.withColumn("n_words_left", F.when(F.size("_found") > 0, F.size(words_of(F.col("clean_text"))).cast("long")).otherwise(F.col("n_words")))
+    df = df.withColumn("n_words_left", F.when(some, F.size(words_of(F.col("clean_text"))).cast("long")).otherwise(F.col("n_words")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    depleted = (F.size("_found") > 0) & ((F.col("n_words_left") < min_words) | (F.col("n_words_left") < min_kept_share * F.col("n_words")))
+    depleted = some & ((F.col("n_words_left") < min_words) | (F.col("n_words_left") < min_kept_share * F.col("n_words")))
     # A filter on the verdict must stop here: pushed further down, it would repeat the nested expressions below over and over.
     df = df.withColumns({"base_failed": failed, "_stop": F.monotonically_increasing_id()})
     df = df.withColumn("kept", (F.col("_stop") >= 0) & ~F.col("base_failed") & ~depleted)
-    return df.drop("_words", "_lines", "_host", "_over", "_found", "_stop")
+    return df.drop("_words", "_lines", "_found", "_stop")
 
 
 DIGEST = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -113,10 +120,10 @@ f AS (
   SELECT doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 n AS (SELECT *, list_distinct(list_transform(l, lambda x: trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')))) AS nl FROM f),
-u AS (SELECT DISTINCT host, t, nl FROM n),
+u AS (SELECT DISTINCT host, doc_id, t, nl FROM n),
 hosts AS (SELECT host, count(*) AS docs FROM u GROUP BY host),
-over_ AS (SELECT host, line FROM (SELECT host, unnest(nl) AS line FROM u) JOIN hosts USING (host) GROUP BY host, line
-          HAVING count(*) > {MIN_DOCS} AND count(*) > max(docs) * {MAX_SHARE}),
+over_ AS (SELECT host, line FROM (SELECT host, t, unnest(nl) AS line FROM u) JOIN hosts USING (host) GROUP BY host, line
+          HAVING count(*) > {MIN_DOCS} AND count(DISTINCT t) > {MIN_DOCS} AND count(*) > max(docs) * {MAX_SHARE}),
 lists AS (SELECT host, list(line) AS over_lines FROM over_ GROUP BY host),
 win AS (SELECT doc_id, t, i, array_to_string(w[i:i+{WINDOW - 1}], ' ') AS g FROM (SELECT DISTINCT doc_id, t, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM n)),
 rep AS (SELECT doc_id, t, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, t, g) > 1),
