@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -10,13 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import NO_ID, carry, components, join_small, materialize, split_hot, with_key
+from eventloom.llm.common import NO_ID, carry, components, join_small, join_unique, materialize, split_hot, with_key
 from eventloom.llm.simhash import forest, groups
 
+#: An edit for every so many code points of the shorter line, TAU at most: lines of under PER_EDIT code points have to be equal.
 TAU = 2
-MIN_CHARS = 20
-NEAR_CHARS = 40
+PER_EDIT = 20
 BLANKS = " \t\r\x0b\x0c"
+#: The lines of a segment that more than so many lines share meet by a second segment of what is left of them.
+HOT = 1000
+
+
+def allowed(length: int, tau: int = TAU, per_edit: int = PER_EDIT) -> int:
+    """The edits allowed between a line of that length and one that is no shorter."""
+    return min(tau, length // per_edit)
 
 
 def segments(length: int, tau: int) -> list[tuple[int, int]]:
@@ -30,19 +38,26 @@ def segments(length: int, tau: int) -> list[tuple[int, int]]:
     return out
 
 
-def probes(length: int, tau: int, least: int) -> list[tuple[int, int, int, int]]:
-    """(indexed length, segment, start, end) of the substrings a line of `length` probes: for each length down to length - tau, only
-    the starts from which the parts left and right of a matching segment can still be within tau edits."""
-    out = []
-    for other in range(max(least, length - tau), length + 1):
-        gap = length - other
-        for i, (p, n) in enumerate(segments(other, tau)):
-            lo = max(0, p - i, p + gap - (tau - i))
-            hi = min(length - n, p + i, p + gap + (tau - i))
-            out += [(other, i, s, s + n) for s in range(lo, hi + 1)]
+def probes(length: int, other: int, tau: int) -> list[tuple[int, int, int]]:
+    """(segment, start, end) of the substrings that a line of `length` probes for lines of length `other`, no longer than it: only the
+    starts from which the parts left and right of a matching segment can still be within tau edits."""
+    gap, out = length - other, []
+    if gap > tau:
+        return out
+    for i, (p, n) in enumerate(segments(other, tau)):
+        lo = max(0, p - i, p + gap - (tau - i))
+        hi = min(length - n, p + i, p + gap + (tau - i))
+        out += [(i, s, s + n) for s in range(lo, hi + 1)]
     return out
 
 
+@functools.lru_cache(maxsize=100_000)
+def plan(length: int, tau: int, per_edit: int) -> list[tuple[int, int, int, int]]:
+    """(indexed length, segment, start, end) of all that a line of `length` probes, for itself first to last by rising length."""
+    lengths = range(max(per_edit, length - tau), length + 1)
+    return [(other, *x) for other in lengths for x in probes(length, other, allowed(other, tau, per_edit))]
+
+
 def within(a: str, b: str, tau: int) -> bool:
     """Whether the edit distance of a and b is at most tau: banded bit-parallel dynamic programming over diagonals -tau..tau."""
     if abs(len(a) - len(b)) > tau:
@@ -82,21 +97,22 @@ def within(a: str, b: str, tau: int) -> bool:
     return bool(rows[tau] >> d & 1)
 
 
-def _key(line: str, other: int, i: int, s: int, e: int) -> int:
+def _key(text: str, other: int, i: int, within: int = 0) -> int:
+    """The key of a segment's text; `within` is the key of the group that it divides."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(line[s:e], other * 64 + i)
+    return xxhash.xxh64_intdigest(text, other * 64 + i) ^ within * 0x9E3779B97F4A7C15 & 2**64 - 1
 
 
-def line_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """A row for each line of at least min_chars code points, blanks at its ends aside: _k_id, _k_rid, pos (from 0), line, h1 and h2 (its hashes)."""
+def line_rows(docs: DataFrame) -> DataFrame:
+    """A row for each line that holds a word, blanks at its ends aside: _k_id, _k_rid, pos (from 0), line, h1 and h2 (its hashes)."""
     lines = docs.select("_k_id", "_k_rid", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.length("line") >= min_chars)
+    lines = lines.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
-def segment_keys(docs: DataFrame, tau: int, least: int) -> DataFrame:
-    """(key, lid, role): what each line of at least `least` code points indexes (role 1) and probes (2); both are one row (3)."""
+def segment_keys(docs: DataFrame, tau: int, per_edit: int) -> DataFrame:
+    """(key, lid, role): what each line of at least per_edit code points indexes (role 1) and probes (2); both are one row (3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -117,16 +133,16 @@ def segment_keys(docs: DataFrame, tau: int, least: int) -> DataFrame:
             for text in b.column(0):
                 for line in (text.as_py() or "").split("\n"):
                     line = line.strip(BLANKS)
-                    if len(line) < least or (lid := hash_(line, 42)) in seen:
+                    if len(line) < per_edit or (lid := hash_(line, 42)) in seen:
                         continue
                     seen.add(lid)
-                    if (plan := plans.get(len(line))) is None:
-                        own = [p for p, _ in segments(len(line), tau)]
-                        plan = plans[len(line)] = [(o * 64 + i, s, e, 3 if o == len(line) and s == own[i] else 2) for o, i, s, e in probes(len(line), tau, least)]
-                    keys += [hash_(line[s:e], seed) for seed, s, e, _ in plan]
-                    roles += [r for _, _, _, r in plan]
+                    if (own := plans.get(len(line))) is None:
+                        at = [p for p, _ in segments(len(line), allowed(len(line), tau, per_edit))]
+                        own = plans[len(line)] = [(o * 64 + i, s, e, 3 if o == len(line) and s == at[i] else 2) for o, i, s, e in plan(len(line), tau, per_edit)]
+                    keys += [hash_(line[s:e], seed) for seed, s, e, _ in own]
+                    roles += [r for _, _, _, r in own]
                     lids.append(lid)
-                    sizes.append(len(plan))
+                    sizes.append(len(own))
                     if len(keys) > 200_000:
                         yield out()
                         keys, lids, sizes, roles = [], [], [], []
@@ -135,6 +151,35 @@ def segment_keys(docs: DataFrame, tau: int, least: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, lid long, role byte")
 
 
+def divided(rows: DataFrame, tau: int, per_edit: int) -> DataFrame:
+    """(key, lid, role, whole) of lines that meet under a hot key (rows: whole, lid, line): new keys from the segments of what is left of them.
+
+    Two lines that agree on a segment and are within so many edits are within as many without it, so one of the segments of the rest
+    agrees as well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wholes, lids, lines = (b.column(k).to_pylist() for k in range(3))
+            out: list[tuple[int, int, int, int]] = []
+            for whole, lid, line in zip(wholes, lids, lines):
+                got: dict[int, int] = {}
+                for other, i, s, e in plan(len(line), tau, per_edit):
+                    if _key(line[s:e], other, i) != whole & 2**64 - 1:
+                        continue
+                    rest, t = line[:s] + line[e:], allowed(other, tau, per_edit)
+                    for j, x, y in probes(len(rest), other - (e - s), t):
+                        got[_key(rest[x:y], other, j, whole)] = got.get(_key(rest[x:y], other, j, whole), 0) | 2
+                    if other == len(line) and s == segments(other, t)[i][0]:
+                        for j, (p, n) in enumerate(segments(len(rest), t)):
+                            got[_key(rest[p : p + n], other, j, whole)] = got.get(_key(rest[p : p + n], other, j, whole), 0) | 1
+                out += [(k - 2**64 if k >= 2**63 else k, lid, r, whole) for k, r in got.items()]
+            types = (pa.int64(), pa.int64(), pa.int8(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], ["key", "lid", "role", "whole"])
+
+    return rows.select("whole", "lid", "line").mapInArrow(run, "key long, lid long, role byte, whole long")
+
+
 def shared_keys(keys: DataFrame) -> DataFrame:
     """The (key, lid) of keys that two lines or more have, one of them as an index entry."""
 
@@ -153,15 +198,16 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.repartition(n, "key").sortWithinPartitions("key", "lid").mapInArrow(run, "key long, lid long")
 
 
-def verified(rows: DataFrame, tau: int, least: int) -> DataFrame:
+def verified(rows: DataFrame, tau: int, per_edit: int) -> DataFrame:
     """(h1, h2, n_links, _a, _r, _p, to) of each task: of lines, how many other texts are within tau edits, and the first place of
     those; and, where `to` is set, edges (h1, to) that connect what the pairs of the task connect.
 
-    rows: cell, block, key, h1, h2, line, first (struct). A pair that meets under several keys counts under the first alone.
+    rows: cell, block, key, whole (the hot key that key divides, or null), h1, h2, line, first (struct). A pair that meets under several
+    keys counts under the first alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, block, key, h1, h2, line, a, r, p in groups(batches):
+        for cell, block, key, whole, split, h1, h2, line, a, r, p in groups(batches):
             starts = np.append(np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), len(cell))
             links: dict[int, int] = defaultdict(int)
             least_at: dict[int, tuple] = {}
@@ -177,7 +223,7 @@ def verified(rows: DataFrame, tau: int, least: int) -> DataFrame:
                             break
                         if (not one and block[x] == block[y]) or key[x] != key[y] or (h1[x] == h1[y] and h2[x] == h2[y]):
                             continue
-                        if first_key(lx, ly, tau, least) != int(key[x]) & (2**64 - 1) or not within(lx, ly, tau):
+                        if not is_first(lx, ly, int(key[x]), int(whole[x]) if split[x] else None, tau, per_edit) or not within(lx, ly, allowed(len(lx), tau, per_edit)):
                             continue
                         pairs.append((x, y))
                         for u, v in ((x, y), (y, x)):
@@ -196,7 +242,7 @@ def verified(rows: DataFrame, tau: int, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u), *[pa.nulls(len(u), pa.int64())] * 5, pa.array(v)], names)
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = ["cell", "block", "key", "h1", "h2", "line", "first.a", "first.r", "first.p"]
+    cols = ["cell", "block", "key", F.coalesce("whole", F.lit(0)).alias("whole"), F.col("whole").isNotNull().alias("split"), "h1", "h2", "line", "first.a", "first.r", "first.p"]
     dealt = rows.repartition(n, "cell").sortWithinPartitions("cell", "block").select(*cols)
     return dealt.mapInArrow(run, "h1 long, h2 long, n_links long, _a long, _r long, _p long, to long")
 
@@ -227,51 +273,63 @@ def classes(found: DataFrame) -> DataFrame:
     return docs.join(least, "root").select("_k_id", "_k_rid", "class_id")
 
 
-def first_key(x: str, y: str, tau: int, least: int) -> int | None:
-    """The key under which x, the shorter line or the first of equal length, is first found by y."""
-    segs = segments(len(x), tau)
-    for other, i, s, e in _plan(len(y), tau, least):
-        if other == len(x) and x[segs[i][0] : segs[i][0] + segs[i][1]] == y[s:e]:
-            return _key(y, other, i, s, e)
-    return None
-
-
-_PLANS: dict[tuple[int, int, int], list[tuple[int, int, int, int]]] = {}
-
-
-def _plan(length: int, tau: int, least: int) -> list[tuple[int, int, int, int]]:
-    if (length, tau, least) not in _PLANS:
-        _PLANS[length, tau, least] = probes(length, tau, least)
-    return _PLANS[length, tau, least]
+def is_first(x: str, y: str, key: int, whole: int | None, tau: int, per_edit: int) -> bool:
+    """Whether `key`, which may divide a hot key `whole`, is the first under which y finds x, the shorter line or the first of equal length."""
+    t = allowed(len(x), tau, per_edit)
+    segs = segments(len(x), t)
+    for i, s, e in probes(len(y), len(x), t):
+        p, n = segs[i]
+        if x[p : p + n] == y[s:e]:
+            if whole is None:
+                return _key(y[s:e], len(x), i) == key & 2**64 - 1
+            if _key(y[s:e], len(x), i) != whole & 2**64 - 1:
+                return False
+            rx, ry = x[:p] + x[p + n :], y[:s] + y[e:]
+            rest = segments(len(rx), t)
+            for j, u, v in probes(len(ry), len(rx), t):
+                if rx[rest[j][0] : sum(rest[j])] == ry[u:v]:
+                    return _key(ry[u:v], len(x), j, whole) == key & 2**64 - 1
+            return False
+    return False
 
 
 @carry("doc_id", "text")
-def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, classed: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, tau: int = TAU, per_edit: int = PER_EDIT, classed: bool = False, hot: int = HOT) -> DataFrame:
     """docs with clean_text, n_lines, n_removed, n_links and dup_of.
 
-    Lines of min_chars code points or more take part, blanks at their ends aside. A line goes if an equal line stands earlier (by
-    doc_id, null last, then place), or if a line within tau edits has its first place earlier; the latter for lines of near_chars
-    or more. n_links counts, over the lines of the document, the different texts within tau edits of each; dup_of lists the ids of the
-    documents that hold the earlier lines. Rows equal in id and text are one document: neither loses lines to the other. Null and
-    empty texts have no lines. Other lines, blank ones too, stay as they are. Extra columns are carried; an empty table gives no rows.
-    classed: also class_id, the least id of the documents that equal and linked lines connect with the document, or its own.
+    Lines that hold a word take part, blanks at their ends aside. A line goes if an equal line stands earlier (by doc_id, null last,
+    then place), or if a line within the allowed edits has its first place earlier: an edit for every per_edit code points of the
+    shorter line, tau at most. n_links counts, over the lines of the document, the different texts within the allowed edits of each;
+    dup_of lists the ids of the documents that hold the earlier lines. Rows equal in id and text are one document: neither loses lines
+    to the other. Null and empty texts have no lines. Lines without a word stay as they are. Extra columns are carried; an empty table
+    gives no rows. classed: also class_id, the least id of the documents that equal and linked lines connect with the document, or its
+    own. Lines of a segment that more than `hot` lines share are compared only where a second segment agrees too, which loses no pair.
     """
     docs = with_key(docs)
     order = F.when(F.col("_k_id") == -(2**63), F.lit(2**63 - 1)).otherwise(F.col("_k_id"))
     place = F.struct(order.alias("a"), F.col("_k_rid").alias("r"), F.col("pos").cast("long").alias("p"))
-    lines = line_rows(docs, min_chars)
+    lines = line_rows(docs)
     counted = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    shared = materialize(shared_keys(segment_keys(docs, tau, near_chars)))
+    shared = materialize(shared_keys(segment_keys(docs, tau, per_edit)))
     wanted = materialize(shared.select("lid").distinct())
     texts = join_small(lines.withColumn("lid", F.col("h1")), wanted, ["lid"], "left_semi", rows=1_000_000)
     texts = texts.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("line").alias("line"))
-    pairs = split_hot(shared, "key", "lid").join(texts, F.col("lid") == F.col("h1"))
-    linked = materialize(verified(pairs, tau, near_chars))
+    many = materialize(shared.groupBy("key").count().where(F.col("count") > hot).select("key"))
+    if many.isEmpty():
+        met = shared.withColumn("whole", F.lit(None).cast("long"))
+    else:
+        texts = materialize(texts)
+        crowded = join_small(shared, many, ["key"], "left_semi").select(F.col("key").alias("whole"), "lid").join(texts.select(F.col("h1").alias("lid"), "line"), "lid")
+        parts = divided(crowded, tau, per_edit)
+        again = shared_keys(parts.drop("whole")).join(parts.select("key", "whole").distinct(), "key")
+        met = materialize(join_small(shared, many, ["key"], "left_anti").withColumn("whole", F.lit(None).cast("long")).unionByName(again))
+    pairs = split_hot(met, "key", "lid").join(texts, F.col("lid") == F.col("h1"))
+    linked = materialize(verified(pairs, tau, per_edit))
     links = materialize(line_links(linked))
     marked = materialize(counted.join(links, ["h1", "h2"], "left").where("n > 1 OR n_links IS NOT NULL").drop("n"))
     if classed:
         marked = line_groups(marked, linked)
-    found = join_small(lines.drop("line"), marked, ["h1", "h2"])
+    found = join_unique(lines.drop("line"), marked, ["h1", "h2"])
     if classed:
         found = materialize(found)
     mine = F.least("first", "linked")
@@ -288,7 +346,7 @@ def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, near
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     clean = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
     return out.withColumns({
-        "n_lines": F.size(F.filter(split, lambda x: F.length(F.btrim(x, F.lit(BLANKS))) >= min_chars)).cast("long"),
+        "n_lines": F.size(F.filter(split, lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("long"),
         "n_removed": F.size(F.coalesce("_gone", none)).cast("long"),
         "n_links": F.coalesce("n_links", F.lit(0)).cast("long"),
         "dup_of": F.array_sort(F.coalesce("dup_of", F.array().cast("array<bigint>"))),

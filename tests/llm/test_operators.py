@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 import xxhash
 
-from eventloom.llm import decontam, langid, licenses, line_dedup, mixing, quality, secret_scan, simhash, suffix_dedup, warc
+from eventloom.llm import decontam, langid, licenses, line_dedup, mixing, near_dedup, quality, secret_scan, simhash, suffix_dedup, warc
 from eventloom.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -80,11 +80,11 @@ def test_banded_distance():
             assert line_dedup.within(a, b, tau) == (levenshtein(a, b) <= tau), (a, b, tau)
 
 
-def brute_lines(rows, tau=2, exact=20, near=40):
+def brute_lines(rows):
     docs = sorted({(2**62 if i is None else i, t or "") for i, t, *_ in rows}, key=lambda d: d[0])
     # Rows of one id come in the order of a hash; such rows are not compared here.
     lines = [(d, p, x.strip(line_dedup.BLANKS)) for d in docs for p, x in enumerate(d[1].split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= exact]
+    lines = [x for x in lines if x[2]]
     first = {}
     for d, p, x in lines:
         first.setdefault(x, (d[0], p))
@@ -92,7 +92,8 @@ def brute_lines(rows, tau=2, exact=20, near=40):
     links = {x: [] for x in texts}
     for i, x in enumerate(texts):
         for y in texts[:i]:
-            if min(len(x), len(y)) >= near and abs(len(x) - len(y)) <= tau and line_dedup.within(x, y, tau):
+            tau = min(2, min(len(x), len(y)) // 20)
+            if tau and abs(len(x) - len(y)) <= tau and line_dedup.within(x, y, tau):
                 links[x].append(y)
                 links[y].append(x)
     out = {}
@@ -119,11 +120,12 @@ def near_line_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [1000, 7])
-def test_line_dedup(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(1000, 1000), (7, 1000), (1000, 2), (5, 3)])
+def test_line_dedup(spark, monkeypatch, block, hot):
     monkeypatch.setattr(line_dedup, "split_hot", lambda r, k, i, f=line_dedup.split_hot: f(r, k, i, block))
     rows = near_line_rows()
-    got = {(r.doc_id, r.text): (r.n_lines, r.n_removed, r.n_links) for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    rows += [(200 + k, x, "en", "s", 0) for k, x in enumerate(["yes", "yes", "a line of 20 and more", "a line of 20 and mor", "a line of 20 and meer", "no word of it", "no word of its", "short\n\nshort", " \t", "\x0b yes"])]
+    got = {(r.doc_id, r.text): (r.n_lines, r.n_removed, r.n_links) for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA), hot=hot).collect()}
     want = brute_lines(rows)
     assert got == want
     assert sum(v[2] for v in want.values()) > 100 and sum(v[1] for v in want.values()) > 50
@@ -146,16 +148,10 @@ def test_line_dedup_real_and_awkward(spark, sf, docs, empty):
 # op 2
 
 
-def brute_mix(h):
-    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
-    h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
-    return h ^ h >> 31
-
-
-def brute_fp(text, n=3, mix=lambda h: h):
+def brute_fp(text, n=3):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
     sh = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [" ".join(w)] if w else []
-    hs = [mix(xxhash.xxh64_intdigest(s.encode(), 42)) for s in sh]
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
 
 
@@ -186,14 +182,8 @@ def test_simhash(spark, sf, docs, empty):
                 least[comp[f]] = min(i, least.get(comp[f], i))
         got = simhash.digest(df).collect()
         assert sorted((r.doc_id or -1, r.fingerprint, r.component_id or -1) for r in got) == sorted((r.doc_id or -1, f"{fp[r.doc_id, r.text]:016x}", least.get(comp[fp[r.doc_id, r.text]], -1) or -1) for r in rows)
-        wide = {k: (brute_fp(k[1], 5), brute_fp(k[1], 5, brute_mix)) for k in fp}
-        second = {a: min(y for x, y in wide.values() if x == a) for a, _ in wide.values()}
-        near = lambda a, b: (n := (a ^ b).bit_count()) <= 9 and n + (second[a] ^ second[b]).bit_count() <= 19
-        kept = simhash.stage(df).collect()
-        assert len(kept) == len(set(brute_components(set(second), near).values()))
     assert simhash.digest(empty).count() == 0
-    kept = simhash.stage(clashing(docs))
-    assert kept.columns == clashing(docs).columns and {r.fp for r in kept.collect()} == {"own fp"}
+    assert simhash.simhash_dedup(clashing(docs)).count() == docs.count()
 
 
 @pytest.mark.parametrize(("m", "block"), [(2, 1000), (3, 1000), (4, 1000), (4, 5)])
@@ -216,7 +206,7 @@ def test_simhash_links(spark, monkeypatch, m, block):
     assert groups(mine) == groups(comp)
 
 
-def test_simhash_stage_drops_near_copies_only(spark):
+def test_near_dedup_drops_near_copies_only(spark):
     """Texts of 300 words with 2 of them changed go; texts that share a third of their words in order stay."""
     rng = random.Random(3)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
@@ -227,8 +217,8 @@ def test_simhash_stage_drops_near_copies_only(spark):
         for at in (40, 200):
             edited[at] = f"new{i}"
         rows += [(4 * i, base), (4 * i + 1, edited), (4 * i + 2, shared + words(200)), (4 * i + 3, words(6))]
-    kept = {r.doc_id for r in simhash.stage(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
-    assert all(i in kept for i, _ in rows if i % 4 != 1) and sum(i % 4 == 1 for i in kept) <= 6
+    kept = {r.doc_id for r in near_dedup.stage(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows if i % 4 != 1}
 
 
 def test_components(spark):
@@ -260,7 +250,7 @@ def brute_quality(text):
 
 @pytest.mark.parametrize("rows", [200_000, -1])
 def test_quality(spark, sf, docs, empty, monkeypatch, rows):
-    monkeypatch.setattr(quality, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(quality, "join_small", lambda *a, f=quality.join_small: f(*a, rows=rows))
     kept = []
     for df in (sf, docs):
         out = quality.quality_rules(df, min_docs=2, max_share=0.01).collect()
@@ -271,10 +261,10 @@ def test_quality(spark, sf, docs, empty, monkeypatch, rows):
         norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]+", "0", x.lower())).strip()
         holds, hosts = {}, {}
         for r in df.collect():
-            hosts.setdefault(r.source or "", set()).add(r.text)
+            hosts.setdefault(r.source or "", set()).add((r.doc_id, r.text))
             for x in {norm(x) for x in (r.text or "").split("\n") if x.strip(" \t\r\x0b\x0c")}:
-                holds.setdefault((r.source or "", x), set()).add(r.text)
-        over = {k for k, v in holds.items() if len(v) > 2 and len(v) > 0.01 * len(hosts[k[0]])}
+                holds.setdefault((r.source or "", x), set()).add((r.doc_id, r.text))
+        over = {k for k, v in holds.items() if len({t for _, t in v}) > 2 and len(v) > 0.01 * len(hosts[k[0]])}
         for r in out:
             left = [x for x in (r.text or "").split("\n") if not ((r.source or "", norm(x)) in over and x.strip(" \t\r\x0b\x0c"))]
             n = len(re.findall(r"[^\x20\x09-\x0D]+", "\n".join(left)))
