@@ -308,11 +308,11 @@ def line_dedup(docs: DataFrame, tau: int = TAU, per_edit: int = PER_EDIT, classe
     docs = with_key(docs)
     order = F.when(F.col("_k_id") == -(2**63), F.lit(2**63 - 1)).otherwise(F.col("_k_id"))
     place = F.struct(order.alias("a"), F.col("_k_rid").alias("r"), F.col("pos").cast("long").alias("p"))
-    lines = line_rows(docs)
-    counted = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    lines = materialize(line_rows(docs).drop("line"))
+    repeated = lines.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
     shared = materialize(shared_keys(segment_keys(docs, tau, per_edit)))
     wanted = materialize(shared.select("lid").distinct())
-    texts = join_small(lines.withColumn("lid", F.col("h1")), wanted, ["lid"], "left_semi", rows=1_000_000)
+    texts = join_small(line_rows(docs).withColumn("lid", F.col("h1")), wanted, ["lid"], "left_semi", rows=1_000_000)
     texts = texts.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.min("line").alias("line"))
     many = materialize(shared.groupBy("key").count().where(F.col("count") > hot).select("key"))
     if many.isEmpty():
@@ -326,10 +326,12 @@ def line_dedup(docs: DataFrame, tau: int = TAU, per_edit: int = PER_EDIT, classe
     pairs = split_hot(met, "key", "lid").join(texts, F.col("lid") == F.col("h1"))
     linked = materialize(verified(pairs, tau, per_edit))
     links = materialize(line_links(linked))
-    marked = materialize(counted.join(links, ["h1", "h2"], "left").where("n > 1 OR n_links IS NOT NULL").drop("n"))
+    needed = materialize(repeated.unionByName(links.select("h1", "h2")).distinct())
+    found = materialize(join_unique(lines, needed, ["h1", "h2"]))
+    marked = materialize(join_small(found.groupBy("h1", "h2").agg(F.min(place).alias("first")), links, ["h1", "h2"], "left"))
     if classed:
         marked = line_groups(marked, linked)
-    found = join_unique(lines.drop("line"), marked, ["h1", "h2"])
+    found = join_unique(found, marked, ["h1", "h2"])
     if classed:
         found = materialize(found)
     mine = F.least("first", "linked")
