@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from eventloom.llm import decontam, langid, licenses, line_dedup, mixing, near_dedup, quality, secret_scan, simhash, suffix_dedup, warc
 from eventloom.llm.common import components
@@ -390,8 +391,11 @@ def test_align():
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
                 h[i][j] = max(0, h[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
-        best, _ = decontam.align(np.array(a, np.uint64), np.array([b], np.uint64))
+        best, start, end = decontam.align(np.array(a, np.uint64), np.array([b], np.uint64))
         assert best[0] == max(map(max, h))
+        # The passage from start to end alone gives the score, and no shorter one does from its end.
+        inner = b[start[0] : end[0]]
+        assert not best[0] or decontam.align(np.array(a, np.uint64), np.array([inner], np.uint64))[0][0] == best[0] and inner[0] in a and inner[-1] in a
 
 
 def test_decontam(spark, sf, docs, empty):
@@ -423,6 +427,40 @@ def test_decontam(spark, sf, docs, empty):
     assert {(r.doc_id, i) for r in sf.collect() for i, t in items.items() if f" {norm(t)} " in f" {norm(r.text)} "} <= found
 
 
+def test_decontam_equals_brute_force(spark, sf, docs):
+    """All pairs of a document and an item that share a third of the item's words, aligned whole, against the seeds' finds."""
+    import numpy as np
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    tok = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    code = lambda w: np.array([xxhash.xxh64_intdigest(x) | 1 for x in w], np.uint64)
+    items = {r.item_id: tok(r.text) for r in bench.collect()}
+    rng = random.Random(17)
+    rows = [(r.doc_id, r.text) for r in sf.collect()]
+    for k, w in enumerate(items.values()):  # copies with a fifth of their words replaced, left out or added
+        x = [z for y in w for z in rng.choices([[y], [], ["zz", y], ["zz"]], [80, 6, 4, 10])[0]]
+        rows.append((10**6 + k, words(rng, 30) + " " + " ".join(x) + " " + words(rng, 30)))
+    want = {}
+    for d, t in rows:
+        w = tok(t)
+        for i, x in items.items():
+            if x and 3 * len(set(x) & set(w)) >= len(set(x)):
+                best = decontam.align(code(x), code(w)[None, :])[0][0] / (2 * len(x))
+                if best >= decontam.MIN_SCORE:
+                    want[d, i] = round(float(best), 6)
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.digest(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want)
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
+    assert sum(d >= 10**6 for d, _ in got) >= 0.9 * len(items)
+    # Null ids, repeated rows and clashing columns.
+    one = next(t for t in items.values() if len(t) > 5)
+    odd = spark.createDataFrame([(None, " ".join(one)), (4, " ".join(one)), (4, " ".join(one)), (5, "q " * 20_000 + " ".join(one))], "doc_id long, text string")
+    out = decontam.contaminated(clashing(odd), bench.withColumn("place", F.lit(1)))
+    whole = sorted((r.doc_id or -1, r.end - r.start) for r in out.where("score = 1").collect())
+    assert {(-1, len(one)), (4, len(one)), (5, len(one))} <= set(whole)
+    assert decontam.decontaminate(clashing(odd), bench).count() == 0
+
+
 # op 8
 
 
