@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import with_key
@@ -16,8 +17,8 @@ from eventloom.llm.textvec import ALNUM_WORD, LOWER, buffers, chunks, grams, has
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 1
-#: Template tables are sent to every task, so they are bounded.
-MOST_TEMPLATES = 5_000
+#: Template tables are sent to every task, so they are bounded: this many code points in all are an error to exceed.
+MOST_CHARS = 64_000_000
 
 #: Short forms of public licenses.
 TEMPLATES = {
@@ -67,8 +68,8 @@ class Templates:
     """The templates' shingle sets and band keys, in one length class for each number of shingles."""
 
     def __init__(self, texts: dict[str, str], n: int, bands: int, rows: int):
-        if len(texts) > MOST_TEMPLATES:
-            raise ValueError(f"more than {MOST_TEMPLATES} templates")
+        if sum(map(len, texts.values())) > MOST_CHARS:
+            raise ValueError(f"templates of more than {MOST_CHARS} code points")
         self.names = sorted(texts)
         self.sets: list[np.ndarray] = []
         self.classes: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
@@ -92,17 +93,37 @@ class Templates:
         return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, n: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def template_table(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(name, text) of the templates: the short forms given here, or a table of full license texts at a path."""
+    if path is not None:
+        return spark.read.parquet(path).select("name", "text")
+    return spark.createDataFrame(sorted(TEMPLATES.items()), "name string, text string")
+
+
+def given(templates: dict[str, str] | DataFrame) -> dict[str, str]:
+    """Templates by name; a table of them is gathered only if its counted code points are within MOST_CHARS."""
+    if isinstance(templates, dict):
+        return templates
+    rows = templates.select("name", "text").where("name IS NOT NULL AND text IS NOT NULL").distinct()
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > MOST_CHARS:
+        raise ValueError(f"templates of more than {MOST_CHARS} code points")
+    return {r.name: r.text for r in rows.orderBy("name", "text").collect()}
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, n: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, template, start, end (code points of the first word's start and the last word's end) and containment of every match, and _k_id, _k_rid.
 
     For each number of shingles among the templates, windows of so many shingles overlap by three quarters or more (all starts, for
     up to eight). A window that agrees in a band with a template of its class retrieves it: with 24 bands of one row a pair of
     Jaccard similarity 0.3 is retrieved with probability above 0.9998, and a window that has no shingle of any template can agree
     with none and is not hashed. A retrieved template matches if the share of its distinct shingles in the window, moved to the
-    start that holds most of them, is at least `similarity`; overlapping matches of one template count once, the best first. Null
-    and empty texts match nothing; rows equal in id and text give equal matches; an empty table gives no rows.
+    start that holds most of them, is at least `similarity`. Of matches that overlap, of one template or of several, the one with
+    the most shingles of its template stays, then the one with the higher share, then the first by name. Null and empty texts match
+    nothing, null ids are ids like others; rows equal in id and text give equal matches; columns other than doc_id and text are not
+    used; an empty table gives no rows. templates: by name, or a table of (name, text) of bounded size.
     """
-    known = Templates(templates, n, bands, rows)
+    known = Templates(given(templates), n, bands, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,13 +181,17 @@ def matches(known: Templates, g: np.ndarray, doc: np.ndarray, hit: np.ndarray, s
                 share = len(np.unique(g[a + x : a + x + size][inside[x : x + size]])) / len(want)
                 if share >= similarity:
                     found.append((int(doc[lo[w]]), t, int(a + x), int(min(z, a + x + size)), share))
-    found.sort(key=lambda m: (m[0], m[1], -m[4], m[2]))
-    taken: list[tuple[int, int, int, int, float]] = []
+    found.sort(key=lambda m: (m[0], -round(m[4] * len(known.sets[m[1]])), -m[4], m[1], m[2]))
+    taken: list[tuple[int, int]] = []  # of one document, sorted and disjoint
+    last = None
     for m in found:
-        if not any(u[0] == m[0] and u[1] == m[1] and m[2] < u[3] and u[2] < m[3] for u in taken[-50:]):
-            taken.append(m)
+        if m[0] != last:
+            taken, last = [], m[0]
+        k = bisect.bisect_left(taken, (m[2], m[2]))
+        if (k == 0 or taken[k - 1][1] <= m[2]) and (k == len(taken) or m[3] <= taken[k][0]):
+            taken.insert(k, (m[2], m[3]))
             yield m
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return scan(docs.select("doc_id", "text")).select("doc_id", "template", "start", "end", F.round("containment", 6).alias("containment"))
+    return scan(docs.select("doc_id", "text"), template_table(docs.sparkSession)).select("doc_id", "template", "start", "end", F.round("containment", 6).alias("containment"))
