@@ -9,10 +9,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import materialize, shared_dir
+from eventloom.llm.common import NO_ID, join_small, join_unique, materialize, shared_dir
 
 LEAST_BYTES = 100
 #: Byte ranges closer than this are read at once, up to MOST_READ.
@@ -64,10 +64,14 @@ def classified(pages: DataFrame) -> DataFrame:
     """
     payload = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload.cast("binary"), 256).alias("payload_digest"))
-    many = pages.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    pages = pages.join(many, "payload_digest", "left")
-    again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return pages.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))}).drop("_first")
+    # Equal payloads are found by their digests alone; whole payloads meet them by page, so that copies of one page are dealt evenly.
+    slim = materialize(pages.where(F.col("payload_bytes") >= LEAST_BYTES).select("page_id", "payload_digest"))
+    many = materialize(slim.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_n")).where("_n > 1 AND refers_to IS NOT NULL").drop("_n"))
+    again = join_unique(slim, many, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    again = materialize(again.select(F.coalesce("page_id", F.lit(NO_ID)).alias("_id"), "payload_digest", "refers_to").distinct())
+    pages = pages.withColumn("_id", F.coalesce("page_id", F.lit(NO_ID)))
+    pages = join_small(pages, again, ["_id", "payload_digest"], "left").drop("_id")
+    return pages.withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -163,14 +167,18 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     return rows.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
-def warc(pages: DataFrame) -> DataFrame:
-    """Archives every page under the shared folder and reads all records back: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
+def warc(pages: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Archives every page under the shared folder and reads records back: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
+
+    wanted: a condition on the index (file, offset, length, page_id, url, payload_digest, record_type, refers_to); only the byte ranges of
+    the records that it selects are read. All are if it is None.
 
     A null html is an empty payload and a null url about:blank. Null ids are archived as None and come back null. Repeated rows are archived each. Extra columns are
     not archived; an empty table gives no rows.
     """
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(classified(pages), folder), folder)
+    index = write_archives(classified(pages), folder)
+    return read_archives(index if wanted is None else index.where(wanted), folder)
 
 
 def digest(pages: DataFrame) -> DataFrame:
