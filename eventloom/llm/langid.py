@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import carry, materialize
 from eventloom.llm.textvec import ALNUM_WORD, BASE, buffers, chunks, hashes, mix, words
 
+#: The vocabulary's file unless the session's spark.eventloom.vocabulary or an argument names another.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: The classifier is fitted on about so many labelled documents of each language, chosen by a hash of their id.
 DOCS_EACH = 1_000
@@ -97,8 +98,13 @@ def log_scores(pieces: Pieces, texts: list[str], p: np.ndarray) -> np.ndarray:
             some = at[lo : lo + 5000]
             points = matrix([texts[k] for k in some])
             if n <= LONG_WORD:
-                out[some] = np.log(forward(pieces, points, p)[-1])
-                continue
+                total = forward(pieces, points, p)[-1]
+                # Products of many rare pieces leave the range of doubles; those words are summed in logarithms instead.
+                low = (total < 1e-280).any(axis=1)
+                out[some[~low]] = np.log(total[~low])
+                some, points = some[low], points[low]
+                if not len(some):
+                    continue
             # In logarithms, a place at a time, keeping the last few places only.
             logs, last = np.log(p), {0: np.zeros((len(some), p.shape[1]))}
             for end, m, rows, ids in pieces.lattice(points):
@@ -135,12 +141,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, vocabulary: str = VOCABULARY, docs_each: int = DOCS_EACH, rounds: int = ROUNDS) -> tuple[Pieces, list[str], np.ndarray]:
+def fit(docs: DataFrame, vocabulary: str | None = None, docs_each: int = DOCS_EACH, rounds: int = ROUNDS) -> tuple[Pieces, list[str], np.ndarray]:
     """(pieces, languages, probabilities [pieces + 1, languages]) by expectation maximisation over the word counts of the sample.
 
     Only documents that are not held out and have a language are used; words are cut after LONG_WORD / 2 code points for fitting.
     """
-    pieces = Pieces(vocabulary)
+    pieces = Pieces(vocabulary or docs.sparkSession.conf.get("spark.eventloom.vocabulary", VOCABULARY))
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
     langs = sorted(sizes)
@@ -235,6 +241,6 @@ def predict(docs: DataFrame, model: tuple[Pieces, list[str], np.ndarray], keep_t
     return out.withColumns({"lang_pred": F.when(F.col("_k_letters"), F.col("lang_pred")).otherwise("und"), "score": F.when(F.col("_k_letters"), F.col("score")).otherwise(0.0)}).drop("_k_letters")
 
 
-def digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def digest(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     model = fit(docs, vocabulary)
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model, keep_text=False)
