@@ -20,7 +20,8 @@ DOMAINS = ("toxic", "low", "high")
 TARGETS = {"toxic": 0.0, "low": 0.2, "high": 0.8}
 #: The mixed corpus has this share of all tokens.
 BUDGET = 0.5
-STEPS = 30
+#: More steps than this are an error: no rates that have not settled are returned.
+STEPS = 200
 TOLERANCE = 1e-9
 
 
@@ -135,6 +136,8 @@ def rates(df: DataFrame, targets: dict[str, float], budget: float, steps: int =
         ridge = 1e-9 * total
         h = [[(r[f"h{min(i, j)}_{max(i, j)}"] or 0.0) + ridge * (i == j) for j in range(len(p))] for i in range(len(p))]
         moves.append(solve(h, miss))
+    else:
+        raise RuntimeError(f"rates have not settled after {steps} steps: totals {got} for goals {goal}")
     return moves, goal, got
 
 
