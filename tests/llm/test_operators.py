@@ -297,6 +297,14 @@ def test_warc(spark):
     assert warc.digest(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_selected_records(spark):
+    rows = [(k, f"http://h/{k}", f"page {k} " * (20 + k % 5)) for k in range(300)] + [(900 + k, "u", "one page that many copy " * 9) for k in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r for r in warc.warc(pages, (F.col("page_id") % 7 == 0) & (F.col("record_type") == "response")).collect()}
+    assert set(got) == {k for k in range(0, 300, 7)} and all(bytes(got[k].payload).decode() == rows[k][2] for k in got)
+    assert {r.refers_to for r in warc.warc(pages, F.col("record_type") == "revisit").collect()} == {900}
+
+
 def test_warc_ranges():
     rows = [(0, 10, 0), (10, 5, 1), (200_000, 5, 2), (200_005, 9 << 20, 3), (300_000_000, 1, 4)]
     assert [(s, e, [x[2] for x in r]) for s, e, r in warc.ranges(rows)] == [(0, 15, [0, 1]), (200_000, 200_005, [2]), (200_005, 200_005 + (9 << 20), [3]), (300_000_000, 300_000_001, [4])]
@@ -325,6 +333,39 @@ def test_licenses(spark, sf, empty):
     assert licenses.digest(empty).count() == 0
 
 
+def test_licenses_equal_brute_force(spark):
+    """Every window of every text against every template, without bands, on edited copies at and around the bound; both ways."""
+    rng = random.Random(31)
+    names = sorted(licenses.TEMPLATES)
+    tok = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    rows = []
+    for k in range(120):
+        w = licenses.TEMPLATES[names[k % len(names)]].split()
+        for at in rng.sample(range(len(w)), min(len(w), rng.randint(0, 3))):
+            w[at] = rng.choice(["zz", w[at] + " yy", ""])
+        rows.append((k, words(rng, rng.randint(0, 40)) + " " + " ".join(w) + " " + words(rng, rng.randint(0, 40))))
+    rows += [(500, None), (501, ""), (None, licenses.TEMPLATES["MIT-line"]), (502, " ".join([licenses.TEMPLATES["MIT-line"]] * 120))]
+    sets = {n: set(grams(tok(t))) for n, t in licenses.TEMPLATES.items()}
+    sizes = {n: len(tok(t)) - 4 for n, t in licenses.TEMPLATES.items()}
+    want = set()
+    for d, text in rows:
+        g = grams(tok(text))
+        for n, s in sets.items():
+            best = max((len(s & set(g[i : i + sizes[n]])) / len(s) for i in range(max(1, len(g) - sizes[n] + 1))), default=0)
+            if best >= licenses.SIMILARITY:
+                want.add((d, n))
+    got = licenses.scan(clashing(spark.createDataFrame(rows, "doc_id long, text string")), licenses.template_table(spark)).collect()
+    found = {(r.doc_id, r.template) for r in got}
+    assert found <= want
+    # A pair that is not reported overlaps a better match of the same document; each document that has matches reports some.
+    assert {d for d, _ in want} == {d for d, _ in found} and len(want - found) <= 0.25 * len(want)
+    assert sum(r.doc_id == 502 for r in got) == 120  # more matches in one document than any look-back
+    for d in {r.doc_id for r in got}:
+        own = sorted((r.start, r.end) for r in got if r.doc_id == d)
+        assert all(x[1] <= y[0] for x, y in zip(own, own[1:]))
+
+
 # op 6
 
 
@@ -482,6 +523,78 @@ def test_secrets(spark, sf, docs, empty):
     assert secret_scan.digest(clashing(docs)).count() == docs.count() and secret_scan.digest(empty).count() == 0
 
 
+def test_secrets_equal_brute_force(spark):
+    """Base spans against a scan by characters; added spans against the likelihood of every sub-run of every candidate; held-out worth."""
+    rng = random.Random(77)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    made = [p + "".join(rng.choice(a) for _ in range(n)) for p, a, n in secret_scan.FORMATS for _ in range(4)]
+    bits = [lambda: f'Api_Key="{hexa(rng.randint(3, 30))}"', lambda: "token : " + rng.choice(made), lambda: "AKIA" + "A1" * rng.randint(6, 12), lambda: hexa(rng.randint(20, 44)), lambda: rng.choice(made), lambda: "x=" + rng.choice(made) + "/" + words(rng, 1), lambda: words(rng, 8), lambda: "ü. 12/34_56-7", lambda: "".join(rng.choice(alnum) for _ in range(30))]
+    rows = [(k, " ".join(rng.choice(bits)() for _ in range(rng.randint(1, 12)))) for k in range(300)] + [(300, None), (301, ""), (302, "=" * 40), (303, "a" * 30_000 + " " + made[0])]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    learned = secret_scan.learn(df)
+    got: dict = {}
+    for r in secret_scan.scan(clashing(df), learned).collect():
+        assert got.setdefault(r.doc_id, r) == r  # repeated rows have equal verdicts
+
+    def base(text):
+        out, names = [], ("password", "passwd", "secret", "token", "apikey", "api_key")
+        for kind, alphabet, least, head in (("access", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20, "AKIA"), ("hex", set("0123456789abcdef"), 24, "")):
+            i = 0
+            while i < len(text):
+                if text.startswith(head, i) and text[i] in alphabet:
+                    j = i + len(head)
+                    while j < len(text) and text[j] in alphabet:
+                        j += 1
+                    if j - i >= least:
+                        out.append((i, j, kind))
+                    i = j if j - i > len(head) else i + 1
+                else:
+                    i += 1
+        i = 0
+        while i < len(text):
+            j = next((i + len(n) for n in names if text[i : i + len(n)].lower() == n and text[i : i + len(n)].isascii()), None)
+            if j:
+                j += text[j : j + 1] in ('"', "'")
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] in (":", "="):
+                    j += 1
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    j += text[j : j + 1] in ('"', "'")
+                    k = j
+                    while k < len(text) and text[k] in alnum + "+/_.=-":
+                        k += 1
+                    if k > j:
+                        if k - j >= 6:
+                            out.append((i, k, "assign"))
+                        i = k
+                        continue
+            i += 1
+        return sorted(out)
+
+    model, added = learned.model, 0
+    for d, text in rows:
+        text = text or ""
+        want = base(text)
+        assert want == sorted((x.start, x.end, x.kind) for x in got[d].found if x.kind != "format"), text[:80]
+        spans = []
+        for m in re.finditer(r"[A-Za-z0-9_+/=.-]+", text):
+            run = m[0].strip("./=")
+            lo = m.start() + len(m[0]) - len(m[0].lstrip("./="))
+            if len(run) > 1000 or len(run) < 6 or any(x <= lo and lo + len(run) <= y for x, y, _ in want):
+                continue
+            ok = lambda a, z, run=run: run[a] not in "./=" and run[z - 1] not in "./=" and (a == 0 or run[a - 1] in secret_scan.JOINS) and (z == len(run) or run[z] in secret_scan.JOINS)
+            every = [model.ratio(run[a:z]) for a in range(len(run)) for z in range(a + 6, len(run) + 1) if ok(a, z)]
+            hits = model.spans(run, learned.min_ratio)
+            assert bool(hits) == (max(every, default=-9) >= learned.min_ratio)
+            spans += [(lo + s, lo + e) for s, e in hits if not any(x <= lo + s and lo + e <= y for x, y, _ in want)]
+        assert spans == [(x.start, x.end) for x in got[d].found if x.kind == "format"]
+        added += len(spans)
+    assert added > 30 and learned.recall >= 0.7 and learned.false_share <= 0.05
+
+
 # op 9
 
 
@@ -503,6 +616,15 @@ def test_langid(spark, sf, docs, empty):
     assert langid.digest(empty).count() == 0
 
 
+def test_rare_pieces_do_not_underflow():
+    import numpy as np
+
+    pieces = langid.Pieces(langid.VOCABULARY)
+    p = np.full((pieces.size + 1, 2), 1e-20)
+    got = langid.log_scores(pieces, ["q" * 39, "the"], p)
+    assert np.isfinite(got).all() and got[0, 0] < -700
+
+
 def test_forward_sums_all_segmentations():
     import itertools
 
@@ -637,5 +759,5 @@ def test_secrets_joined_to_other_text(spark):
     for _, t in rows:  # one pass gives the best of all sub-runs
         starts = [i for i in range(len(t)) if t[i] not in "./=" and (i == 0 or t[i - 1] in secret_scan.JOINS)]
         ends = [i for i in range(1, len(t) + 1) if t[i - 1] not in "./=" and (i == len(t) or t[i] in secret_scan.JOINS)]
-        every = [model.ratio(t[a:z]) for a in starts for z in ends if z - a >= 16 and re.search("[0-9]", t[a:z]) and re.search("[A-Za-z]", t[a:z])]
+        every = [model.ratio(t[a:z]) for a in starts for z in ends if z - a >= secret_scan.LEAST]
         assert abs(max(every) - model.best(t)[0]) < 1e-6
