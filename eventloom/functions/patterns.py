@@ -149,43 +149,80 @@ def kept(rules: Iterable[str] = ("keep *",)) -> Column:
     return out & ~F.col("transient") & ~F.col("dropped")
 
 
-_NAME = re.compile(r"%(?:(0\d+|\d+)?([rRsS#lp])|(t)([ocrRsS])|if([bnedp])|ifs%([^%]*)%([^%]*)%([ig]*)%)")
-
-
 COUNTER = r"%(0?\d+)?#"
+#: What a conversion of a file-name pattern reads from the statistics of the file. The letters.
+NUMBERS = {"r": "lowest_run", "R": "highest_run", "s": "lowest_subrun", "S": "highest_subrun"}
+NAMES = {"l": "label", "p": "process"}
+TIMES = {"o": "opened", "c": "closed", "r": "lowest_run_time", "R": "highest_run_time", "s": "lowest_subrun_time", "S": "highest_subrun_time"}
+UNKNOWN = "-"
+
+
+def _of_input(source: str) -> dict[str, str]:
+    """The parts of an input file's name: b without folder and extension, n without folder, e extension, d folder, p all of it."""
+    folder, _, name = source.rpartition("/")
+    stem, dot, ext = name.rpartition(".")
+    return {"b": stem if dot else name, "n": name, "e": dot + ext if dot else "", "d": folder, "p": source}
+
+
+def _scan(pattern: str, stats: Mapping) -> Iterable[str]:
+    """The pieces of a filled pattern, from left to right; a conversion that is not known is an error."""
+    source, at = stats.get("input_file") or "", 0
+
+    def one(letters: Iterable[str], what: str) -> str:
+        nonlocal at
+        if at >= len(pattern) or pattern[at] not in letters:
+            raise ValueError(f"unknown conversion {what}{pattern[at : at + 1]!r} at {at} of {pattern!r}")
+        at += 1
+        return pattern[at - 1]
+
+    def up_to_percent() -> str:
+        nonlocal at
+        end = pattern.find("%", at)
+        if end < 0:
+            raise ValueError(f"an edit of the input name is not closed in {pattern!r}")
+        text, at = pattern[at:end], end + 1
+        return text
+
+    while (k := pattern.find("%", at)) >= 0:
+        yield pattern[at:k]
+        at = k + 1
+        fill = ""
+        while at < len(pattern) and pattern[at].isdigit():
+            fill, at = fill + pattern[at], at + 1
+        c = one([*NUMBERS, "#"] if fill else [*NUMBERS, *NAMES, "#", "t", "i"], "")
+        if c == "#":
+            yield f"%{fill}#"  # filled when the names of all files are known
+        elif c == "t":
+            v = stats.get(TIMES[one(TIMES, "t")])
+            yield UNKNOWN if v is None else v.strftime("%Y%m%dT%H%M%S")
+        elif c == "i":
+            one("f", "i")
+            part = one("bnedps", "if")
+            if part != "s":
+                yield _of_input(source)[part] or UNKNOWN
+                continue
+            one("%", "ifs")
+            old, new, flags = up_to_percent(), up_to_percent(), up_to_percent()
+            if set(flags) - set("ig"):
+                raise ValueError(f"unknown flags {flags!r} in {pattern!r}")
+            new = re.sub(r"\$(\d)", r"\\\1", new)
+            yield re.sub(old, new, source, count=0 if "g" in flags else 1, flags=re.I if "i" in flags else 0) or UNKNOWN
+        elif c in NAMES:
+            v = stats.get(NAMES[c])
+            yield UNKNOWN if v is None else str(v)
+        else:
+            v = stats.get(NUMBERS[c])
+            yield UNKNOWN if v is None else str(v).rjust(int(fill or 0), "0")
+    yield pattern[at:]
 
 
 def substituted(pattern: str, stats: Mapping) -> str:
     """Substitutes a file-name pattern, all but `%#`, from one row of file statistics.
 
     %l label, %p process, %r/%R and %s/%S lowest and highest run and subrun (optionally filled, `%05r`), %to/tc/tr/tR/ts/tS times,
-    %if[bnedp] parts of the input name, %ifs%regex%text%[ig]% an edited input name; unknown values are `-`.
+    %if[bnedp] parts of the input name, %ifs%regex%text%[ig]% an edited input name; unknown values are `-`, unknown conversions errors.
     """
-    source = stats.get("input_file") or ""
-    base, _, folder = source.rpartition("/")[2], None, source.rpartition("/")[0]
-    stem, dot, ext = base.rpartition(".")
-    stem, ext = (stem, dot + ext) if dot else (base, "")
-    values = {"r": "lowest_run", "R": "highest_run", "s": "lowest_subrun", "S": "highest_subrun", "l": "label", "p": "process"}
-    times = {"o": "opened", "c": "closed", "r": "lowest_run_time", "R": "highest_run_time", "s": "lowest_subrun_time", "S": "highest_subrun_time"}
-
-    def put(m: re.Match) -> str:
-        if m[2] == "#":
-            return m[0]
-        if m[2]:
-            v = stats.get(values[m[2]])
-            if v is None:
-                return "-"
-            width = m[1] or ""
-            return str(v).rjust(int(width or 0), "0") if m[2] in "rRsS" else str(v)
-        if m[3]:
-            v = stats.get(times[m[4]])
-            return "-" if v is None else v.strftime("%Y%m%dT%H%M%S")
-        if m[5]:
-            return {"b": stem, "n": base, "e": ext, "d": folder, "p": source}[m[5]] or "-"
-        flags = re.I if "i" in m[8] else 0
-        return re.sub(m[6], re.sub(r"\$(\d)", r"\\\1", m[7]), source, count=0 if "g" in m[8] else 1, flags=flags) or "-"
-
-    return _NAME.sub(put, pattern)
+    return "".join(_scan(pattern, stats))
 
 
 def file_name(pattern: str, stats: Mapping, counters: dict[str, int] | None = None) -> str:

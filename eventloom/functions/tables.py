@@ -15,8 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, kind: str = "table") -> str:
-    """A new path in the folder that spark.checkpoint.dir names (one made here where it is unset, as in tests)."""
+    """A new path in the folder that spark.checkpoint.dir names. A local session without one gets a folder of its own; on a cluster that is an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{(folder or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 

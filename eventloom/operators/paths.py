@@ -46,24 +46,31 @@ def outcome(entry: Entry, policy: Mapping[str, str], end_path: bool = False) ->
     return F.when(entry.error.isNull(), plain).otherwise(out)
 
 
-def run_paths(df: DataFrame, paths: Mapping[str, list[Entry]], policy: Mapping[str, str] | None = None, end_path: bool = False) -> DataFrame:
+def ran(entries: list[Entry], policy: Mapping[str, str], end_path: bool = False) -> Column:
+    """The outcomes of the modules that run: one that does not pass is the last, and what stands behind it is not evaluated."""
+    out = F.array().cast("array<string>")
+    for e in reversed(entries):
+        own = outcome(e, policy, end_path)
+        out = F.when(own == "pass", F.concat(F.array(F.lit("pass")), out)).otherwise(F.array(own))
+    return out
+
+
+def run_paths(df: DataFrame, paths: Mapping[str, list[Entry]], policy: Mapping[str, str] | None = None, end_path: bool = False, process: str = "") -> DataFrame:
     """Adds for each path st_<path> (its state) and ix_<path>, and out_<path> (its modules' outcomes up to the deciding one).
 
     The index is the number of modules run; with an exception it is the place of the module that threw. A path without modules
-    passes. Everything is one projection of ordinary expressions.
+    passes. A module behind one that does not pass is not run, so an error of it is not raised. With a process, columns are named
+    st_<process>_<path> and so on. Everything is one projection of ordinary expressions.
     """
     policy = policy or {}
     for name, entries in paths.items():
-        outs = F.array(*[outcome(e, policy, end_path) for e in entries]) if entries else F.array().cast("array<string>")
-        df = df.withColumn("_all", outs)
-        bad = F.coalesce(F.array_min(F.transform("_all", lambda o, i: F.when(o != "pass", i))), F.lit(-1))
-        df = df.withColumn("_bad", bad)
-        last = F.get("_all", F.col("_bad"))
+        own = f"{process}_{name}" if process else name
+        df = df.withColumn(f"out_{own}", ran(entries, policy, end_path))
+        n, last = F.size(f"out_{own}"), F.coalesce(F.element_at(f"out_{own}", -1), F.lit("pass")) if entries else F.lit("pass")
         df = df.withColumns({
-            f"st_{name}": F.when(F.col("_bad") < 0, PASS).when(last == "exc", EXCEPTION).otherwise(FAIL),
-            f"ix_{name}": F.when(F.col("_bad") < 0, F.lit(len(entries))).when(last == "exc", F.col("_bad")).otherwise(F.col("_bad") + 1).cast("long"),
-            f"out_{name}": F.when(F.col("_bad") < 0, F.col("_all")).otherwise(F.slice("_all", 1, F.col("_bad") + 1)),
-        }).drop("_all", "_bad")
+            f"st_{own}": F.when(last == "pass", PASS).when(last == "exc", EXCEPTION).otherwise(FAIL),
+            f"ix_{own}": F.when(last == "exc", n - 1).otherwise(n).cast("long"),
+        })
     return df
 
 
@@ -72,8 +79,8 @@ def accepted(names: list[str]) -> Column:
     return reduce(Column.__or__, [F.col(f"st_{n}") == PASS for n in names], F.lit(False))
 
 
-def select_events(spec: list[str], names: list[str]) -> Column:
-    """A selection on path states as one boolean column over st_<path>.
+def select_events(spec: list[str], names: list[str], process: str = "") -> Column:
+    """A selection on path states as one boolean column over st_<path>, or st_<process>_<path>.
 
     `p` or a glob: a matched path passed; `!p`: it failed, and for a glob of several all failed; `exception@p`: a matched path threw;
     `&noexception` after either of the first two: and no path threw. Terms are alternatives. No terms, or `*`, `!*` and `exception@*`
@@ -82,7 +89,7 @@ def select_events(spec: list[str], names: list[str]) -> Column:
     spec = ["".join(s.split()) for s in spec]
     if not spec or {"*", "!*", "exception@*"} <= set(spec):
         return F.lit(True)
-    state = lambda n, v: F.col(f"st_{n}") == v
+    state = lambda n, v: F.col(f"st_{process}_{n}" if process else f"st_{n}") == v
     any_of = lambda cs: reduce(Column.__or__, cs, F.lit(False))
     threw = any_of([state(n, EXCEPTION) for n in names])
     terms = []
@@ -113,6 +120,27 @@ def wanted(names: list[str], select: list[str] = (), reject: list[str] = ()) ->
     return out & ~select_events(list(reject), names) if reject else out
 
 
+def by_process(spec: list[str], processes: Mapping[str, list[str]], own: str) -> Column:
+    """Selections `process:spec`, those of one process together and any process enough; without a process they are of `own`.
+
+    processes: the paths of each; digits before a colon are a path id and no process.
+    """
+    groups: dict[str, list[str]] = {}
+    for s in spec:
+        head, colon, tail = s.partition(":")
+        named = colon and not head.strip().isdigit() and "@" not in head
+        groups.setdefault(head.strip() if named else own, []).append(tail if named else s)
+    if unknown := set(groups) - set(processes):
+        raise ValueError(f"unknown processes {sorted(unknown)}")
+    return reduce(Column.__or__, [select_events(specs, processes[p], p) for p, specs in groups.items()], F.lit(False))
+
+
+def wanted_by_process(processes: Mapping[str, list[str]], own: str, select: list[str] = (), reject: list[str] = ()) -> Column:
+    """wanted() over the path states of several processes."""
+    out = by_process(list(select), processes, own) if select else F.lit(True)
+    return out & ~by_process(list(reject), processes, own) if reject else out
+
+
 def path_report(df: DataFrame, names: list[str]) -> DataFrame:
     """(path_id, path, n_run, n_passed, n_failed, n_error): one pass with counters side by side, and a row for each path at the end."""
     count = lambda c: F.count_if(c).cast("long")

@@ -66,6 +66,21 @@ def current_range(events: DataFrame, ranges: DataFrame) -> DataFrame:
     return ranges.join(last, ["run", "subrun"]).groupBy("run", "subrun", "last").agg(F.count_if(F.col("begin") <= F.col("last")).cast("long").alias("n_seen"))
 
 
+def closed_ranges(events: DataFrame, ranges: DataFrame, flush: bool = False) -> DataFrame:
+    """The ranges (run, subrun, begin, end) with seen: whether output that closes after the given events leaves the range behind.
+
+    All ranges before the one that the last event (in id order) has reached are behind, whether or not their events came; that one too
+    if the event is its last; all are with a flush.
+    """
+    if flush:
+        return ranges.select("run", "subrun", "begin", "end", F.lit(True).alias("seen"))
+    last = events.agg(F.max(F.struct("run", "subrun", "event"))).first()[0]
+    if last is None:
+        return ranges.select("run", "subrun", "begin", "end", F.lit(False).alias("seen"))
+    at, e = F.struct("run", "subrun", (F.col("end") - 1).alias("event")), F.struct(*[F.lit(last[c]).cast("long").alias(c) for c in ("run", "subrun", "event")])
+    return ranges.select("run", "subrun", "begin", "end", (at <= e).alias("seen"))
+
+
 def guarded_sum(fragments: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The sum of fragments (keys, run, subrun, begin, end, value) for each key and run.
 

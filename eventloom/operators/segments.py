@@ -76,6 +76,21 @@ def file_stats(df: DataFrame) -> DataFrame:
     )
 
 
+def file_statistics(df: DataFrame, time: str = "ts", file: str = "file") -> DataFrame:
+    """file_stats() with opened and closed (first and last time), the start times of the lowest and highest run and subrun (their first
+    event in the file) and parents, the sorted names of the input files."""
+    stats = file_stats(df)
+    subrun = F.struct("run", "subrun")
+    starts = df.groupBy("segment", "run", "subrun").agg(F.min(time).alias("_t"), F.max(time).alias("_z"), F.collect_set(F.regexp_extract(F.col(file).cast("string"), "[^/]*$", 0)).alias("_f"))
+    runs = starts.withColumn("_r", F.min("_t").over(Window.partitionBy("segment", "run")))
+    pick = lambda f, v: f(F.struct(subrun.alias("k"), F.col(v).alias("v")))["v"]
+    times = runs.groupBy("segment").agg(
+        F.min("_t").alias("opened"), F.max("_z").alias("closed"), pick(F.min, "_r").alias("lowest_run_time"), pick(F.max, "_r").alias("highest_run_time"),
+        pick(F.min, "_t").alias("lowest_subrun_time"), pick(F.max, "_t").alias("highest_subrun_time"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_f")))).alias("parents"),
+    )
+    return stats.join(times, "segment")
+
+
 def file_names(stats: DataFrame, pattern: str, several: bool = True, **fixed) -> DataFrame:
     """(segment, name) of each closed file: the pattern is filled in Arrow batches and `%#` numbers the files of one filled pattern."""
     check_counter(pattern, several)

@@ -65,11 +65,11 @@ def module_deltas(info, value: str) -> DataFrame:
 
 
 def top_module_deltas(info, value: str, n: int = 3) -> DataFrame:
-    return top_by_module(module_deltas(info, value), "Delta", n)
+    return top_by_module(module_deltas(info, value), "Delta", n).orderBy(*MODULE, F.desc("Delta"), *ID)
 
 
 def top_module_values(info, value: str, n: int = 3) -> DataFrame:
-    return top_by_module(info.where("Step = 'PostProcessModule'").select(*MODULE, *ID, value), value, n)
+    return top_by_module(info.where("Step = 'PostProcessModule'").select(*MODULE, *ID, value), value, n).orderBy(*MODULE, F.desc(value), *ID)
 
 
 def peak_usage(info: DataFrame) -> DataFrame:
@@ -86,6 +86,20 @@ def statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 
+def time_report(source: DataFrame, event: DataFrame, module: DataFrame) -> DataFrame:
+    """statistics() of the full events, of reading (`source:` with its label) and of each module on each path, one row each, by name."""
+    name = lambda df, *parts: df.withColumn("name", F.concat_ws(":", *parts))
+    rows = name(full_events(source, event, module).withColumnRenamed("FullTime", "Time"), F.lit("Full event")).select("name", "Time")
+    rows = rows.unionByName(name(source, F.lit("source"), F.concat("Source", F.lit("(read)"))).select("name", "Time"))
+    rows = rows.unionByName(name(module, "Path", "ModuleLabel", "ModuleType").select("name", "Time"))
+    return statistics(rows, ["name"], "Time").orderBy("name")
+
+
+def modules(module: DataFrame) -> DataFrame:
+    """Each module on each path, once."""
+    return module.select(*MODULE).distinct()
+
+
 def check_tables(event: DataFrame, module: DataFrame) -> None:
     """Module times without event times are malformed."""
     if event.isEmpty() and not module.isEmpty():

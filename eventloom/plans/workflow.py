@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from eventloom.functions.patterns import PathSpec
+from eventloom.functions.patterns import PathSpec, parse_start
 
 TABLES = ("producers", "filters", "analyzers")
 NIL = "@nil"
@@ -21,9 +21,17 @@ class Workflow:
     unused_modules: list[str] = field(default_factory=list)
     process_name: str = "DUMMY"
 
-    def summary(self) -> list[tuple[str, str, str]]:
+    def summary(self, detail: str = "detailed") -> list[tuple[str, str, str]]:
+        """(what, name, value) rows: brief has counts, detailed the paths and modules, full what is unused too."""
+        if detail == "brief":
+            return [("process", "name", self.process_name), ("count", "trigger_paths", str(len(self.trigger))), ("count", "end_path", str(len(self.end))), ("count", "modules", str(len(self.modules)))]
+        if detail not in ("detailed", "full"):
+            raise ValueError(f"unknown detail {detail!r}")
         rows = [("trigger_path", f"{bit}:{name}", " ".join(entries)) for bit, name, entries in self.trigger]
-        return rows + [("end_path", "end_path", " ".join(self.end))] + [("module", k, v) for k, v in sorted(self.modules.items())]
+        rows += [("end_path", "end_path", " ".join(self.end))] + [("module", k, v) for k, v in sorted(self.modules.items())]
+        if detail == "full":
+            rows += [("unused_path", p, "") for p in self.unused_paths] + [("unused_module", m, "") for m in self.unused_modules]
+        return rows
 
 
 def bare(entry: str) -> str:
@@ -108,6 +116,58 @@ def route_outputs(outputs: list[str], options: list[str]) -> dict[str, str]:
     return out
 
 
+DEFAULT = "_default"
+REQUIRED = ("application_family", "application_version", "group")
+EXCLUSIVE = {"file_type": ("inherit_metadata", "inherit_file_type"), "run_type": ("inherit_metadata", "inherit_run_type")}
+
+
+def by_label(options: list[str]) -> dict[str, str]:
+    """`label:value` options, a value without a label under DEFAULT; later ones win."""
+    out: dict[str, str] = {}
+    for o in options:
+        label, colon, value = o.partition(":")
+        if ":" in value:
+            raise ValueError(f"more than one colon in {o!r}")
+        out[label if colon else DEFAULT] = value if colon else label
+    return out
+
+
+def catalog_metadata(outputs: dict[str, dict], tiers: list[str] = (), streams: list[str] = (), **given: str) -> dict[str, dict]:
+    """Catalog metadata for each output: data tier and stream name from `label:value` options, then its own configuration, then the default;
+    a stream is called like its output if nothing says otherwise. given: the job's other values, of which REQUIRED have to be there
+    and EXCLUSIVE ones may not be given together."""
+    for first, others in EXCLUSIVE.items():
+        for other in others:
+            if given.get(first) and given.get(other):
+                raise ValueError(f"{first} and {other} exclude each other")
+    if not outputs:
+        return {}
+    if missing := [k for k in REQUIRED if not given.get(k)]:
+        raise ValueError(f"catalog metadata is incomplete: {missing}")
+    tier, stream = by_label(list(tiers)), by_label(list(streams))
+    if unknown := (set(tier) | set(stream)) - set(outputs) - {DEFAULT}:
+        raise ValueError(f"options for unknown outputs {sorted(unknown)}")
+    out = {}
+    for label, own in outputs.items():
+        values = {"data_tier": tier.get(label) or own.get("data_tier") or tier.get(DEFAULT), "stream_name": stream.get(label) or own.get("stream_name") or stream.get(DEFAULT) or label}
+        if not values["data_tier"]:
+            raise ValueError(f"output {label} has no data tier")
+        out[label] = {**{k: v for k, v in given.items() if v}, **values}
+    return out
+
+
+def source_options(files: list[str] = (), file_list: list[str] = (), start: str | None = None, max_events: int | None = None, skip: int = 0) -> dict:
+    """Options of a source: files or the lines of a list (not both), a start id, a limit and events to skip. Without files a source is
+    empty and gives one event unless a limit is given."""
+    if files and file_list:
+        raise ValueError("files are given by name or by a list, not both")
+    names = [*files, *[x for line in file_list if (x := line.split("#")[0].strip())]]
+    if skip < 0:
+        raise ValueError("events to skip are 0 or more")
+    first = parse_start(start) if start is not None else None
+    return {"kind": "files" if names else "empty", "files": names, "start": first, "max_events": max_events if max_events is not None else -1 if names else 1, "skip": skip}
+
+
 def process_limits(max_events: int = -1, max_subruns: int = -1, report_frequency: int = 0) -> dict[str, int]:
     if report_frequency < 0:
         raise ValueError("a report frequency is 0 or more")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.patterns import from_start, kept, match_ids
 from eventloom.functions.tables import ordinal, scratch, table
+from eventloom.operators import catalog as products
 from eventloom.operators import counting, graph, lookup, overlay, paths, ranges, segments
-from eventloom.plans import performance
+from eventloom.plans import performance, workflow
 from eventloom.sinks import files
 from eventloom.sources import events as sources
 from eventloom.streaming import boundaries
@@ -240,12 +241,17 @@ def keep_drop_catalog(spark, d):
 LOOKUP = "module_label IN ('modA', 'modC') AND instance = ''"
 
 
-@query(f"""WITH c AS ({CATALOG}), v AS (SELECT * FROM c WHERE {LOOKUP} AND available AND NOT dropped AND (origin <> 'produced' OR module_label = 'modA')),
-r AS (SELECT *, max(process_seq) OVER (PARTITION BY event, module_label, friendly_class, p_partkey) AS m FROM v) SELECT event, module_label, p_partkey, process FROM r WHERE process_seq = m""")
+ONE_EACH = "SELECT p_partkey % 20 AS event, module_label, instance, process_seq, process, origin, min(p_partkey) AS p_partkey FROM c WHERE available AND NOT dropped GROUP BY ALL"
+
+
+@query(f"""WITH c AS ({CATALOG}), o AS ({ONE_EACH}), v AS (SELECT * FROM o WHERE {LOOKUP} AND (origin <> 'produced' OR module_label = 'modA')),
+r AS (SELECT *, max(process_seq) OVER (PARTITION BY event, module_label) AS m FROM v) SELECT event, module_label, p_partkey, process FROM r WHERE process_seq = m""")
 def product_lookup_latest_process(spark, d):
-    c = catalog(spark, d)
+    """Up to three processes have a product of each label and event; on a path that has modA only, the produced ones of modC are not seen."""
+    c = catalog(spark, d).where("available AND NOT dropped").withColumn("event", F.col("p_partkey") % 20)
+    c = c.groupBy("event", "module_label", "instance", "process_seq", "process", "origin", "tier", "available", "dropped").agg(F.min("p_partkey").alias("p_partkey"))
     sel = lookup.tag_list(["modA", "modC"]) & lookup.instance_name("")
-    return lookup.resolve(c, sel, ["event", "module_label", "friendly_class", "p_partkey"], ["modA"]).select("event", "module_label", "p_partkey", "process")
+    return lookup.resolve(c, sel, ["event", "module_label"], ["modA"]).select("event", "module_label", "p_partkey", "process")
 
 
 @query(f"""WITH c AS ({CATALOG}), g AS (SELECT event, module_label, process_seq, max(process) AS process, min(p_partkey) AS p_partkey FROM c WHERE available AND NOT dropped GROUP BY ALL),
@@ -288,10 +294,11 @@ def assns_partner(spark, d):
     return lookup.partner(table(spark, d, "lineitem").select(F.col("l_partkey").alias("left"), F.col("l_suppkey").alias("right")).distinct())
 
 
-@query("""SELECT o_orderkey, o_orderdate, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+@query(f"""WITH h AS ({HEADER}), s AS (SELECT run, subrun, count(*) AS in_subrun FROM h GROUP BY ALL), r AS (SELECT run, min(event) AS first_of_run FROM h GROUP BY ALL) SELECT event, in_subrun, first_of_run FROM h JOIN s USING (run, subrun) JOIN r USING (run)""")
 def parent_access(spark, d):
-    o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
-    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select("o_orderkey", "o_orderdate", "c_name", "n_name")
+    h = header(spark, d)
+    subruns, runs = h.groupBy("run", "subrun").agg(F.count("*").alias("in_subrun")), h.groupBy("run").agg(F.min("event").alias("first_of_run"))
+    return products.parents(h.select("run", "subrun", "event"), subruns, runs).select("event", "in_subrun", "first_of_run")
 
 
 # Ranges and sums
@@ -377,22 +384,40 @@ def mix_sequential(spark, d):
     return overlay.consecutive(table(spark, d, "events").select("event_id"), ["event_id"], F.col("event_id") % 4, size, 17, wrap=True)
 
 
-@query()
+#: A number in [0, 1) from the MD5 of a text, as overlay.uniform() has it.
+UNIFORM = "(('0x' || md5({})[1:13])::UBIGINT::DOUBLE / 4503599627370496.0)"
+ENTRIES = "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS entry FROM orders"
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """The secondary stream: orders by key, counted from 0."""
+    return ordinal(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "_n").select("o_orderkey", (F.col("_n") - 1).alias("entry"))
+
+
+@query(f"""WITH s AS ({ENTRIES}), z AS (SELECT count(*) AS size FROM orders), p AS (SELECT event_id, unnest(range(1, 4)) AS d FROM events),
+e AS (SELECT event_id, d, CAST(floor({UNIFORM.format("'5:' || event_id || ':' || d")} * size) AS BIGINT) AS entry FROM p, z)
+SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY entry, d) - 1 AS INT) AS place, entry, o_orderkey FROM e JOIN s USING (entry)""")
 def mix_with_replacement(spark, d):
-    return overlay.with_replacement(table(spark, d, "events").select("event_id"), "event_id", 3, 1000, seed=5)
+    second = _entries(spark, d)
+    draws = overlay.with_replacement(table(spark, d, "events").select("event_id"), "event_id", 3, second.count(), seed=5)
+    return draws.join(second, "entry").select("event_id", "place", "entry", "o_orderkey")
 
 
-@query()
+@query(f"""WITH s AS ({ENTRIES}), z AS (SELECT count(*) AS size FROM orders), p AS (SELECT event_id, unnest(range(1, 137)) AS d FROM events),
+e AS (SELECT event_id, d, CAST(floor({UNIFORM.format("'5:' || event_id || ':' || d")} * size) AS BIGINT) AS entry FROM p, z),
+f AS (SELECT event_id, entry, min(d) AS d FROM e GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d) AS k FROM f)
+SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY entry) - 1 AS INT) AS place, entry, o_orderkey FROM n JOIN s USING (entry) WHERE k <= 4""")
 def mix_distinct(spark, d):
-    return overlay.distinct_within(table(spark, d, "events").select("event_id"), "event_id", 4, 1000, seed=5)
+    second = _entries(spark, d)
+    draws = overlay.distinct_within(table(spark, d, "events").select("event_id"), "event_id", 4, second.count(), seed=5)
+    return draws.join(second, "entry").select("event_id", "place", "entry", "o_orderkey")
 
 
-@query()
+@query(f"""WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY {UNIFORM.format("'9:' || o_orderkey")}, o_orderkey) - 1 AS entry FROM orders),
+p AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS entry FROM events) SELECT event_id, entry, o_orderkey FROM p JOIN s USING (entry)""")
 def mix_without_replacement(spark, d):
-    events = table(spark, d, "events")
     second = overlay.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", seed=9)
-    primaries = events.where("event_id % 3 = 0").select("event_id")
-    dealt = overlay.consecutive(primaries, ["event_id"], F.lit(2), second.count())
+    dealt = overlay.consecutive(table(spark, d, "events").select("event_id"), ["event_id"], F.lit(1), second.count())
     return dealt.join(second, "entry").select("event_id", "entry", "o_orderkey")
 
 
@@ -412,14 +437,15 @@ def flatten_offsets(spark, d):
     return _lists(spark, d).where(F.exists("xs", lambda x: x.isNotNull())).select("g", overlay.flattened(F.col("xs")).alias("flat"), overlay.offsets(F.col("xs")).alias("offsets"))
 
 
-@query(f"""{LISTS} SELECT g, k, CAST(off AS BIGINT) AS key, CAST(42 AS INT) AS product_id FROM p WHERE len(xs) > 0""")
+@query(f"""{LISTS} SELECT g, k, CAST(off AS BIGINT) AS key, CAST(70 + 10 * (k % 3) AS INT) AS product_id FROM p WHERE len(xs) > 0""")
 def ptr_remap(spark, d):
     xs = _lists(spark, d).select("g", F.filter(F.transform("xs", lambda x, i: F.struct(i.alias("k"), x.alias("x"))), lambda s: s["x"].isNotNull()).alias("ps"), overlay.offsets(F.col("xs")).alias("off"))
     each = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 5).alias("g"), (F.col("l_orderkey") % 5).alias("k")).distinct().where("k <> 2")
     place = F.row_number().over(_by("g", "k")) - 1
     each = each.withColumn("n", place).join(xs.select("g", "off"), "g")
-    pointers = F.array(F.struct(F.lit(7).alias("product_id"), F.lit(0).alias("key")))
-    return each.select("g", "k", F.inline(overlay.remapped(pointers, F.get("off", F.col("n")), F.lit(42)))).select("g", "k", F.col("key").cast("long").alias("key"), "product_id")
+    pointers = overlay.same_set(F.array(F.struct((F.col("k") % 3 + 7).cast("int").alias("product_id"), F.lit(0).alias("key"))))
+    ids = overlay.id_map({7: 70, 8: 80, 9: 90})
+    return each.select("g", "k", F.inline(overlay.remapped(pointers, F.get("off", F.col("n")), ids))).select("g", "k", F.col("key").cast("long").alias("key"), "product_id")
 
 
 def _by(part: str, order: str):
@@ -546,10 +572,97 @@ perf_query("time_statistics", "SELECT Path, ModuleLabel, ModuleType, round(min(T
 perf_query("full_event_times", "SELECT Run, SubRun, Event, round(FullTime, 4) AS FullTime FROM Full_", lambda p: performance.full_events(p.source, p.event, p.module))
 
 
-@query(f"""WITH c AS ({CATALOG}) SELECT process, level, count(*) AS n_total, count_if(available)::BIGINT AS n_present, count_if(NOT available)::BIGINT AS n_missing FROM c GROUP BY ALL""")
+FULL_CATALOG = f"""SELECT *, friendly_class || 's' AS "type", p_partkey AS product_id, CASE WHEN available THEN p_partkey * 10 END AS size FROM ({CATALOG})"""
+
+
+def full_catalog(spark: SparkSession, d: str) -> DataFrame:
+    c = catalog(spark, d)
+    return c.withColumns({"type": F.concat("friendly_class", F.lit("s")), "product_id": F.col("p_partkey"), "size": F.when(F.col("available"), F.col("p_partkey") * 10)})
+
+
+@query(f"""WITH c AS ({FULL_CATALOG}) SELECT level, process, count(*) AS n_total, count_if(available)::BIGINT AS n_present, count_if(NOT available)::BIGINT AS n_missing, CAST(sum(CASE WHEN available THEN size END) AS BIGINT) AS size FROM c GROUP BY ALL""")
 def product_listing(spark, d):
+    return products.totals(products.listing(full_catalog(spark, d)))
+
+
+@query(f"""WITH c AS ({FULL_CATALOG}) SELECT level, process, process_seq, module_label, instance, "type", friendly_class, product_id, size, available AS present FROM c WHERE available""")
+def product_details(spark, d):
+    return products.listing(full_catalog(spark, d), only_present=True)
+
+
+@query(f"""WITH c AS ({FULL_CATALOG}), f AS (SELECT *, CASE WHEN available THEN '  ' ELSE '- ' END AS mark FROM c) SELECT level, process_seq, mark || rpad(process, 10, ' ') || ' ' || rpad(module_label, 16, ' ') || ' ' || rpad(instance, 10, ' ') || ' ' ||
+rpad("type", 24, ' ') || ' ' || rpad(product_id::VARCHAR, 10, ' ') || ' ' || coalesce(size::VARCHAR, '-') AS line FROM f""")
+def product_lines(spark, d):
+    return products.printed(products.listing(full_catalog(spark, d)))
+
+
+@query(f"""WITH c AS ({CATALOG}), t AS (SELECT DISTINCT event, process_seq, module_label, instance, process FROM c WHERE friendly_class = 'Hit')
+SELECT event, module_label || ':' || instance || ':' || process AS tag, row_number() OVER (PARTITION BY event ORDER BY process_seq DESC, module_label, instance) AS place FROM t""")
+def product_tags(spark, d):
+    return products.tags(catalog(spark, d), F.col("friendly_class") == "Hit", ["event"])
+
+
+@query(f"""WITH i AS ({ITEMS_SQL}), n AS (SELECT *, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INT) AS n FROM i) SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN pos ELSE n - 1 - pos END AS pos, l_partkey FROM n""")
+def single_view(spark, d):
+    """Even orders have a container in the primary file, all orders one in the secondary file, in reverse; a third kind cannot be viewed."""
+    fixed = {"available": F.lit(True), "dropped": F.lit(False), "origin": F.lit("present"), "module_label": F.lit("m")}
+    items = _items(spark, d).withColumns({**fixed, "kind": F.lit("Item")})
+    rows = lookup.tiers(items.where("l_orderkey % 2 = 0"), items.withColumn("items", F.reverse("items"))).unionByName(items.withColumns({"kind": F.lit("Other"), "tier": F.lit(0)}))
+    return products.single_view(rows, lookup.module_label("m"), ["l_orderkey"], F.col("kind") == "Item").select("l_orderkey", "pos", F.col("element.l_partkey").alias("l_partkey"))
+
+
+STATUS = "['present', 'dummy', 'neverCreated', NULL]"
+PARTS = f"""SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, ['Event', 'SubRun', 'Run'][l_partkey % 3 + 1] AS level, l_suppkey % 7 = 0 AS dropped, l_linenumber % 2 = 0 AS produced, {STATUS}[l_orderkey % 4 + 1] AS status FROM lineitem"""
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (k + 1).cast("int"))
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
+    return li.withColumns({
+        "level": pick(["Event", "SubRun", "Run"], F.col("l_partkey") % 3), "dropped": F.col("l_suppkey") % 7 == 0, "produced": F.col("l_linenumber") % 2 == 0,
+        "status": pick(["present", "dummy", "neverCreated", None], F.col("l_orderkey") % 4),
+    })
+
+
+@query(f"""WITH p AS ({PARTS}), c AS (SELECT *, max(coalesce(status = 'present', false)) OVER (PARTITION BY l_partkey, l_suppkey) AND level <> 'Event' AS after FROM p)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN dropped THEN false WHEN status IS NULL THEN after AND NOT produced WHEN level <> 'Event' AND NOT after THEN status = 'present' ELSE status IN ('present', 'dummy') END AS available FROM c""")
+def availability(spark, d):
+    return products.with_availability(_parts(spark, d), ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "available")
+
+
+@query(f"""WITH h AS ({HEADER}), e AS (SELECT DISTINCT run, subrun, event FROM h WHERE event % 9 <> 0), g AS (SELECT *, event - row_number() OVER (PARTITION BY run, subrun ORDER BY event) AS g FROM e),
+r AS (SELECT run, subrun, min(event) AS begin, max(event) + 1 AS "end" FROM g GROUP BY run, subrun, g), p AS (SELECT run, count(*) AS total FROM h GROUP BY run)
+SELECT run, total, false AS whole, begin, "end" FROM p JOIN r USING (run) UNION ALL SELECT run, total, true, NULL, NULL FROM p""")
+def put_run_products(spark, d):
+    h = header(spark, d)
+    totals = h.groupBy("run").agg(F.count("*").alias("total"))
+    seen = ranges.islands(h.where("event % 9 <> 0")).withColumn("whole", F.lit(False)).drop("subrun")
+    cols = ["run", "total", "whole", "begin", "end"]
+    return products.put_spanning(totals, ["run"], products.FRAGMENT, seen).select(*cols).unionByName(products.put_spanning(totals, ["run"], products.FULL).select(*cols))
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1""")
+def put_replaced(spark, d):
+    return products.put(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "Run", "event_id")
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE event_type IS DISTINCT FROM b""")
+def process_history(spark, d):
+    return products.adjacent_unique(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", "event_type")
+
+
+@query(f"""WITH c AS ({CATALOG}) SELECT p_partkey, friendly_class <> 'Track' AND NOT transient AND NOT dropped AS kept, friendly_class = 'Track' AND NOT transient AND NOT dropped AS newly_dropped FROM c""")
+def newly_dropped(spark, d):
+    return products.newly_dropped(catalog(spark, d), kept(["keep *", "drop Track_*_*_*"])).select("p_partkey", "kept", "newly_dropped")
+
+
+@query(f"""WITH c AS ({CATALOG}) SELECT event, p_partkey, module_label, instance, process FROM c WHERE module_label = 'modA' AND instance = '' AND available AND NOT dropped
+UNION ALL SELECT p_partkey % 150, p_partkey + 1000000, 'emulated', '', 'SOURCE' FROM part""")
+def inserted_products(spark, d):
     c = catalog(spark, d)
-    return c.groupBy("process", "level").agg(F.count("*").alias("n_total"), F.count_if("available").cast("long").alias("n_present"), F.count_if(~F.col("available")).cast("long").alias("n_missing"))
+    rows = products.inserted(c.withColumn("p_partkey", F.col("p_partkey") + 1_000_000), "emulated", "SOURCE", 3)
+    sel = lookup.tag_list(["modA", "emulated"]) & lookup.instance_name("")
+    return c.unionByName(rows).where(sel & lookup.visible(None) & F.col("available")).select("event", "p_partkey", "module_label", "instance", "process")
 
 
 # Limits, module totals, relations
@@ -623,15 +736,37 @@ def file_index(spark, d):
 # More of mixing
 
 
-@query(f"""WITH p AS (SELECT event_id, event_id % 4 AS n, sum(event_id % 4) OVER (ORDER BY event_id) - event_id % 4 AS at_ FROM events), c AS (SELECT count(*) AS size FROM part)
-SELECT event_id, CAST((at_ + CAST(floor({overlay.random_start(11)!r} * size) AS BIGINT) + unnest(range(0, n))) % size AS BIGINT) AS entry FROM p, c""")
+#: Three secondary files: orders by their key modulo 3, and how many entries each has.
+FILES = "z AS (SELECT count_if(o_orderkey % 3 = 0) AS s0, count_if(o_orderkey % 3 = 1) AS s1, count_if(o_orderkey % 3 = 2) AS s2 FROM orders)"
+
+
+def _sizes(spark: SparkSession, d: str) -> list[int]:
+    r = table(spark, d, "orders").agg(*[F.count_if(F.col("o_orderkey") % 3 == k).alias(f"s{k}") for k in range(3)]).first()
+    return [r.s0, r.s1, r.s2]
+
+
+@query(f"""WITH {FILES}, o AS (SELECT *, CAST(floor({overlay.random_start(11)!r} * s0) AS BIGINT) AS off FROM z), c AS (SELECT *, (s0 - off) // 3 AS b0, s0 // 3 AS f0, s1 // 3 AS f1, s2 // 3 AS f2 FROM o),
+p AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k, c.* FROM events, c), q AS (SELECT *, k >= b0 + f1 + f2 AS again FROM p),
+r AS (SELECT *, CASE WHEN again THEN (k - b0 - f1 - f2) % (f0 + f1 + f2) ELSE k END AS j, CASE WHEN again THEN f0 ELSE b0 END AS c0 FROM q)
+SELECT event_id, CASE WHEN j < c0 THEN 0 WHEN j < c0 + f1 THEN 1 ELSE 2 END::BIGINT AS file, CAST(CASE WHEN j < c0 THEN 3 * j + CASE WHEN again THEN 0 ELSE off END WHEN j < c0 + f1 THEN 3 * (j - c0) ELSE 3 * (j - c0 - f1) END AS BIGINT) AS first FROM r""")
 def mix_random_start(spark, d):
-    return overlay.from_random_start(table(spark, d, "events").select("event_id"), ["event_id"], F.col("event_id") % 4, table(spark, d, "part").count(), seed=11)
+    return overlay.from_random_start(table(spark, d, "events").select("event_id"), ["event_id"], 3, _sizes(spark, d), seed=11)
 
 
-@query("""WITH p AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) % 150 AS k FROM events) SELECT event_id, CASE WHEN k < 50 THEN 0 WHEN k < 66 THEN 1 ELSE 2 END::BIGINT AS file, CAST(3 * CASE WHEN k < 50 THEN k WHEN k < 66 THEN k - 50 ELSE k - 66 END AS BIGINT) AS first FROM p""")
+@query(f"""WITH {FILES}, c AS (SELECT CAST(floor(s0 * 0.5 / 3) AS BIGINT) AS f0, CAST(floor(s1 * 0.5 / 3) AS BIGINT) AS f1, CAST(floor(s2 * 0.5 / 3) AS BIGINT) AS f2 FROM z),
+p AS (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) % (f0 + f1 + f2) AS k, c.* FROM events, c)
+SELECT event_id, CASE WHEN k < f0 THEN 0 WHEN k < f0 + f1 THEN 1 ELSE 2 END::BIGINT AS file, CAST(3 * CASE WHEN k < f0 THEN k WHEN k < f0 + f1 THEN k - f0 ELSE k - f0 - f1 END AS BIGINT) AS first FROM p""")
 def mix_files(spark, d):
-    return overlay.files_for(table(spark, d, "events").select("event_id"), ["event_id"], 3, [300, 100, 504], coverage=50)
+    return overlay.files_for(table(spark, d, "events").select("event_id"), ["event_id"], 3, _sizes(spark, d), coverage=50)
+
+
+@query(f"""WITH RECURSIVE {FILES}, p AS (SELECT event_id, event_id % 4 AS n, row_number() OVER (ORDER BY event_id) AS k FROM events),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS file, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS used, CAST(NULL AS BIGINT) AS event_id
+UNION ALL SELECT k, f, CASE WHEN f = file THEN used ELSE 0 END, CASE WHEN f = file THEN used ELSE 0 END + n, event_id FROM (SELECT p.k, p.n, p.event_id, r.file, r.used, CASE WHEN r.used + p.n > [s0, s1, s2][r.file + 1] THEN (r.file + 1) % 3 ELSE r.file END AS f FROM r JOIN p ON p.k = r.k + 1, z))
+SELECT event_id, file, first FROM r WHERE k > 0""")
+def mix_files_varying(spark, d):
+    primaries = table(spark, d, "events").select("event_id", (F.col("event_id") % 4).alias("n"))
+    return overlay.files_for(primaries, ["event_id"], "n", _sizes(spark, d)).select("event_id", "file", "first")
 
 
 MIXED = """WITH p AS (SELECT event_id, event_id % 4 AS n, sum(event_id % 4) OVER (ORDER BY event_id) - event_id % 4 AS at_ FROM events), m AS (SELECT event_id, unnest(range(0, n)) AS i, at_ FROM p),
@@ -688,12 +823,14 @@ def dependency_dot(spark, d):
     return graph.dot(_deps(spark, d).withColumn("kind", F.concat(F.lit("path:"), "path")), "label", "on", "kind")
 
 
-@query(f"""WITH h AS ({HEADER}), n AS (SELECT *, (lag(subrun) OVER w IS DISTINCT FROM subrun)::INT AS b FROM h WINDOW w AS (PARTITION BY run ORDER BY event_id)), g AS (SELECT *, sum(b) OVER (PARTITION BY run ORDER BY event_id) AS g FROM n),
-m AS (SELECT *, max(g) OVER (PARTITION BY run) AS last FROM g) SELECT run, subrun, count(*) AS n_events, round(sum(value), 4) AS total, min(event) AS begin, max(event) + 1 AS "end" FROM m WHERE g < last GROUP BY run, subrun, g""")
+@query(f"""WITH h AS ({HEADER}), n AS (SELECT *, (lag(subrun) OVER w IS DISTINCT FROM subrun)::INT AS b FROM h WINDOW w AS (PARTITION BY run ORDER BY event_id)), g AS (SELECT *, sum(b) OVER (PARTITION BY run ORDER BY event_id) AS g FROM n) SELECT run, subrun, count(*) AS n_events, round(sum(value), 4) AS total, min(event) AS begin, max(event) + 1 AS "end" FROM g GROUP BY run, subrun, g""")
 def stream_boundaries(spark, d):
-    rows = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    items = sources.headers(rows).select("run", F.col("event_id").alias("seq"), "subrun", "event", "value", F.lit(False).alias("flush"))
-    return boundaries.run_available(boundaries.close_on_boundary(items), scratch(spark, "stream")).withColumn("total", F.round("total", 4))
+    """The items of an input that ends, with a flush item at the end of each run, read as a stream."""
+    items = boundaries.with_flush(header(spark, d).select("run", F.col("event_id").alias("seq"), "subrun", "event", "value"))
+    path = scratch(spark, "items")
+    items.write.parquet(path)
+    stream = spark.readStream.schema(items.schema).parquet(path)
+    return boundaries.run_available(boundaries.close_on_boundary(stream), scratch(spark, "stream")).withColumn("total", F.round("total", 4))
 
 
 @query("""SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n % 3 = 1""")
@@ -706,3 +843,166 @@ def stream_prescale(spark, d):
 def migrated_times(spark, d):
     old = header(spark, d).select(F.concat_ws(":", "run", "subrun", "event").alias("id"), F.col("value").alias("FullTime"))
     return performance.migrated(old, "id", {"FullTime": "Time"})
+
+
+# Selections over processes, statistics of files, graphs of jobs, what a reader or a job's configuration gives
+
+
+@query(_select_sql("(st_hi = 'Pass' OR st_buy = 'Pass' AND st_hi <> 'Exception' AND st_buy <> 'Exception' OR st_err = 'Exception') AND NOT st_odd = 'Pass'"))
+def event_select_process(spark, d):
+    p = _paths()
+    df = paths.run_paths(header(spark, d), {k: p[k] for k in ("hi", "buy")}, POLICY, process="HLT")
+    df = paths.run_paths(df, {k: p[k] for k in ("err", "odd")}, POLICY, process="RECO")
+    keep = paths.wanted_by_process({"HLT": ["hi", "buy"], "RECO": ["err", "odd"]}, "RECO", ["HLT:hi", "HLT:b*&noexception", "exception@e*"], ["odd"])
+    return df.where(keep).select("run", "subrun", "event")
+
+
+@query(f"""WITH h AS ({HEADER}) SELECT event, CASE WHEN value > 50 THEN CASE WHEN event_type = 'error' THEN 'Exception' ELSE 'Pass' END ELSE 'Fail' END AS st_p, CASE WHEN value > 50 AND event_type = 'error' THEN 1 ELSE CASE WHEN value > 50 THEN 2 ELSE 1 END END::BIGINT AS ix_p FROM h""")
+def path_short_circuit(spark, d):
+    """The module behind a failing one is not run: its category is not in the policy where it would fail, and would be raised again."""
+    v, t = F.col("value"), F.col("event_type")
+    category = F.when(v <= 50, "Unlisted").when(t == "error", "Skip")
+    p = {"p": [paths.Entry("large", v > 50), paths.Entry("thrower", F.lit(True), error=category)]}
+    return paths.run_paths(header(spark, d), p, {"Skip": "SkipEvent"}).select("event", "st_p", "ix_p")
+
+
+@query(f"""WITH s AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 700 AS segment, '/in/f' || user_id % 3 AS file FROM ({HEADER})), a AS (SELECT segment, min((run, subrun)) AS lo, max((run, subrun)) AS hi FROM s GROUP BY segment),
+b AS (SELECT s.*, lo, hi, min(ts) OVER (PARTITION BY s.segment, run) AS rt, min(ts) OVER (PARTITION BY s.segment, run, subrun) AS st FROM s JOIN a USING (segment))
+SELECT segment, count(*) AS n_events, min(run) AS lowest_run, max(run) AS highest_run, arg_min(subrun, (run, subrun, event)) AS lowest_subrun, arg_max(subrun, (run, subrun, event)) AS highest_subrun, arg_min(event, (run, subrun, event)) AS lowest_event, arg_max(event, (run, subrun, event)) AS highest_event,
+count(DISTINCT (run, subrun)) AS n_subruns, min(ts) AS opened, max(ts) AS closed, min(CASE WHEN (run, subrun) = lo THEN rt END) AS lowest_run_time, min(CASE WHEN (run, subrun) = hi THEN rt END) AS highest_run_time, min(CASE WHEN (run, subrun) = lo THEN st END) AS lowest_subrun_time,
+min(CASE WHEN (run, subrun) = hi THEN st END) AS highest_subrun_time, list_sort(list(DISTINCT replace(file, '/in/', ''))) AS parents FROM b GROUP BY segment""")
+def file_statistics(spark, d):
+    s = segments.by_events(header(spark, d), ["event_id"], 700).withColumn("file", F.concat(F.lit("/in/f"), F.col("user_id") % 3))
+    return segments.file_statistics(s)
+
+
+@query(f"""WITH h AS ({HEADER}), r AS (SELECT run, subrun, min(event) AS begin, max(event) + 1 AS "end" FROM h GROUP BY ALL), l AS (SELECT max((run, subrun, event)) AS e FROM h WHERE value > 60)
+SELECT run, subrun, begin, "end", (run, subrun, "end" - 1) <= e AS seen FROM r, l""")
+def closed_ranges(spark, d):
+    h = header(spark, d)
+    return ranges.closed_ranges(h.where("value > 60"), h.groupBy("run", "subrun").agg(F.min("event").alias("begin"), (F.max("event") + 1).alias("end")))
+
+
+@query(f"""WITH h AS ({HEADER}), e AS (SELECT run, subrun, event, event - row_number() OVER (PARTITION BY run, subrun ORDER BY event) AS g FROM h WHERE event % 9 <> 0), r AS (SELECT run, subrun, min(event) AS begin FROM e GROUP BY run, subrun, g),
+l AS (SELECT run, subrun, max(event) AS last FROM h WHERE event_type = 'click' GROUP BY ALL) SELECT run, subrun, last, count_if(begin <= last)::BIGINT AS n_seen FROM r JOIN l USING (run, subrun) GROUP BY ALL""")
+def current_range(spark, d):
+    h = header(spark, d)
+    return ranges.current_range(h.where("event_type = 'click'"), ranges.islands(h.where("event % 9 <> 0")))
+
+
+READS = """SELECT user_id % 5 AS file, event_id AS pos, event_id % 97 <> 96 AS more, CASE WHEN event_id % 40 < 5 THEN event_id // 40 % 9 END AS new_run, CASE WHEN event_id % 8 < 3 THEN event_id // 8 % 6 END AS new_subrun,
+CASE WHEN event_id % 8 < 3 THEN event_id // 40 % 9 END AS subrun_run, CASE WHEN event_id % 3 <> 0 THEN event_id % 501 END AS new_event, CASE WHEN event_id % 3 <> 0 THEN event_id // 40 % 9 END AS event_run, CASE WHEN event_id % 3 <> 0 THEN event_id // 8 % 6 END AS event_subrun FROM events"""
+
+
+@query(f"""WITH i AS ({READS}), w AS (SELECT *, last_value(new_run IGNORE NULLS) OVER b AS r0, last_value(CASE WHEN new_subrun IS NOT NULL THEN subrun_run END IGNORE NULLS) OVER b AS sr0, last_value(new_subrun IGNORE NULLS) OVER b AS s0 FROM i WINDOW b AS (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, coalesce(new_run, r0) AS run, CASE WHEN new_subrun IS NOT NULL THEN subrun_run ELSE sr0 END AS fr, CASE WHEN new_subrun IS NOT NULL THEN new_subrun ELSE s0 END AS fs, new_run IS NOT NULL OR new_subrun IS NOT NULL OR new_event IS NOT NULL AS anything FROM w)
+SELECT file, pos, rule FROM (SELECT file, pos, unnest([CASE WHEN more AND NOT anything THEN 'nothing_new' END, CASE WHEN NOT more AND anything THEN 'data_at_end' END, CASE WHEN more AND run IS NULL THEN 'no_run' END, CASE WHEN more AND fs IS NULL THEN 'no_subrun' END, CASE WHEN more AND new_run = r0 THEN 'same_run' END,
+CASE WHEN more AND new_subrun = s0 AND subrun_run = sr0 THEN 'same_subrun' END, CASE WHEN more AND r0 IS NOT NULL AND s0 IS NOT NULL AND new_run IS NOT NULL AND new_subrun IS NULL AND new_event IS NOT NULL THEN 'event_without_subrun' END, CASE WHEN more AND subrun_run <> run THEN 'run_mismatch' END,
+CASE WHEN more AND (event_run <> fr OR event_subrun <> fs) THEN 'subrun_mismatch' END, CASE WHEN more AND (new_run = 0 OR new_event = 0) THEN 'invalid_id' END]) AS rule FROM c) WHERE rule IS NOT NULL""")
+def stream_violations(spark, d):
+    i, whole = F.col("event_id"), lambda n, m: F.floor(F.col("event_id") / n).cast("long") % m
+    run, sub, some = whole(40, 9), whole(8, 6), i % 3 != 0
+    items = table(spark, d, "events").select(
+        (F.col("user_id") % 5).alias("file"), i.alias("pos"), (i % 97 != 96).alias("more"), F.when(i % 40 < 5, run).alias("new_run"), F.when(i % 8 < 3, sub).alias("new_subrun"), F.when(i % 8 < 3, run).alias("subrun_run"),
+        F.when(some, i % 501).alias("new_event"), F.when(some, run).alias("event_run"), F.when(some, sub).alias("event_subrun"),
+    )
+    return sources.stream_violations(items)
+
+
+GRAPH = f"""WITH l AS ({PLACES}), k AS (SELECT 'p' || p_partkey AS label, p_size % 3 = 0 AS f FROM part), n AS (SELECT DISTINCT 'p' || p_partkey AS a, 'p' || (p_partkey * 3 + p_size) % (SELECT count(*) FROM part) AS b FROM part),
+x AS (SELECT path, label, lag(label) OVER w AS p0, lead(label) OVER w AS n0, last_value(CASE WHEN f THEN label END IGNORE NULLS) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f0 FROM l JOIN k USING (label) WINDOW w AS (PARTITION BY path ORDER BY pos)),
+g AS (SELECT a AS source, b AS target, 'prod' AS kind FROM n UNION SELECT label, p0, 'path:' || path FROM x WHERE p0 IS NOT NULL UNION SELECT label, 'input_source', 'source:' || path FROM x WHERE p0 IS NULL UNION SELECT label, f0, 'filter:' || path FROM x WHERE f0 IS NOT NULL
+UNION SELECT 'TriggerResults', label, 'sync' FROM x WHERE n0 IS NULL UNION SELECT 'end' || s_suppkey, 'TriggerResults', 'sync' FROM supplier UNION SELECT 'end' || s_suppkey, 'TriggerResults', 'filter:path' || s_suppkey % 20 FROM supplier WHERE s_suppkey % 4 = 0)"""
+
+
+def _module_graph(spark: SparkSession, d: str) -> DataFrame:
+    part, supplier = table(spark, d, "part"), table(spark, d, "supplier")
+    k, n, label = F.col("p_partkey"), part.count(), F.concat(F.lit("p"), "p_partkey").alias("label")
+    places = part.select(label, F.concat(F.lit("path"), k % 20).alias("path"), F.floor(k / 20).alias("pos"))
+    kinds = part.select(label, F.when(F.col("p_size") % 3 == 0, "filter").otherwise("producer").alias("kind"))
+    needs = part.select(label, F.concat(F.lit("p"), (k * 3 + F.col("p_size")) % n).alias("on"))
+    ends = supplier.select(F.concat(F.lit("end"), "s_suppkey").alias("label"))
+    selects = supplier.where("s_suppkey % 4 = 0").select(F.concat(F.lit("end"), "s_suppkey").alias("label"), F.concat(F.lit("path"), F.col("s_suppkey") % 20).alias("path"))
+    return graph.module_graph(places, kinds, needs, ends, selects)
+
+
+@query(f"{GRAPH} SELECT * FROM g")
+def module_graph(spark, d):
+    return _module_graph(spark, d)
+
+
+@query(f"""{GRAPH} SELECT '  "' || source || '" -> "' || target || '" [label="' || kind || '" ' || CASE split_part(kind, ':', 1) WHEN 'prod' THEN 'style=bold' WHEN 'filter' THEN 'color=red' WHEN 'path' THEN 'style=solid' ELSE 'style=dashed' END || '];' AS line FROM g UNION ALL SELECT 'digraph {{' UNION ALL SELECT '}}'""")
+def module_graph_dot(spark, d):
+    return graph.dot(_module_graph(spark, d), "source", "target", "kind", graph.edge_style(F.col("kind")))
+
+
+IDS = "SELECT 'n' || n_nationkey AS id, n_nationkey AS k FROM nation UNION ALL SELECT 'c' || c_custkey, c_custkey FROM customer UNION ALL SELECT 's' || s_suppkey, s_suppkey FROM supplier UNION ALL SELECT 'o' || o_orderkey, o_orderkey FROM orders"
+
+
+@query(f"""WITH RECURSIVE i AS ({IDS}), p AS (SELECT id, k % 5 <> 0 AS available, k % 7 <> 0 AS prov, k % 11 <> 0 AS mapped, k % 13 <> 0 AS described FROM i WHERE k % 17 <> 3), e AS ({EDGES}), s AS (SELECT id FROM p WHERE available AND prov),
+c AS (SELECT child, parent AS ancestor FROM e UNION SELECT c.child, e.parent FROM c JOIN e ON e.child = c.ancestor), u AS (SELECT DISTINCT ancestor AS id FROM c WHERE child IN (SELECT id FROM s)), seen AS (SELECT id FROM p WHERE NOT available OR prov)
+SELECT DISTINCT id, 'no_provenance' AS kind FROM p WHERE available AND NOT prov UNION SELECT id, 'not_in_map' FROM (SELECT id FROM s UNION SELECT id FROM u) WHERE id NOT IN (SELECT id FROM p WHERE mapped)
+UNION SELECT id, 'not_in_event' FROM u WHERE id NOT IN (SELECT id FROM seen) UNION SELECT id, 'not_described' FROM (SELECT id FROM u UNION SELECT id FROM seen) WHERE id NOT IN (SELECT id FROM p WHERE described)""")
+def prov_missing_kinds(spark, d):
+    ids = None
+    for name, letter, key in (("nation", "n", "n_nationkey"), ("customer", "c", "c_custkey"), ("supplier", "s", "s_suppkey"), ("orders", "o", "o_orderkey")):
+        rows = table(spark, d, name).select(F.concat(F.lit(letter), key).alias("id"), F.col(key).alias("k"))
+        ids = rows if ids is None else ids.unionByName(rows)
+    p = ids.where("k % 17 <> 3")
+    return graph.missing_kinds(p.select("id", F.expr("k % 5 <> 0").alias("available"), F.expr("k % 7 <> 0").alias("has_provenance")), _edges(spark, d), p.where("k % 11 <> 0").select("id"), p.where("k % 13 <> 0").select("id"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey % 2 AS side, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) - 1 AS key, count(*) FILTER (WHERE o_orderkey % 2 = 0) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_custkey, CAST(key + CASE WHEN side = 1 THEN n ELSE 0 END AS INT) AS key, o_orderkey AS value FROM o""")
+def map_union(spark, d):
+    side = lambda k: F.array_sort(F.collect_list(F.when(F.col("o_orderkey") % 2 == k, F.col("o_orderkey"))))
+    lists = table(spark, d, "orders").groupBy("o_custkey").agg(side(0).alias("a"), side(1).alias("b"))
+    keyed = lambda c: F.map_from_entries(F.transform(c, lambda x, i: F.struct(i.alias("key"), x.alias("value"))))
+    return lists.select("o_custkey", F.explode(overlay.shifted_union(keyed("a"), keyed("b"))).alias("key", "value"))
+
+
+@query("SELECT DISTINCT l_partkey AS old_id, 2 * l_partkey + 1 AS new_id FROM lineitem")
+def id_maps(spark, d):
+    return overlay.check_id_maps(table(spark, d, "lineitem").select(F.col("l_linenumber").alias("file"), F.col("l_partkey").alias("old_id"), (2 * F.col("l_partkey") + 1).alias("new_id")))
+
+
+@query(f"""{SEGMENTS} SELECT 'index' AS section, count(*) AS n FROM (SELECT DISTINCT segment, run, subrun, event FROM s UNION ALL SELECT DISTINCT segment, run, subrun, NULL FROM s UNION ALL SELECT DISTINCT segment, run, NULL, NULL FROM s)
+UNION ALL SELECT 'history', count(*) FROM (SELECT DISTINCT event_type FROM s) UNION ALL SELECT 'metadata', count(DISTINCT segment) FROM s""")
+def output_sections(spark, d):
+    s, path = segments.by_events(header(spark, d), ["event_id"], 700), scratch(spark, "output")
+    stats = segments.file_stats(s).select("segment", "n_events")
+    files.write_tail(path, {"metadata": segments.metadata(stats, {"tier": "raw"}), "index": files.index(s), "history": s.select("event_type").distinct()})
+    return files.read(spark, path, "index").agg(F.lit("index").alias("section"), F.count("*").alias("n")).unionByName(files.read(spark, path, "history").agg(F.lit("history").alias("section"), F.count("*").alias("n"))).unionByName(files.read(spark, path, "metadata").agg(F.lit("metadata").alias("section"), F.count("*").alias("n")))
+
+
+@query(f"""WITH h AS ({HEADER}) SELECT run, subrun, event, true AS is_real, 'Data' AS kind, to_timestamp(event * 60)::TIMESTAMP AS ts FROM h""")
+def timestamped_principals(spark, d):
+    return sources.principals(header(spark, d).select("run", "subrun", "event")).withColumn("ts", F.timestamp_seconds(F.col("event") * 60))
+
+
+perf_query("time_report", """, a AS (SELECT 'Full event' AS name, FullTime AS Time FROM Full_ UNION ALL SELECT 'source:' || Source || '(read)', Time FROM TimeSource UNION ALL SELECT Path || ':' || ModuleLabel || ':' || ModuleType, Time FROM TimeModule)
+SELECT name, round(min(Time), 4) AS min_v, round(avg(Time), 4) AS mean_v, round(max(Time), 4) AS max_v, round(median(Time), 4) AS median_v, round(sqrt(avg(Time * Time)), 4) AS rms_v, round(stddev_pop(Time), 4) AS sd_v, count(*) AS n FROM a GROUP BY name""", lambda p: performance.time_report(p.source, p.event, p.module))
+perf_query("module_list", "SELECT DISTINCT Path, ModuleLabel, ModuleType FROM TimeModule", lambda p: performance.modules(p.module))
+
+JOB = {
+    "process_name": "RECO",
+    "physics": {
+        "producers": {"hits": {}, "tracks": {}}, "filters": {"good": {}, "spare": {}}, "analyzers": {"plots": {}}, "trigger_paths": ["1:main", "side"], "end_paths": ["out"],
+        "main": ["hits", "!good", "tracks"], "side": ["hits"], "out": ["plots", "write"], "idle": ["spare"],
+    },
+    "outputs": {"write": {}},
+}
+
+
+@query("""SELECT * FROM (VALUES ('trigger_path', '1:main', 'hits !good tracks'), ('trigger_path', '1:side', 'hits'), ('end_path', 'end_path', 'plots write'), ('module', 'good', 'filters'), ('module', 'hits', 'producers'), ('module', 'plots', 'analyzers'),
+('module', 'tracks', 'producers'), ('module', 'write', 'outputs'), ('unused_path', 'idle', ''), ('unused_module', 'spare', '')) t(what, name, value)""".replace("1:side", "2:side"))
+def workflow_summary(spark, d):
+    job = {**JOB, "physics": {**JOB["physics"], "trigger_paths": ["1:main", "2:side"]}}
+    return spark.createDataFrame(workflow.compile_workflow(job).summary("full"), "what string, name string, value string")
+
+
+@query("""SELECT * FROM (VALUES ('a', 'data_tier', 'reco'), ('a', 'stream_name', 'a'), ('a', 'group', 'g'), ('b', 'data_tier', 'raw'), ('b', 'stream_name', 'special'), ('b', 'group', 'g')) t(output, key, value)""")
+def catalog_options(spark, d):
+    found = workflow.catalog_metadata({"a": {}, "b": {"stream_name": "x"}}, ["a:reco", "raw"], ["b:special"], application_family="f", application_version="v", group="g")
+    rows = [(o, k, v) for o, values in found.items() for k, v in values.items() if k in ("data_tier", "stream_name", "group")]
+    return spark.createDataFrame(rows, "output string, key string, value string")

@@ -98,6 +98,39 @@ def integrity_violations(header: DataFrame, file: str, pos: str) -> DataFrame:
     return df.withColumn("rule", F.explode(rules)).select(file, pos, "rule")
 
 
+def stream_violations(items: DataFrame, file: str = "file", pos: str = "pos") -> DataFrame:
+    """Items of a reader that break its contract: (file, pos, rule).
+
+    An item says whether it has more to give (`more`) and what is new: new_run; new_subrun with the run it names (subrun_run); new_event
+    with the run and subrun it names (event_run, event_subrun). Rules: nothing_new, data_at_end, no_run, no_subrun, same_run,
+    same_subrun, event_without_subrun (a new run with an event but no subrun), run_mismatch, subrun_mismatch, invalid_id.
+    """
+    top = 2**32 - 1
+    before = Window.partitionBy(file).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda *c: F.last(F.when(F.col("new_subrun").isNotNull(), F.struct(*c)), ignorenulls=True).over(before)
+    df = items.withColumns({"_run": F.last("new_run", ignorenulls=True).over(before), "_sub": last(F.col("subrun_run").alias("r"), F.col("new_subrun").alias("s"))})
+    r, s, e, more = F.col("new_run"), F.col("new_subrun"), F.col("new_event"), F.col("more")
+    run = F.coalesce(r, "_run")
+    in_force = F.when(s.isNotNull(), F.struct(F.col("subrun_run").alias("r"), s.alias("s"))).otherwise(F.col("_sub"))
+    bad = lambda c: (c == 0) | (c >= top)
+    some = r.isNotNull() | s.isNotNull() | e.isNotNull()
+    rules = {
+        "nothing_new": more & ~some, "data_at_end": ~more & some, "no_run": more & run.isNull(), "no_subrun": more & in_force.isNull(), "same_run": more & (r == F.col("_run")),
+        "same_subrun": more & (s == F.col("_sub.s")) & (F.col("subrun_run") == F.col("_sub.r")), "event_without_subrun": more & F.col("_run").isNotNull() & F.col("_sub").isNotNull() & r.isNotNull() & s.isNull() & e.isNotNull(),
+        "run_mismatch": more & (F.col("subrun_run") != run), "subrun_mismatch": more & ((F.col("event_run") != in_force["r"]) | (F.col("event_subrun") != in_force["s"])),
+        "invalid_id": more & (bad(r) | (s >= top) | bad(e)),
+    }
+    names = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n) for n, c in rules.items()]))
+    return df.select(file, pos, F.explode(names).alias("rule"))
+
+
+def principals(ids: DataFrame, is_real: bool = True, kind: str = "Data") -> DataFrame:
+    """Run, subrun and event rows of a reader with their defaults: real data, of kind Data."""
+    if kind not in ("Any", "Align", "Calib", "Cosmics", "Data", "Mc", "Raw", "Test"):
+        raise ValueError(f"unknown kind of events {kind!r}")
+    return ids.withColumns({"is_real": F.lit(is_real), "kind": F.lit(kind)})
+
+
 def file_list(spark: SparkSession, path: str) -> DataFrame:
     """The names in a list file: one a line, `#` starts a comment, blank lines go."""
     name = F.trim(F.regexp_replace("value", "#.*", ""))

@@ -6,43 +6,54 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "run long, subrun long, n_events long, total double, begin long, end long"
 STATE = "subrun long, n long, total double, begin long, end long"
 
 
+def with_flush(items: DataFrame) -> DataFrame:
+    """Items (run, seq, subrun, event, value) with flush, and at the end of each run a flush item that closes what is open.
+
+    For an input that is known to end; in an endless stream the sender puts flush items in.
+    """
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in (("subrun", "long"), ("event", "long"), ("value", "double"))}
+    ends = items.groupBy("run").agg((F.max("seq") + 1).alias("seq")).select("run", "seq", *none.values(), F.lit(True).alias("flush"))
+    return items.select("run", "seq", "subrun", "event", "value", F.lit(False).alias("flush")).unionByName(ends)
+
+
 def close_on_boundary(stream: DataFrame) -> DataFrame:
     """Per run: a row for each subrun when an item of another subrun, or a flush item, closes it.
 
     Items: run, seq (their order), subrun, event, value, flush. Items of a batch are put in order within their run; a subrun that
-    comes back later is closed again with what came then, so sums over the output count every event once.
+    comes back later is closed again with what came then, so sums over the output count every event once. The state of a run is its open
+    subrun alone; the items of a run in one micro-batch are summed column by column, so micro-batches bound what a task holds.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cur = list(state.get) if state.exists else [None, 0, 0.0, None, None]
+        rows = pd.concat([b[["seq", "subrun", "event", "value", "flush"]] for b in batches]).sort_values("seq")
+        if state.exists:
+            subrun, n, total, begin, end = state.get
+        else:
+            subrun, n, total, begin, end = None, 0, 0.0, None, None
+        # Stretches of items of one subrun; a flush item is a stretch of its own.
+        new = (rows["subrun"] != rows["subrun"].shift()) | rows["flush"] | rows["flush"].shift(fill_value=False)
+        some = rows["event"].notna()
+        sums = pd.DataFrame({"g": new.cumsum(), "flush": rows["flush"], "subrun": rows["subrun"], "n": some, "value": rows["value"].where(some, 0.0), "event": rows["event"]})
+        sums = sums.groupby("g").agg(flush=("flush", "any"), subrun=("subrun", "first"), n=("n", "sum"), total=("value", "sum"), begin=("event", "min"), end=("event", "max"))
         out = []
-
-        def close() -> None:
-            if cur[0] is not None and cur[1]:
-                out.append((key[0], cur[0], cur[1], cur[2], cur[3], cur[4] + 1))
-            cur[:] = [None, 0, 0.0, None, None]
-
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            if row.flush:
-                close()
-                continue
-            if cur[0] != row.subrun:
-                close()
-                cur[0] = int(row.subrun)
-            if pd.notna(row.event):
-                e = int(row.event)
-                cur[1] += 1
-                cur[2] += float(row.value)
-                cur[3] = e if cur[3] is None else min(cur[3], e)
-                cur[4] = e if cur[4] is None else max(cur[4], e)
-        state.update(tuple(cur))
-        yield pd.DataFrame(out, columns=["run", "subrun", "n_events", "total", "begin", "end"])
+        for r in sums.itertuples():
+            if r.flush or r.subrun != subrun:
+                if subrun is not None and n:
+                    out.append((key[0], subrun, n, total, begin, end + 1))
+                subrun, n, total, begin, end = None if r.flush else int(r.subrun), 0, 0.0, None, None
+            if not r.flush and r.n:
+                n, total = n + int(r.n), total + float(r.total)
+                begin, end = min(int(r.begin), begin if begin is not None else int(r.begin)), max(int(r.end), end if end is not None else int(r.end))
+        state.update((subrun, n, total, begin, end))
+        if out:
+            yield pd.DataFrame(out, columns=["run", "subrun", "n_events", "total", "begin", "end"])
 
     return stream.groupBy("run").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
