@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,9 @@ DOMAINS = ("toxic", "low", "high")
 TARGETS = {"toxic": 0.0, "low": 0.2, "high": 0.8}
 #: The mixed corpus has this share of all tokens.
 BUDGET = 0.5
-#: More steps than this are an error: no rates that have not settled are returned.
-STEPS = 200
+#: Targets that soft posteriors cannot reach (no toxic token at all) are neared ever more slowly. After so many steps the rates are
+#: returned as they are, with a warning that states how far their totals are from the targets.
+STEPS = 30
 TOLERANCE = 1e-9
 
 
@@ -137,7 +139,8 @@ def rates(df: DataFrame, targets: dict[str, float], budget: float, steps: int =
         h = [[(r[f"h{min(i, j)}_{max(i, j)}"] or 0.0) + ridge * (i == j) for j in range(len(p))] for i in range(len(p))]
         moves.append(solve(h, miss))
     else:
-        raise RuntimeError(f"rates have not settled after {steps} steps: totals {got} for goals {goal}")
+        far = math.sqrt(sum((a - g) ** 2 for a, g in zip(got, goal))) / max(1.0, sum(goal))
+        warnings.warn(f"rates have not settled after {steps} steps: their totals are {far:.2e} of all target tokens from the targets", stacklevel=2)
     return moves, goal, got
 
 
