@@ -20,7 +20,8 @@ RARE_SHARE = 1e-6
 RARE_COUNT = 20
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Texts are sifted for n-grams of the benchmark by a bitmap of at most so many bits, whatever the benchmark's size; the join decides.
+#: Texts are sifted for n-grams of the benchmark by a bitmap of 64 bits for each of them, but at most so many, whatever the benchmark's size;
+#: the join decides.
 SIFT_BITS = 1 << 26
 
 
@@ -69,20 +70,26 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
 
 
 def sift_of(seeds: DataFrame) -> np.ndarray:
-    """A bitmap of the low bits of the keys, of at most SIFT_BITS bits: 64-bit words that are combined before they come to the driver."""
-    bit = F.col("key").bitwiseAND(SIFT_BITS - 1)
-    word = seeds.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(key & 63 AS INT))").alias("b"))
-    out = np.zeros(SIFT_BITS // 64, np.int64)
+    """A bitmap of the low bits of the keys, 8 to a byte: 64-bit words that are combined before they come to the driver."""
+    bits = min(SIFT_BITS, 1 << max(16, (64 * seeds.count()).bit_length()))
+    bit = F.col("key").bitwiseAND(bits - 1)
+    word = seeds.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, cast(key & 63 AS INT))").alias("b"))
+    out = np.zeros(bits // 64, np.int64)
     for r in word.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
         out[r.w] = r.b
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
+
+
+def sifted(sift: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The places of the keys that the bitmap lets pass."""
+    low = g & np.uint64(8 * len(sift) - 1)
+    return np.flatnonzero(sift[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1)
 
 
 def corpus_hits(keyed: DataFrame, sift: np.ndarray, sizes: list[int]) -> DataFrame:
     """(_k_id, _k_rid, key, pos, n_words): n-grams of the texts that the bitmap lets pass, and for each batch a row of key 0 with its number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64(SIFT_BITS - 1)
         for b in batches:
             data, off = buffers(b.column(2))
             row, key, pos, n_words = [], [], [], 0
@@ -93,7 +100,7 @@ def corpus_hits(keyed: DataFrame, sift: np.ndarray, sizes: list[int]) -> DataFra
                 for n in sizes:
                     g, at = grams(h, doc, n)
                     g = g ^ np.uint64(n)
-                    ok = np.flatnonzero(sift[(g & mask).astype(np.int64)])
+                    ok = sifted(sift, g)
                     row.append(lo + doc[at[ok]])
                     key.append(g[ok])
                     pos.append(at[ok] - edge[doc[at[ok]]])
