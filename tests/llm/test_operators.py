@@ -592,7 +592,9 @@ def test_secrets_equal_brute_force(spark):
             spans += [(lo + s, lo + e) for s, e in hits if not any(x <= lo + s and lo + e <= y for x, y, _ in want)]
         assert spans == [(x.start, x.end) for x in got[d].found if x.kind == "format"]
         added += len(spans)
-    assert added > 30 and learned.recall >= 0.7 and learned.false_share <= 0.05
+    # The table's other candidates hold planted credentials too, so false finds are counted on plain words.
+    plain = [x for x in words(rng, 2000).split() if len(x) >= 6 and x.isascii()]
+    assert added > 30 and learned.recall >= 0.7 and sum(model.ratio(x) >= learned.min_ratio for x in plain) <= 0.005 * len(plain)
 
 
 # op 9
