@@ -1,9 +1,9 @@
-"""Exact repeats of long byte strings by a distributed sparse suffix sort.
+"""Exact repeats of long byte strings by a distributed sparse suffix array.
 
 Suffixes are taken at content-chosen anchors, so that equal strings of `length` bytes have their anchor at the same place. Sampled
-splitters range-partition the suffixes by their leading bytes; buckets sort locally, key after key (leading gram, run of windows,
-place), and compare neighbours. What a bucket cannot decide alone - groups that a splitter may have cut, and suffixes that agree on
-the leading gram only - is compared window by window afterwards.
+splitters range-partition the suffixes by their leading token of eight bytes; buckets sort locally by multikey quicksort over tokens
+and compare neighbours byte by byte. Groups that a splitter may have cut, or that are too large for one piece, are compared across the
+boundaries afterwards. Hashes only choose anchors, deal rows and propose equal strings; bytes decide.
 """
 
 from __future__ import annotations
@@ -16,16 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import materialize, with_key
+from eventloom.llm.common import join_small, materialize, with_key
 from eventloom.llm.simhash import groups
 from eventloom.llm.textvec import BASE, BYTE_CODE, buffers, chunks, mix
 
 LENGTH = 100
 GRAM = 32
+#: Windows whose anchors are sought at once; their places fit the low bits of a key, and the other bits are the hash.
+BLOCK_BITS = 20
 #: Groups with more runs than this are compared in window rows instead of in one task.
 HEAVY = 20_000
 SAMPLED_DOCS = 2_000
 SAMPLED_EACH = 10
+ROWS = "bucket int, lead long, _k_id long, _k_rid long, start int, pre short, cut boolean, bytes binary"
 
 
 def gram_hashes(d: np.ndarray) -> np.ndarray:
@@ -40,53 +43,111 @@ def gram_hashes(d: np.ndarray) -> np.ndarray:
     return h
 
 
-def combined(h: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of the size bytes (32 to 192) at each place, from the grams that cover them."""
-    out = size.astype(np.uint64)
-    for i in range(6):
-        out = mix(out * BASE + h[at + np.minimum(GRAM * i, size - GRAM)])
-    return out
+def anchors(raw: np.ndarray, length: int) -> np.ndarray:
+    """The anchor of each window of `length` bytes: its leftmost gram of the least hash. Depends on the window's bytes alone."""
+    out, wide = [], length - GRAM + 1
+    bits = np.uint64(BLOCK_BITS)
+    step = (1 << BLOCK_BITS) - wide
+    for lo in range(0, len(raw) - wide + 1, step):
+        part = raw[lo : lo + step + wide - 1]
+        m, n = (mix(part) >> bits << bits) | np.arange(len(part), dtype=np.uint64), 1
+        while 2 * n <= wide:
+            m, n = np.minimum(m[:-n], m[n:]), 2 * n
+        if n < wide:
+            m = np.minimum(m[: len(m) - (wide - n)], m[wide - n :])
+        out.append((m & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64) + lo)
+    return np.concatenate(out)
 
 
 def runs(d: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, first window, windows, anchor, gram hash at the anchor, hash of the run's bytes) of the runs of windows of
-    `length` bytes, within documents, with one anchor: the leftmost gram of the least hash in the window."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    """(document, first window, windows, anchor) of the runs of windows of `length` bytes, within documents, with one anchor."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(4))
     if len(d) < length:
         return none
-    raw = gram_hashes(d)
-    bits = np.uint64(max(18, len(raw).bit_length()))
-    m = (mix(raw) >> bits << bits) | np.arange(len(raw), dtype=np.uint64)
-    wide, n = length - GRAM + 1, 1
-    while 2 * n <= wide:
-        m, n = np.minimum(m[:-n], m[n:]), 2 * n
-    if n < wide:
-        m = np.minimum(m[: len(m) - (wide - n)], m[wide - n :])
-    anchor = (m & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    anchor = anchors(gram_hashes(d), length)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(anchor)]
     j = np.flatnonzero(np.arange(len(anchor)) + length <= off[1:][doc])
     if not len(j):
         return none
     anchor, doc = anchor[j], doc[j]
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))
-    count, start = np.diff(np.append(first, len(j))), j[first]
-    return doc[first], start, count, anchor[first], mix(raw[anchor[first]]), combined(raw, start, count + length - 1)
+    return doc[first], j[first], np.diff(np.append(first, len(j))), anchor[first]
 
 
 def lead_of(d: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight leading bytes of each suffix as a number that sorts like them."""
+    """The token, eight bytes as a number that sorts like them, at each place."""
     out = np.zeros(len(at), np.uint64)
     for k in range(8):
         out = (out << np.uint64(8)) | d[at + k]
     return out
 
 
+def slices(d: np.ndarray, lo: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The bytes of d from each place, as a binary column."""
+    off = np.concatenate(([0], np.cumsum(size)))
+    data = d[np.arange(off[-1]) + np.repeat(lo - off[:-1], size)]
+    return pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data)])
+
+
+def tokens(data: np.ndarray, off: np.ndarray, pre: np.ndarray, length: int) -> np.ndarray:
+    """Tokens of each run's suffix: the bytes from its anchor, those before it, and both sizes. Rows are equal if and only if anchor and bytes are."""
+    size = np.diff(off)
+    width = -(-length // 8) * 8
+    m = np.zeros((len(size), 2 * width + 8), np.uint8)
+    row = np.repeat(np.arange(len(size)), size)
+    k = np.arange(len(row)) - np.repeat(off[:-1] + pre, size)
+    m[row, np.where(k < 0, k + width + np.repeat(pre, size), k)] = data
+    t = m.view(">u8").astype(np.uint64)
+    t[:, -1] = (size.astype(np.uint64) << np.uint64(16)) | pre.astype(np.uint64)
+    return t
+
+
+def multikey_quicksort(t: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): sorts rows of tokens within segments of neighbours that share the first token; same marks places whose row equals the one before.
+
+    In each round every open segment is parted around the token of its middle row into less, equal and greater rows; the equal ones go on
+    to their next token. Parting keeps the order of equal rows. Segments of one row, and those out of tokens, are closed.
+    """
+    order, same = np.arange(len(t)), np.zeros(len(t), bool)
+    at, depth = np.arange(len(t)), np.ones(len(t), np.int64)
+    first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1]))) if len(t) else np.zeros(0, np.int64)
+    while len(at):
+        size = np.diff(np.append(first, len(at)))
+        keep = np.repeat(size > 1, size)
+        at, depth, size = at[keep], depth[keep], size[size > 1]
+        if not len(at):
+            break
+        first = np.cumsum(size) - size
+        rows = order[at]
+        x = t[rows, depth]
+        pivot = np.repeat(x[first + size // 2], size)
+        place = np.repeat(first, size)
+        to, kind = np.zeros(len(at), np.int64), np.zeros(len(at), np.int8)
+        for k, part in enumerate((x < pivot, x == pivot, x > pivot)):
+            n = np.cumsum(part)
+            before = n[first] - part[first]
+            to[part] = (place + n - 1 - np.repeat(before, size))[part]
+            place = place + np.repeat(np.add.reduceat(part, first, dtype=np.int64), size)
+            kind[to[part]] = k
+        moved = np.empty_like(rows)
+        moved[to] = rows
+        order[at] = moved
+        edge = np.concatenate(([True], kind[1:] != kind[:-1]))
+        edge[first] = True
+        depth = depth + (kind == 1)
+        done = depth == t.shape[1]
+        same[at[done & ~edge]] = True
+        at, depth = at[~done], depth[~done]
+        first = np.flatnonzero(edge[~done])
+    return order, same
+
+
 def spread(ids: np.ndarray) -> np.ndarray:
     return mix(ids.view(np.uint64) * BASE)
 
 
 def suffixes(keyed: DataFrame, length: int, splits: tuple[np.ndarray, np.ndarray] | None, each: int | None = None) -> DataFrame:
-    """The runs of all documents, with their bucket and whether a splitter falls among suffixes of the same leading bytes.
+    """The runs of all documents with their bytes, bucket and whether a splitter falls among suffixes of the same leading token.
 
     each: instead, so many (lead, spread id) of each document, to choose splitters from.
     """
@@ -97,7 +158,7 @@ def suffixes(keyed: DataFrame, length: int, splits: tuple[np.ndarray, np.ndarray
             ids, rids = (b.column(k).to_numpy() for k in (0, 1))
             for lo, hi in chunks(off, 1 << 17):
                 d, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                doc, start, count, anchor, h, c = runs(d, o, length)
+                doc, start, count, anchor = runs(d, o, length)
                 lead, own = lead_of(d, anchor), ids[lo:hi][doc]
                 if each is not None:
                     pick = np.flatnonzero(np.random.default_rng(int(lo)).random(len(doc)) < each * (hi - lo) / max(1, len(doc)))
@@ -110,10 +171,11 @@ def suffixes(keyed: DataFrame, length: int, splits: tuple[np.ndarray, np.ndarray
                     bucket, cut = right.astype(np.int32), left != right
                     for k in np.flatnonzero(cut):
                         bucket[k] = left[k] + np.searchsorted(splits[1][left[k] : right[k]], spread(own[k : k + 1])[0], "right")
-                cols = [bucket, h.view(np.int64), c.view(np.int64), own, rids[lo:hi][doc], (start - o[doc]).astype(np.int32), count.astype(np.int16), cut]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["bucket", "h", "c", "_k_id", "_k_rid", "start", "n", "cut"])
+                cols = [bucket, lead.view(np.int64), own, rids[lo:hi][doc], (start - o[doc]).astype(np.int32), (anchor - start).astype(np.int16), cut]
+                arrays = [pa.array(x) for x in cols] + [slices(d, start, count + length - 1)]
+                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "lead", "_k_id", "_k_rid", "start", "pre", "cut", "bytes"])
 
-    schema = "lead long, x long" if each is not None else "bucket int, h long, c long, _k_id long, _k_rid long, start int, n short, cut boolean"
+    schema = "lead long, x long" if each is not None else ROWS
     return keyed.select("_k_id", "_k_rid", "text").mapInArrow(run, schema)
 
 
@@ -131,66 +193,48 @@ def splitters(keyed: DataFrame, length: int, buckets: int, n_docs: int) -> tuple
     return lead[at], x[at]
 
 
-def decided(rows: DataFrame, held: int = 1_000_000) -> DataFrame:
-    """Compares neighbours in sorted buckets: (kind, h, _k_id, _k_rid, start, n). kind 1: every window of the run also starts earlier.
+def words_at(data: np.ndarray, at: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """The `length` bytes at each place in turns of eight; the last turn may overlap the one before."""
+    every = np.ndarray((len(data) - 7,), np.uint64, data, 0, (1,))
+    for k in (*range(0, length - 8, 8), length - 8):
+        yield every[at + k]
 
-    kind 2: the first of its run's bytes, but other runs have its leading gram, so its windows must be compared. A run that is neither
-    is the first of all its windows and not returned.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-        part: int | None = None  # a group that goes on from rows already handed out
-        last_c = None
-        bucket = None
-
-        def out(cols: list[np.ndarray], open_end: bool) -> pa.RecordBatch:
-            nonlocal part, last_c
-            _, h, c, i, r, start, n, cut = cols
-            new_h = np.concatenate(([part is None or h[0] != part], h[1:] != h[:-1]))
-            new_c = new_h.copy()
-            new_c[1:] |= c[1:] != c[:-1]
-            if not new_h[0]:
-                new_c[0] = c[0] != last_c
-            g = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
-            many = np.bincount(g, new_c) > 1
-            many |= np.bincount(g, cut) > 0
-            if not new_h[0]:
-                many[0] = True
-            if open_end:
-                many[-1] = True
-            part, last_c = (h[-1], c[-1]) if open_end else (None, None)
-            kind = np.where(new_c, np.where(many[g], 2, 0), 1).astype(np.int8)
-            at = np.flatnonzero(kind)
-            return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (kind, h, i, r, start, n)], ["kind", "h", "_k_id", "_k_rid", "start", "n"])
-
-        for b in batches:
-            cols = [x.to_numpy(zero_copy_only=False) for x in b.columns]
-            if rest is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols)]
-            if not len(cols[0]):
-                continue
-            # Buckets follow each other in a partition, and a group ends where its bucket ends.
-            edge = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-            ends = np.flatnonzero(edge)
-            cut = int(ends[-1]) + 1 if len(ends) else 0
-            if cut:
-                yield out([x[:cut] for x in cols], False)
-            rest = [x[cut:] for x in cols]
-            if len(rest[0]) > held:
-                yield out(rest, True)
-                rest = None
-        if rest is not None and len(rest[0]):
-            yield out(rest, False)
 
-    return rows.select("bucket", "h", "c", "_k_id", "_k_rid", "start", "n", "cut").mapInArrow(run, "kind byte, h long, _k_id long, _k_rid long, start int, n short")
+def repeated(data: np.ndarray, off: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, window, whether an earlier row or window of the group has its bytes) of the windows of rows that come in order of place.
 
-
-def window_hashes(data: np.ndarray, off: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, window, hash) of the n windows of each row's bytes."""
+    A hash proposes equal windows and their bytes decide; where they differ, all windows of that hash are told apart by their bytes.
+    """
+    n = np.diff(off) - (length - 1)
     row = np.repeat(np.arange(len(n)), n)
     k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    return row, k, combined(gram_hashes(data), off[:-1][row] + k, np.full(len(row), length))
+    later = np.zeros(len(row), bool)
+    if not len(row):
+        return row, k, later
+    p, g = off[:-1][row] + k, group.view(np.uint64)[row]
+    w = mix(window_hashes(gram_hashes(data), p, length) + g * BASE)
+    order = np.argsort(w, kind="stable")
+    hit = np.flatnonzero(w[order][1:] == w[order][:-1]) + 1
+    x, y = order[hit - 1], order[hit]
+    equal = g[x] == g[y]
+    for one, two in zip(words_at(data, p[x], length), words_at(data, p[y], length)):
+        equal &= one == two
+    later[y[equal]] = True
+    for h in np.unique(w[y[~equal]]):
+        seen: set[tuple[int, bytes]] = set()
+        for j in np.flatnonzero(w == h):
+            key = (int(g[j]), data[p[j] : p[j] + length].tobytes())
+            later[j] = key in seen
+            seen.add(key)
+    return row, k, later
+
+
+def window_hashes(h: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the `length` bytes (up to 192) at each place, from the hashes of the grams that cover them."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(6):
+        out = mix(out * BASE + h[at + min(GRAM * i, length - GRAM)])
+    return out
 
 
 def spans(row: np.ndarray, k: np.ndarray, hit: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,40 +248,103 @@ def spans(row: np.ndarray, k: np.ndarray, hit: np.ndarray, start: np.ndarray, le
     return r, start[r] + k[at][new], start[r] + k[at][last] + length
 
 
+def decided(rows: DataFrame, length: int, held: int = 200_000) -> DataFrame:
+    """Sorts the buckets and compares neighbours: (_k_id, _k_rid, lo, hi, h, bytes).
+
+    bytes null: bytes lo to hi lie in windows that also start earlier. Else a run that is the first of its bytes here but whose group, all
+    suffixes of its leading 32 bytes, may go on in another bucket or piece: its windows have to be compared with those of the same h.
+    Rows come sorted by bucket, leading token and place. A leading token with over `held` rows is handled in pieces.
+    """
+    names = ["_k_id", "_k_rid", "lo", "hi", "h", "bytes"]
+
+    def out(b: pa.Table, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket, lead, i, r, start, pre = (b.column(k).to_numpy() for k in range(6))
+        content = b.column(7).combine_chunks()
+        data, off = buffers(content)
+        t = tokens(data, off, pre.astype(np.int64), length)
+        edge = np.concatenate(([True], (lead[1:] != lead[:-1]) | (bucket[1:] != bucket[:-1])))
+        order, same = multikey_quicksort(t, np.cumsum(edge))
+        top = t[order, : GRAM // 8]
+        group = np.cumsum(np.concatenate(([True], (top[1:] != top[:-1]).any(axis=1))) | edge)
+        # A place whose run equals the one before is later than it, as equal runs stay in order of place.
+        whole = order[same]
+        head, group = order[~same], group[~same]
+        mates = np.bincount(group)[group] > 1
+        here = np.flatnonzero(mates & ~cut[head])
+        here = here[np.lexsort((start[head[here]], r[head[here]], i[head[here]], group[here]))]
+        one = content.take(pa.array(head[here]))
+        row, k, later = repeated(*buffers(one), group[here], length)
+        x, lo, hi = spans(row, k, later, start[head[here]].astype(np.int64), length)
+        x = head[here][x]
+        end = start.astype(np.int64) + np.diff(off)
+        left = head[cut[head]]
+        at = np.concatenate((whole, x, left))
+        lo, hi = np.concatenate((start[whole], lo, start[left])), np.concatenate((end[whole], hi, end[left]))
+        h = np.zeros(len(t), np.uint64)
+        for j in range(GRAM // 8):
+            h = mix(h * BASE + t[:, j])
+        kept = pa.concat_arrays([pa.nulls(len(at) - len(left), pa.binary()), content.take(pa.array(left)).cast(pa.binary())])
+        cols = [pa.array(v) for v in (i[at], r[at], lo.astype(np.int32), hi.astype(np.int32), h[at].view(np.int64))]
+        if len(at):
+            yield pa.RecordBatch.from_arrays([*cols, kept], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        part: tuple[int, int] | None = None  # bucket and leading token of rows already handed out in a piece
+
+        def piece(b: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal part
+            bucket, lead, cut = (b.column(k).to_numpy() for k in (0, 1, 6))
+            if part is not None:
+                cut = cut | ((bucket == part[0]) & (lead == part[1]))
+            if not whole:
+                cut = np.ones(len(lead), bool)
+            part = None if whole else (bucket[-1], lead[-1])
+            yield from out(b, cut)
+
+        for b in batches:
+            rows_ = pa.Table.from_batches([b])
+            if rest is not None:
+                rows_ = pa.concat_tables([rest, rows_])
+            if not rows_.num_rows:
+                continue
+            bucket, lead = rows_.column(0).to_numpy(), rows_.column(1).to_numpy()
+            ends = np.flatnonzero((lead[1:] != lead[:-1]) | (bucket[1:] != bucket[:-1]))
+            done = int(ends[-1]) + 1 if len(ends) else 0
+            if done:
+                yield from piece(rows_.slice(0, done), True)
+            rest = rows_.slice(done)
+            if rest.num_rows > held:
+                yield from piece(rest, False)
+                rest = None
+        if rest is not None and rest.num_rows:
+            yield from piece(rest, True)
+
+    return rows.mapInArrow(run, "_k_id long, _k_rid long, lo int, hi int, h long, bytes binary")
+
+
 def compared(runs_: DataFrame, length: int) -> DataFrame:
-    """(_k_id, _k_rid, lo, hi): bytes of windows that another run of the same leading gram holds earlier. runs_: h, _k_id, _k_rid, start, n, bytes."""
+    """(_k_id, _k_rid, lo, hi): bytes of windows that another run of the same h holds earlier. runs_: h, _k_id, _k_rid, lo, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, i, r, start, n, content in groups(batches):
-            data, off = buffers(pa.array(content, pa.large_binary()))
-            row, k, w = window_hashes(data, off, n.astype(np.int64), length)
-            w = mix(w * BASE + h.view(np.uint64)[row])
-            order = np.argsort(w, kind="stable")  # rows of a group come in order of place
-            later = np.zeros(len(w), bool)
-            later[order[1:]] = w[order[1:]] == w[order[:-1]]
+        for h, i, r, start, content in groups(batches):
+            row, k, later = repeated(*buffers(pa.array(content, pa.large_binary())), h, length)
             x, lo, hi = spans(row, k, later, start.astype(np.int64), length)
             yield pa.RecordBatch.from_arrays([pa.array(i[x]), pa.array(r[x]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["_k_id", "_k_rid", "lo", "hi"])
 
     parts = int(runs_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs_.repartition(parts, "h").sortWithinPartitions("h", "_k_id", "_k_rid", "start").select("h", "_k_id", "_k_rid", "start", "n", "bytes")
+    dealt = runs_.repartition(parts, "h").sortWithinPartitions("h", "_k_id", "_k_rid", "lo").select("h", "_k_id", "_k_rid", "lo", "bytes")
     return dealt.mapInArrow(run, "_k_id long, _k_rid long, lo int, hi int")
 
 
 def compared_heavy(runs_: DataFrame, length: int) -> DataFrame:
-    """As compared(), for groups of any size: a row for each window, of which the first place is an aggregate."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, i, r, start, n = (b.column(k).to_numpy() for k in range(5))
-            data, off = buffers(b.column(5))
-            row, k, w = window_hashes(data, off, n.astype(np.int64), length)
-            cols = [w.view(np.int64), h[row], i[row], r[row], (start[row] + k).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["w", "h", "_k_id", "_k_rid", "lo"])
-
-    rows = runs_.select("h", "_k_id", "_k_rid", "start", "n", "bytes").mapInArrow(run, "w long, h long, _k_id long, _k_rid long, lo int")
+    """As compared(), for groups of any size: a row for each window with its bytes, of which the first place is an aggregate."""
+    at = F.explode(F.sequence(F.lit(0), F.length("bytes") - length)).alias("k")
+    window = F.expr(f"substring(bytes, k + 1, {length})").alias("w")
+    rows = runs_.select("_k_id", "_k_rid", "lo", "bytes", at).select("_k_id", "_k_rid", (F.col("lo") + F.col("k")).alias("lo"), window)
     place = F.struct("_k_id", "_k_rid", "lo")
-    least = rows.groupBy("w", "h").agg(F.min(place).alias("least"), F.count("*").alias("m")).where("m > 1").drop("m")
-    return rows.join(least, ["w", "h"]).where(place != F.col("least")).select("_k_id", "_k_rid", "lo", (F.col("lo") + length).alias("hi"))
+    least = rows.groupBy("w").agg(F.min(place).alias("least"), F.count("*").alias("m")).where("m > 1").drop("m")
+    return rows.join(least, "w").where(place != F.col("least")).select("_k_id", "_k_rid", "lo", (F.col("lo") + length).alias("hi"))
 
 
 def cut_out(rows: DataFrame) -> DataFrame:
@@ -287,20 +394,17 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> D
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     single = keyed if ids.n == ids.ids else keyed.dropDuplicates(["_k_id", "_k_rid"])
     splits = splitters(single, length, parts, ids.n)
-    rows = suffixes(single, length, splits).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "h", "c", "_k_id", "_k_rid", "start")
-    marks = materialize(decided(rows))
-    full = marks.where("kind = 1").select("_k_id", "_k_rid", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (length - 1)).cast("int").alias("hi"))
-    open_ = marks.where("kind = 2")
+    rows = suffixes(single, length, splits).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "lead", "_k_id", "_k_rid", "start")
+    marks = materialize(decided(rows, length))
+    open_ = marks.where("bytes IS NOT NULL")
     big = materialize(open_.groupBy("h").count().where(F.col("count") > heavy).select("h"))
-    text = single.select("_k_id", "_k_rid", F.coalesce("text", F.lit("")).alias("text")).repartition(parts, "_k_id", "_k_rid")
-    per_doc = open_.groupBy("_k_id", "_k_rid").agg(F.collect_list(F.struct("h", "start", "n")).alias("runs"))
-    cut = F.expr("substring(cast(text AS BINARY), r.start + 1, r.n + " + str(length - 1) + ")")
-    found = text.join(per_doc, ["_k_id", "_k_rid"]).select("_k_id", "_k_rid", "text", F.explode("runs").alias("r")).select("r.h", "_k_id", "_k_rid", "r.start", "r.n", cut.alias("bytes"))
     if big.count():
-        edges = compared(found.join(big, "h", "left_anti"), length).unionByName(compared_heavy(found.join(big, "h"), length))
+        edges = compared(join_small(open_, big, ["h"], "left_anti"), length).unionByName(compared_heavy(join_small(open_, big, ["h"], "left_semi"), length))
     else:
-        edges = compared(found, length)
-    per_doc = full.unionByName(edges).groupBy("_k_id", "_k_rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        edges = compared(open_, length)
+    edges = marks.where("bytes IS NULL").select("_k_id", "_k_rid", "lo", "hi").unionByName(edges)
+    per_doc = edges.groupBy("_k_id", "_k_rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    text = single.select("_k_id", "_k_rid", F.coalesce("text", F.lit("")).alias("text"))
     done = cut_out(text.join(per_doc, ["_k_id", "_k_rid"], "left"))
     if ids.n != ids.ids:
         done = keyed.select("doc_id", "_k_id", "_k_rid").join(done, ["_k_id", "_k_rid"])

@@ -409,13 +409,68 @@ def test_suffix_dedup_awkward(spark, docs):
 
 
 def test_decided_in_pieces(spark):
-    """A group handed out in pieces gives up the same runs as a whole one, or leaves them to be compared."""
-    rows = [(0, 1, c, i, 0, 0, 3, False) for c in range(3) for i in range(40)] + [(0, 2, 9, 1, 0, 0, 3, False), (1, 3, 9, 1, 0, 0, 3, False), (1, 3, 9, 2, 0, 0, 3, False)]
-    df = spark.createDataFrame(rows, "bucket int, h long, c long, _k_id long, _k_rid long, start int, n short, cut boolean").coalesce(1).sortWithinPartitions("bucket", "h", "c", "_k_id")
-    for held in (5, 1000):
-        got = {(r.h, r._k_id, r.kind) for r in suffix_dedup.decided(df, held).collect()}
-        assert {x for x in got if x[0] > 1} == {(3, 2, 1)}
-        assert sum(r.kind == 2 for r in suffix_dedup.decided(df, held).where("h = 1").collect()) == 3
+    """A group handed out in pieces gives up the same bytes as a whole one, or leaves its runs to be compared."""
+    rng = random.Random(4)
+    gram, other, own = (words(rng, 20).encode() for _ in range(3))
+    runs = [own[:c] + gram[:100] + own[:3] for c in (0, 1, 2)]  # the gram starts after c bytes
+
+    def row(bucket, lead, i, content, pre, cut=False):
+        return (bucket, lead, i, 0, 0, pre, cut, bytearray(content))
+
+    rows = [row(2, 1, 3 * i + c, runs[c], c) for c in range(3) for i in range(40)]
+    rows += [row(0, 2, 1, other[:103], 0), row(1, 3, 1, other[:103], 0), row(1, 3, 2, other[:103], 0), row(1, 4, 7, own[:100], 0, True)]
+    df = spark.createDataFrame(rows, suffix_dedup.ROWS).coalesce(1).sortWithinPartitions("bucket", "lead", "_k_id")
+    for held, batch in ((5, 50), (5, 10_000), (1000, 50), (1000, 10_000)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = suffix_dedup.decided(df, 100, held).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        here = {(r._k_id, r.lo, r.hi) for r in got if r.bytes is None}
+        left = [r for r in got if r.bytes is not None]
+        assert [r._k_id for r in left if bytes(r.bytes) == own[:100]] == [7]
+        assert (2, 0, 103) in here
+        open_ = [r for r in left if bytes(r.bytes) in runs]
+        if held == 1000:
+            assert not open_ and {(k, 0, 103 + k % 3) for k in range(3, 120)} <= here
+        else:
+            assert {bytes(r.bytes) for r in open_} == set(runs)
+            assert len({r.h for r in open_}) == 1
+
+
+def test_multikey_quicksort():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, top in ((0, 2), (1, 2), (500, 2), (500, 2**60)):
+        t = rng.integers(0, top, (n, 6)).astype(np.uint64)
+        t = t[np.argsort(t[:, 0], kind="stable")]
+        order, same = suffix_dedup.multikey_quicksort(t, t[:, 0])
+        assert order.tolist() == sorted(range(n), key=lambda k: (t[k].tolist(), k))
+        assert same.tolist() == [k > 0 and t[order[k]].tolist() == t[order[k - 1]].tolist() for k in range(n)]
+
+
+def test_bytes_decide(monkeypatch):
+    """Windows that share a hash and not their bytes are told apart."""
+    import numpy as np
+
+    texts = [b"a" * 100 + b"b", b"c" * 100, b"a" * 101, b"c" * 100]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(x) for x in texts])
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(suffix_dedup, "window_hashes", lambda h, at, length: np.zeros(len(at), np.uint64))
+        row, k, later = suffix_dedup.repeated(data, off, np.ones(4, np.int64), 100)
+        assert list(zip(row.tolist(), k.tolist(), later.tolist())) == [(0, 0, False), (0, 1, False), (1, 0, False), (2, 0, True), (2, 1, True), (3, 0, True)]
+
+
+def test_anchors_depend_on_bytes_alone(monkeypatch):
+    import numpy as np
+
+    data = np.frombuffer(words(random.Random(8), 2000).encode(), np.uint8)
+    whole = suffix_dedup.anchors(suffix_dedup.gram_hashes(data), 100)
+    some = suffix_dedup.anchors(suffix_dedup.gram_hashes(data[3000:4000]), 100)
+    assert (whole[3000 : 3000 + len(some)] - 3000 == some).all()
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BITS", 9)
+    pieces = suffix_dedup.anchors(suffix_dedup.gram_hashes(data), 100)
+    assert len(pieces) == len(whole) == len(data) - 99
 
 
 # op 7
