@@ -2,8 +2,8 @@
 
 Suffixes are taken at content-chosen anchors, so that equal strings of `length` bytes have their anchor at the same place. Sampled
 splitters range-partition the suffixes by their leading token of eight bytes; buckets sort locally by multikey quicksort over tokens
-and compare neighbours byte by byte. Groups that a splitter may have cut, or that are too large for one piece, are compared across the
-boundaries afterwards. Hashes only choose anchors, deal rows and propose equal strings; bytes decide.
+and compare neighbours byte by byte. Suffixes travel with their bytes, packed in a block for each bucket and batch. Groups that a splitter
+may have cut, or whose bucket is too large for one piece, are compared across the boundaries afterwards. Hashes only choose anchors, deal rows and propose equal strings; bytes decide.
 """
 
 from __future__ import annotations
@@ -28,7 +28,12 @@ BLOCK_BITS = 20
 HEAVY = 20_000
 SAMPLED_DOCS = 2_000
 SAMPLED_EACH = 10
-ROWS = "bucket int, lead long, _k_id long, _k_rid long, start int, pre short, cut boolean, bytes binary"
+#: Text of a bucket, on average, and of the documents whose suffixes are packed together.
+BUCKET_BYTES = 1 << 23
+PACKED_BYTES = 1 << 24
+#: Suffixes sorted at once; slabs end between leading tokens.
+SLAB = 10_000
+ROWS = "bucket int, n int, raw int, block binary"
 
 
 def gram_hashes(d: np.ndarray) -> np.ndarray:
@@ -94,9 +99,11 @@ def tokens(data: np.ndarray, off: np.ndarray, pre: np.ndarray, length: int) -> n
     size = np.diff(off)
     width = -(-length // 8) * 8
     m = np.zeros((len(size), 2 * width + 8), np.uint8)
-    row = np.repeat(np.arange(len(size)), size)
-    k = np.arange(len(row)) - np.repeat(off[:-1] + pre, size)
-    m[row, np.where(k < 0, k + width + np.repeat(pre, size), k)] = data
+    for lo in range(0, len(size), SLAB):
+        part, p = size[lo : lo + SLAB], pre[lo : lo + SLAB]
+        row = np.repeat(np.arange(len(part)), part)
+        k = np.arange(len(row)) - np.repeat(off[lo : lo + len(part)] - off[lo] + p, part)
+        m[row + lo, np.where(k < 0, k + width + np.repeat(p, part), k)] = data[off[lo] : off[lo + len(part)]]
     t = m.view(">u8").astype(np.uint64)
     t[:, -1] = (size.astype(np.uint64) << np.uint64(16)) | pre.astype(np.uint64)
     return t
@@ -146,42 +153,79 @@ def spread(ids: np.ndarray) -> np.ndarray:
     return mix(ids.view(np.uint64) * BASE)
 
 
+#: The columns of a block, before the bytes of its runs.
+PACKED = (("id", np.int64), ("rid", np.int64), ("start", np.int32), ("pre", np.int16), ("size", np.int16), ("cut", np.bool_))
+
+
+def codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
+def pack(cols: list[np.ndarray], data: np.ndarray, at: np.ndarray) -> tuple[int, int, bytes]:
+    """(rows, raw size, block) of the columns of PACKED and the bytes of data from each place."""
+    content = buffers(slices(data, at, cols[4].astype(np.int64)))[0]
+    raw = b"".join([*(c.astype(t).tobytes() for c, (_, t) in zip(cols, PACKED)), content.tobytes()])
+    return len(at), len(raw), codec().compress(raw, asbytes=True)
+
+
+def unpack(n: int, raw: int, block: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns and the bytes of a block."""
+    rest = codec().decompress(block, raw, asbytes=True)
+    cols, at = [], 0
+    for _, t in PACKED:
+        cols.append(np.frombuffer(rest, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return cols, np.frombuffer(rest, np.uint8, offset=at)
+
+
 def suffixes(keyed: DataFrame, length: int, splits: tuple[np.ndarray, np.ndarray] | None, each: int | None = None) -> DataFrame:
-    """The runs of all documents with their bytes, bucket and whether a splitter falls among suffixes of the same leading token.
+    """The runs of all documents with their bytes, and whether a splitter falls among suffixes of the same leading token: a block a bucket and batch.
 
     each: instead, so many (lead, spread id) of each document, to choose splitters from.
     """
 
+    def found(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        parts = []
+        for lo, hi in chunks(off, 1 << 17):
+            doc, *places = runs(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], length)
+            start, count, anchor = places
+            parts.append((doc + lo, start + off[lo], count, anchor + off[lo]))
+        return [np.concatenate(x) for x in zip(*parts)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = buffers(b.column(2))
             ids, rids = (b.column(k).to_numpy() for k in (0, 1))
-            for lo, hi in chunks(off, 1 << 17):
-                d, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                doc, start, count, anchor = runs(d, o, length)
-                lead, own = lead_of(d, anchor), ids[lo:hi][doc]
+            for lo, hi in chunks(off, PACKED_BYTES):
+                doc, start, count, anchor = found(data, off[lo : hi + 1])
+                doc = doc + lo
+                lead, own = lead_of(data, anchor), ids[doc]
                 if each is not None:
                     pick = np.flatnonzero(np.random.default_rng(int(lo)).random(len(doc)) < each * (hi - lo) / max(1, len(doc)))
-                    yield pa.RecordBatch.from_arrays([pa.array(lead[pick].astype(np.int64, casting="unsafe")), pa.array(spread(own[pick]).view(np.int64))], ["lead", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lead[pick].view(np.int64)), pa.array(spread(own[pick]).view(np.int64))], ["lead", "x"])
                     continue
                 if splits is None:
-                    bucket, cut = np.zeros(len(doc), np.int32), np.zeros(len(doc), bool)
+                    bucket, cut = np.zeros(len(doc), np.int64), np.zeros(len(doc), bool)
                 else:
-                    left, right = np.searchsorted(splits[0], lead, "left"), np.searchsorted(splits[0], lead, "right")
-                    bucket, cut = right.astype(np.int32), left != right
+                    left, bucket = np.searchsorted(splits[0], lead, "left"), np.searchsorted(splits[0], lead, "right")
+                    cut = left != bucket
                     for k in np.flatnonzero(cut):
-                        bucket[k] = left[k] + np.searchsorted(splits[1][left[k] : right[k]], spread(own[k : k + 1])[0], "right")
-                cols = [bucket, lead.view(np.int64), own, rids[lo:hi][doc], (start - o[doc]).astype(np.int32), (anchor - start).astype(np.int16), cut]
-                arrays = [pa.array(x) for x in cols] + [slices(d, start, count + length - 1)]
-                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "lead", "_k_id", "_k_rid", "start", "pre", "cut", "bytes"])
+                        bucket[k] = left[k] + np.searchsorted(splits[1][left[k] : bucket[k]], spread(own[k : k + 1])[0], "right")
+                order = np.lexsort((lead, bucket))
+                blocks = []
+                for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    if len(at):
+                        cols = [own[at], rids[doc[at]], start[at] - off[doc[at]], anchor[at] - start[at], count[at] + length - 1, cut[at]]
+                        blocks.append((bucket[at[0]], *pack(cols, data, start[at])))
+                if blocks:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*blocks), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "n", "raw", "block"])
 
-    schema = "lead long, x long" if each is not None else ROWS
-    return keyed.select("_k_id", "_k_rid", "text").mapInArrow(run, schema)
+    return keyed.select("_k_id", "_k_rid", "text").mapInArrow(run, "lead long, x long" if each is not None else ROWS)
 
 
 def splitters(keyed: DataFrame, length: int, buckets: int, n_docs: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """buckets - 1 (lead, spread id) splitters from about SAMPLED_DOCS documents; they only balance, and change no result."""
-    share = max(1, n_docs // SAMPLED_DOCS)
+    """buckets - 1 (lead, spread id) splitters from a sample of documents, SAMPLED_DOCS or one a bucket; they only balance, and change no result."""
+    share = max(1, n_docs // max(SAMPLED_DOCS, buckets))
     some = keyed.where(F.pmod(F.xxhash64("_k_id", "_k_rid", F.lit(5)), F.lit(share)) == 0)
     got = suffixes(some, length, None, SAMPLED_EACH).collect()
     if not got or buckets < 2:
@@ -248,77 +292,77 @@ def spans(row: np.ndarray, k: np.ndarray, hit: np.ndarray, start: np.ndarray, le
     return r, start[r] + k[at][new], start[r] + k[at][last] + length
 
 
-def decided(rows: DataFrame, length: int, held: int = 200_000) -> DataFrame:
+def decided(rows: DataFrame, length: int, held: int = 1_000_000) -> DataFrame:
     """Sorts the buckets and compares neighbours: (_k_id, _k_rid, lo, hi, h, bytes).
 
     bytes null: bytes lo to hi lie in windows that also start earlier. Else a run that is the first of its bytes here but whose group, all
     suffixes of its leading 32 bytes, may go on in another bucket or piece: its windows have to be compared with those of the same h.
-    Rows come sorted by bucket, leading token and place. A leading token with over `held` rows is handled in pieces.
+    Blocks come sorted by bucket. A bucket of over `held` suffixes is handled in pieces.
     """
     names = ["_k_id", "_k_rid", "lo", "hi", "h", "bytes"]
 
-    def out(b: pa.Table, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bucket, lead, i, r, start, pre = (b.column(k).to_numpy() for k in range(6))
-        content = b.column(7).combine_chunks()
+    def slab(cols: list[np.ndarray], lead: np.ndarray, content: pa.Array) -> Iterator[pa.RecordBatch]:
+        i, r, start, pre, size, cut = cols
         data, off = buffers(content)
         t = tokens(data, off, pre.astype(np.int64), length)
-        edge = np.concatenate(([True], (lead[1:] != lead[:-1]) | (bucket[1:] != bucket[:-1])))
-        order, same = multikey_quicksort(t, np.cumsum(edge))
+        order, same = multikey_quicksort(t, lead)
         top = t[order, : GRAM // 8]
-        group = np.cumsum(np.concatenate(([True], (top[1:] != top[:-1]).any(axis=1))) | edge)
+        group = np.cumsum(np.concatenate(([True], (top[1:] != top[:-1]).any(axis=1))))
         # A place whose run equals the one before is later than it, as equal runs stay in order of place.
         whole = order[same]
         head, group = order[~same], group[~same]
         mates = np.bincount(group)[group] > 1
         here = np.flatnonzero(mates & ~cut[head])
         here = here[np.lexsort((start[head[here]], r[head[here]], i[head[here]], group[here]))]
-        one = content.take(pa.array(head[here]))
-        row, k, later = repeated(*buffers(one), group[here], length)
+        row, k, later = repeated(*buffers(content.take(pa.array(head[here]))), group[here], length)
         x, lo, hi = spans(row, k, later, start[head[here]].astype(np.int64), length)
         x = head[here][x]
-        end = start.astype(np.int64) + np.diff(off)
+        end = start.astype(np.int64) + size
         left = head[cut[head]]
         at = np.concatenate((whole, x, left))
         lo, hi = np.concatenate((start[whole], lo, start[left])), np.concatenate((end[whole], hi, end[left]))
         h = np.zeros(len(t), np.uint64)
         for j in range(GRAM // 8):
             h = mix(h * BASE + t[:, j])
-        kept = pa.concat_arrays([pa.nulls(len(at) - len(left), pa.binary()), content.take(pa.array(left)).cast(pa.binary())])
-        cols = [pa.array(v) for v in (i[at], r[at], lo.astype(np.int32), hi.astype(np.int32), h[at].view(np.int64))]
+        kept = pa.concat_arrays([pa.nulls(len(at) - len(left), pa.binary()), content.take(pa.array(left))])
+        out = [pa.array(v) for v in (i[at], r[at], lo.astype(np.int32), hi.astype(np.int32), h[at].view(np.int64))]
         if len(at):
-            yield pa.RecordBatch.from_arrays([*cols, kept], names)
+            yield pa.RecordBatch.from_arrays([*out, kept], names)
+
+    def piece(blocks: list[tuple], whole: bool) -> Iterator[pa.RecordBatch]:
+        parts = [unpack(*b) for b in blocks]
+        cols = [np.concatenate(x) for x in zip(*(c for c, _ in parts))]
+        data = np.concatenate([d for _, d in parts])
+        del parts
+        if not whole:
+            cols[5] = np.ones(len(cols[0]), bool)
+        size = cols[4].astype(np.int64)
+        at = np.cumsum(size) - size
+        lead = lead_of(data, at + cols[3])
+        order = np.lexsort((cols[2], cols[1], cols[0], lead))
+        lead = lead[order]
+        ends = np.append(np.flatnonzero(lead[1:] != lead[:-1]) + 1, len(lead))
+        lo = 0
+        while lo < len(order):
+            hi = int(ends[min(np.searchsorted(ends, lo + SLAB), len(ends) - 1)])
+            some = order[lo:hi]
+            yield from slab([c[some] for c in cols], lead[lo:hi], slices(data, at[some], size[some]))
+            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        part: tuple[int, int] | None = None  # bucket and leading token of rows already handed out in a piece
-
-        def piece(b: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal part
-            bucket, lead, cut = (b.column(k).to_numpy() for k in (0, 1, 6))
-            if part is not None:
-                cut = cut | ((bucket == part[0]) & (lead == part[1]))
-            if not whole:
-                cut = np.ones(len(lead), bool)
-            part = None if whole else (bucket[-1], lead[-1])
-            yield from out(b, cut)
-
+        bucket, blocks, n, whole = None, [], 0, True
         for b in batches:
-            rows_ = pa.Table.from_batches([b])
-            if rest is not None:
-                rows_ = pa.concat_tables([rest, rows_])
-            if not rows_.num_rows:
-                continue
-            bucket, lead = rows_.column(0).to_numpy(), rows_.column(1).to_numpy()
-            ends = np.flatnonzero((lead[1:] != lead[:-1]) | (bucket[1:] != bucket[:-1]))
-            done = int(ends[-1]) + 1 if len(ends) else 0
-            if done:
-                yield from piece(rows_.slice(0, done), True)
-            rest = rows_.slice(done)
-            if rest.num_rows > held:
-                yield from piece(rest, False)
-                rest = None
-        if rest is not None and rest.num_rows:
-            yield from piece(rest, True)
+            for k, *block in zip(*(c.to_pylist() for c in b.columns)):
+                if blocks and (k != bucket or n > held):
+                    whole = whole and k != bucket
+                    yield from piece(blocks, whole)
+                    blocks, n = [], 0
+                if k != bucket:
+                    bucket, whole = k, True
+                blocks.append(block)
+                n += block[0]
+        if blocks:
+            yield from piece(blocks, whole)
 
     return rows.mapInArrow(run, "_k_id long, _k_rid long, lo int, hi int, h long, bytes binary")
 
@@ -387,14 +431,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> D
     one id come in the order of a hash of id and text; rows equal in both are one document that does not repeat itself. Columns other than doc_id
     and text are not used; an empty table gives no rows.
     """
-    ids = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("some"), F.count_distinct("doc_id").alias("ids")).first()
+    ids = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("some"), F.count_distinct("doc_id").alias("ids"), F.sum(F.octet_length("text")).alias("bytes")).first()
     keyed = with_key(docs.select("doc_id", "text"))
     if ids.n == ids.some == ids.ids:  # the id alone tells the documents apart
         keyed = keyed.withColumn("_k_rid", F.lit(0).cast("long"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     single = keyed if ids.n == ids.ids else keyed.dropDuplicates(["_k_id", "_k_rid"])
-    splits = splitters(single, length, parts, ids.n)
-    rows = suffixes(single, length, splits).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "lead", "_k_id", "_k_rid", "start")
+    splits = splitters(single, length, max(parts, (ids.bytes or 0) // BUCKET_BYTES), ids.n)
+    rows = suffixes(single, length, splits).repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
     marks = materialize(decided(rows, length))
     open_ = marks.where("bytes IS NOT NULL")
     big = materialize(open_.groupBy("h").count().where(F.col("count") > heavy).select("h"))

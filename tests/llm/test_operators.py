@@ -410,20 +410,26 @@ def test_suffix_dedup_awkward(spark, docs):
 
 def test_decided_in_pieces(spark):
     """A group handed out in pieces gives up the same bytes as a whole one, or leaves its runs to be compared."""
+    import numpy as np
+
     rng = random.Random(4)
     gram, other, own = (words(rng, 20).encode() for _ in range(3))
     runs = [own[:c] + gram[:100] + own[:3] for c in (0, 1, 2)]  # the gram starts after c bytes
 
-    def row(bucket, lead, i, content, pre, cut=False):
-        return (bucket, lead, i, 0, 0, pre, cut, bytearray(content))
-
-    rows = [row(2, 1, 3 * i + c, runs[c], c) for c in range(3) for i in range(40)]
-    rows += [row(0, 2, 1, other[:103], 0), row(1, 3, 1, other[:103], 0), row(1, 3, 2, other[:103], 0), row(1, 4, 7, own[:100], 0, True)]
-    df = spark.createDataFrame(rows, suffix_dedup.ROWS).coalesce(1).sortWithinPartitions("bucket", "lead", "_k_id")
-    for held, batch in ((5, 50), (5, 10_000), (1000, 50), (1000, 10_000)):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    rows = [(3 * i + c, runs[c], c, False) for c in range(3) for i in range(40)]
+    rng.shuffle(rows)
+    buckets = [(0, [(1, other[:103], 0, False)]), (1, [(1, other[:103], 0, False), (2, other[:103], 0, False), (7, own[:100], 0, True)])]
+    buckets += [(2, rows[k : k + 8]) for k in range(0, 120, 8)]
+    packed = []
+    for bucket, some in buckets:
+        i, content, pre, cut = zip(*some)
+        size = np.array([len(x) for x in content])
+        cols = [np.array(x) for x in (i, [0] * len(some), [0] * len(some), pre, size, cut)]
+        n, raw, block = suffix_dedup.pack(cols, np.frombuffer(b"".join(content), np.uint8), np.cumsum(size) - size)
+        packed.append((bucket, n, raw, bytearray(block)))
+    df = spark.createDataFrame(packed, suffix_dedup.ROWS).coalesce(1).sortWithinPartitions("bucket")
+    for held in (5, 30, 1000):
         got = suffix_dedup.decided(df, 100, held).collect()
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         here = {(r._k_id, r.lo, r.hi) for r in got if r.bytes is None}
         left = [r for r in got if r.bytes is not None]
         assert [r._k_id for r in left if bytes(r.bytes) == own[:100]] == [7]
