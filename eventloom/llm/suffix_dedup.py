@@ -209,8 +209,12 @@ def suffixes(keyed: DataFrame, length: int, splits: tuple[np.ndarray, np.ndarray
                 else:
                     left, bucket = np.searchsorted(splits[0], lead, "left"), np.searchsorted(splits[0], lead, "right")
                     cut = left != bucket
-                    for k in np.flatnonzero(cut):
-                        bucket[k] = left[k] + np.searchsorted(splits[1][left[k] : bucket[k]], spread(own[k : k + 1])[0], "right")
+                    hot = np.flatnonzero(cut)
+                    hot = hot[np.argsort(left[hot], kind="stable")]
+                    for at in np.split(hot, np.flatnonzero(np.diff(left[hot])) + 1):
+                        if len(at):
+                            first, last = left[at[0]], bucket[at[0]]
+                            bucket[at] = first + np.searchsorted(splits[1][first:last], spread(own[at]), "right")
                 order = np.lexsort((lead, bucket))
                 blocks = []
                 for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
