@@ -33,11 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's own setting: shuffle files are removed when the query that wrote them ends, not when the driver happens to collect garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, release: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
+
+    release: the shuffles of this write leave the disk with its end; nothing but the table is read afterwards.
+    """
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    was = spark.conf.get(RELEASE, None)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(RELEASE) if was is None else spark.conf.set(RELEASE, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def join_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:

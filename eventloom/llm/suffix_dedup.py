@@ -443,7 +443,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> D
     single = keyed if ids.n == ids.ids else keyed.dropDuplicates(["_k_id", "_k_rid"])
     splits = splitters(single, length, max(parts, (ids.bytes or 0) // BUCKET_BYTES), ids.n)
     rows = suffixes(single, length, splits).repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
-    marks = materialize(decided(rows, length))
+    marks = materialize(decided(rows, length), release=True)  # the suffixes are a multiple of the text, and done with
     open_ = marks.where("bytes IS NOT NULL")
     big = materialize(open_.groupBy("h").count().where(F.col("count") > heavy).select("h"))
     if big.count():

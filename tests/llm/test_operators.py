@@ -479,6 +479,27 @@ def test_anchors_depend_on_bytes_alone(monkeypatch):
     assert len(pieces) == len(whole) == len(data) - 99
 
 
+def test_suffixes_leave_the_disk(spark, sf, monkeypatch):
+    """The shuffle of the suffixes is removed with the query that wrote it, whenever the driver collects its garbage."""
+    import os
+
+    from eventloom.llm.common import RELEASE, materialize
+
+    manager, was, released = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager(), spark.conf.get(RELEASE, None), []
+    held = lambda: {p for p in manager.getAllFiles().mkString("\n").split("\n") if os.path.basename(p).startswith("shuffle_")}
+
+    def spied(df, release=False):
+        before = held()
+        out = materialize(df, release)
+        if release:
+            released.append((held() - before, "hi" in df.columns))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", spied)
+    assert suffix_dedup.suffix_dedup(sf).count() == sf.count()
+    assert released == [(set(), True)] and spark.conf.get(RELEASE, None) == was
+
+
 # op 7
 
 
