@@ -1,4 +1,8 @@
-"""Secret scan: fixed patterns, and a probabilistic automaton inferred from labelled credentials that scores all other candidates."""
+"""Secret scan: fixed patterns, and a probabilistic automaton inferred from labelled credentials that scores all other candidates.
+
+The automaton is inferred in rounds. In each, all labelled values of the table run through what is known of it where they lie, and only
+counts of symbols at its states come to the driver; so do those of its background and of what was held out. Nothing is sampled.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,8 @@ import functools
 import hashlib
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +43,7 @@ FORMATS = [
     ("eyJ", ALNUM + "-_", 60),
 ]
 EXAMPLES_EACH = 100
-#: The automaton is inferred from the public formats and at most so many different values that the fixed patterns find in the table,
-#: the background from at most so many different other candidates; both are the first by a hash.
-MOST_VALUES = 2_000
-MOST_PLAIN = 20_000
-#: A fifth of both is held out of the fit.
+#: A fifth of the labelled values and of the other candidates, by a hash, is held out of the fit.
 FOLDS = 5
 ALPHA = 0.05
 #: Nats by which the automaton must beat the background, at least; where there are held-out candidates enough to tell, the bound is
@@ -53,8 +53,19 @@ FALSE_SHARE = 1e-3
 SYMBOLS = 67
 UNSEEN = 1e-5
 PRIOR = 500
+#: A round of the inference settles transitions that are at least 1 / SETTLED as frequent as the most frequent one.
+SETTLED = 4
+#: So many values or fewer are counted one by one.
+FEW = 16
+#: Ratios of what is held out are counted in steps of 1 / STEPS nats.
+STEPS = 64
 #: Characters at which a credential may be joined to other text.
 JOINS = "=/.-_+"
+#: The characters of credentials, numbered from 1; 0 is the end.
+LETTERS = ALNUM + "_+/=.-"
+N_CODES = len(LETTERS) + 1
+CODES = np.zeros(256, np.int64)
+CODES[[ord(c) for c in LETTERS]] = np.arange(1, N_CODES)
 
 
 def labelled(each: int = EXAMPLES_EACH) -> list[str]:
@@ -63,18 +74,70 @@ def labelled(each: int = EXAMPLES_EACH) -> list[str]:
     return [p + "".join(a[k] for k in rng.integers(0, len(a), n)) for p, a, n in FORMATS for _ in range(each)]
 
 
+def counted(goes: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, n): how many of the values data[off[k]:off[k + 1]] show each pair of next symbols at each node, so that a very long value
+    outweighs no others.
+
+    A key is (node * N_CODES + symbol) * N_CODES + the symbol after it. Nodes are the states (rows of goes) and, numbered after them as
+    state * N_CODES + symbol, the transitions that are not known yet (-1 in goes); there a value's way ends.
+    """
+    code = np.append(CODES[data], 0)
+    symbol = lambda at, end: np.where(at < end, code[np.minimum(at, end)], 0)
+    at, end, q, value = off[:-1], off[1:], np.zeros(len(off) - 1, np.int64), np.arange(len(off) - 1)
+    most = np.int64((len(goes) * (N_CODES + 1)) * N_CODES**2)
+    shown = [np.zeros(0, np.int64)]
+
+    def add(node: np.ndarray, at: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
+        first = symbol(at, end)
+        shown.append(value * most + (node * N_CODES + first) * N_CODES + np.where(first > 0, symbol(at + 1, end), 0))
+        return first
+
+    while len(at) > FEW:
+        c = add(q, at, end, value)
+        on = c > 0
+        at, end, q, c, value = at[on] + 1, end[on], q[on], c[on], value[on]
+        to = goes[q, c]
+        known = to >= 0
+        add(len(goes) + (q * N_CODES + c)[~known], at[~known], end[~known], value[~known])
+        at, end, q, value = at[known], end[known], to[known], value[known]
+    table = goes.tolist() if len(at) else []
+    for a, z, state, k in zip(at.tolist(), end.tolist(), q.tolist(), value.tolist()):  # the rest of the longest values, one by one
+        rest, c, after = set(), int(symbol(a, z)), 0
+        for i in range(a, z + 1):
+            after = int(code[i + 1]) if i + 1 < z else 0
+            rest.add((state * N_CODES + c) * N_CODES + after)
+            if c:
+                to_ = table[state][c]
+                if to_ < 0:
+                    rest.add(((len(table) + state * N_CODES + c) * N_CODES + after) * N_CODES + (int(code[i + 2]) if after and i + 2 < z else 0))
+                    break
+                state = to_
+            c = after
+        shown.append(np.array([k * most + key for key in rest], np.int64))
+    return np.unique(np.unique(np.concatenate(shown)) % most, return_counts=True)
+
+
+def added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, n) of two such counts together."""
+    keys, place = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, place, np.concatenate((a[1], b[1])))
+    return keys, n
+
+
+def format_counts(goes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return counted(goes, *buffers(pa.array(labelled())))
+
+
 class Background:
     """How likely other candidates are: even draws from SYMBOLS characters, or pairs of neighbouring characters counted in examples."""
 
-    def __init__(self, plain: list[str] | None = None):
+    def __init__(self, counts: dict[str, int] | None = None):
         self.pairs: dict[str, float] | None = None
-        if plain:
-            counts: Counter[str] = Counter()
-            for text in plain:
-                counts.update(map(str.__add__, "^" + text, text + "$"))
-            before: Counter[str] = Counter()
+        if counts:
+            before: dict[str, int] = {}
             for pair, n in counts.items():
-                before[pair[0]] += n
+                before[pair[0]] = before.get(pair[0], 0) + n
             # Counts are added to an even share of PRIOR characters, so that a few candidates do not make a background.
             self.unseen = {c: math.log(n + PRIOR) - math.log(PRIOR / SYMBOLS) for c, n in before.items()}
             self.pairs = {p: math.log(before[p[0]] + PRIOR) - math.log(n + PRIOR / SYMBOLS) for p, n in counts.items()}
@@ -91,94 +154,77 @@ class Background:
         return math.log(n + 1) if self.pairs is None else self.step(last, "$")
 
 
+def _losses(seen: np.ndarray, new: np.ndarray, bound: float) -> np.ndarray:
+    """Log-likelihood that pooling a node's outgoing counts with those of each state loses, for each count of the smaller; infinite if their
+    outgoing frequencies, or those after the same symbol, differ by more than Hoeffding's bound."""
+    a, b = seen.sum(2), new.sum(1)
+    na, nb = a.sum(1), b.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = (np.abs(a / na[:, None] - b / nb) > bound * (1 / np.sqrt(na) + 1 / np.sqrt(nb))[:, None]).any(1)
+        own = np.flatnonzero(b[1:]) + 1
+        x, y = a[:, own], b[own]
+        after = np.abs(seen[:, own] / x[:, :, None] - new[own] / y[:, None]) > bound * (1 / np.sqrt(x) + 1 / np.sqrt(y))[:, :, None]
+        apart |= (after & (x > 0)[:, :, None]).any((1, 2))
+        p = (a + b) / (na + nb)[:, None]
+        lost = np.where(a > 0, a * np.log(a / na[:, None] / p), 0).sum(1) + np.where(b > 0, b * np.log(b / nb / p), 0).sum(1)
+    return np.where(apart, np.inf, lost / np.maximum(1, np.minimum(na, nb)))
+
+
 class Automaton:
-    """States with final counts and transitions (symbol -> [count, state]), and the background that they are held against."""
-
-    def __init__(self, examples: list[str], alpha: float = ALPHA, plain: list[str] | None = None):
-        self.background = Background(plain)
-        self.final: list[int] = [0]
-        self.next: list[dict[str, list[int]]] = [{}]
-        for text in examples:
-            q = 0
-            for c in text:
-                if c not in self.next[q]:
-                    self.final.append(0)
-                    self.next.append({})
-                    self.next[q][c] = [0, len(self.final) - 1]
-                self.next[q][c][0] += 1
-                q = self.next[q][c][1]
-            self.final[q] += 1
-        self._merge(math.sqrt(0.5 * math.log(2 / alpha)))
-        self._probabilities()
-
-    def total(self, q: int) -> int:
-        return self.final[q] + sum(n for n, _ in self.next[q].values())
-
-    def _compatible(self, a: int, b: int, bound: float) -> bool:
-        """Whether the outgoing frequencies of two states, and of what follows, differ by no more than Hoeffding's bound."""
-        todo = [(a, b)]
-        while todo:
-            a, b = todo.pop()
-            na, nb = self.total(a), self.total(b)
-            if not na or not nb:
-                continue
-            most = bound * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
-            if abs(self.final[a] / na - self.final[b] / nb) > most:
-                return False
-            for c in self.next[a].keys() | self.next[b].keys():
-                x, y = self.next[a].get(c), self.next[b].get(c)
-                if abs((x[0] if x else 0) / na - (y[0] if y else 0) / nb) > most:
-                    return False
-                if x and y and x[1] != y[1]:
-                    todo.append((x[1], y[1]))
-        return True
-
-    def _loss(self, a: int, b: int) -> float:
-        """Log-likelihood that pooling the two states' outgoing counts loses, for each count of the smaller."""
-        na, nb = self.total(a), self.total(b)
-        loss = 0.0
-        for x, y in [(self.final[a], self.final[b])] + [(self.next[a].get(c, [0])[0], self.next[b].get(c, [0])[0]) for c in self.next[a].keys() | self.next[b].keys()]:
-            p = (x + y) / (na + nb)
-            loss += (x * math.log(x / na / p) if x else 0) + (y * math.log(y / nb / p) if y else 0)
-        return loss / max(1, min(na, nb))
-
-    def _fold(self, a: int, b: int) -> None:
-        """Adds the tree below b to a."""
-        todo = [(a, b)]
-        while todo:
-            a, b = todo.pop()
-            self.final[a] += self.final[b]
-            for c, (n, child) in self.next[b].items():
-                if c in self.next[a]:
-                    self.next[a][c][0] += n
-                    todo.append((self.next[a][c][1], child))
-                else:
-                    self.next[a][c] = [n, child]
-
-    def _merge(self, bound: float) -> None:
-        """Red states are kept; each state after them, the most frequent first, is merged with the compatible red state that loses
-        least likelihood, or becomes red."""
-        red = [0]
+    """States with the log-probabilities of an end and of each next character, and the background that they are held against.
+
+    counts gives what counted() does, over all examples, for any transitions.
+    """
+
+    def __init__(self, counts: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], background: Background, alpha: float = ALPHA):
+        self.background = background
+        bound = math.sqrt(0.5 * math.log(2 / alpha))
+        goes = np.full((1, N_CODES), -1, np.int64)
         while True:
-            reds = set(red)
-            blue = [(n, q, c, t) for q in red for c, (n, t) in self.next[q].items() if t not in reds]
-            if not blue:
+            keys, n = counts(goes)
+            node = keys // N_CODES**2
+            first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            pairs = {int(node[a]): (keys[a:z] % N_CODES**2, n[a:z]) for a, z in zip(first, np.append(first[1:], len(keys)))}
+            if all(k < len(goes) for k in pairs):
                 break
-            n, q, c, t = max(blue, key=lambda x: (x[0], -x[1], x[2]))
-            fits = [r for r in red if r != 0 and self._compatible(r, t, bound)]
-            if fits:
-                r = min(fits, key=lambda r: (self._loss(r, t), r))
-                self.next[q][c][1] = r
-                self._fold(r, t)
-            else:
-                red.append(t)
-        self.states = red
-
-    def _probabilities(self) -> None:
+            goes = self._round(goes, pairs, bound)
+        self.states = list(range(len(goes)))
         self.logs = {}
         for q in self.states:
-            n = self.total(q)
-            self.logs[q] = (math.log(max(UNSEEN, self.final[q] / n)), {c: (math.log(m / n), t) for c, (m, t) in self.next[q].items()})
+            own = np.bincount(pairs[q][0] // N_CODES, pairs[q][1], N_CODES)
+            steps = {LETTERS[c - 1]: (math.log(own[c] / own.sum()), int(goes[q, c])) for c in np.flatnonzero(own) if c}
+            self.logs[q] = (math.log(max(UNSEEN, own[0] / own.sum())), steps)
+
+    @staticmethod
+    def _round(goes: np.ndarray, pairs: dict[int, tuple[np.ndarray, np.ndarray]], bound: float) -> np.ndarray:
+        """Gives the transitions that are not known yet, the most frequent first, a target: the compatible state that loses least
+        likelihood, or else a state of its own. The start is no target. Rarer ones than SETTLED lets pass wait for a later round, when
+        more is known of the states."""
+        old = len(goes)
+
+        def dense(k: int) -> np.ndarray:
+            out = np.zeros(N_CODES**2)
+            out[pairs[k][0]] = pairs[k][1]
+            return out.reshape(N_CODES, N_CODES)
+
+        seen, size = np.array([dense(k) for k in range(old)]), old
+        often = {k: int(n.sum()) for k, (_, n) in pairs.items() if k >= old}
+        least = max(often.values()) / SETTLED
+        for k in sorted((k for k in often if often[k] >= least), key=lambda k: (-often[k], k)):
+            q, c = divmod(k - old, N_CODES)
+            new = dense(k)
+            loss = _losses(seen[1:size], new, bound)
+            if len(loss) and np.isfinite(loss.min()):
+                to = int(loss.argmin()) + 1
+                seen[to] += new
+            else:
+                to = size
+                if size == len(seen):
+                    seen = np.concatenate((seen, np.zeros_like(seen)))
+                    goes = np.concatenate((goes, np.full((len(seen) - len(goes), N_CODES), -1, np.int64)))
+                seen[to], size = new, size + 1
+            goes[q, c] = to
+        return goes[:size]
 
     def ratio(self, text: str) -> float:
         """Log-likelihood ratio of the automaton against the background; leaving the automaton costs UNSEEN and stays in place."""
@@ -276,7 +322,7 @@ class Automaton:
 @functools.lru_cache
 def default_automaton() -> Automaton:
     """The automaton of the public formats alone, against even draws."""
-    return Automaton(labelled())
+    return Automaton(format_counts, Background())
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -291,7 +337,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 _BYTES = lambda text: np.isin(np.arange(256), [ord(c) for c in text])
-CREDENTIAL, EDGE, JOIN = _BYTES(ALNUM + "_+/=.-"), _BYTES("./="), _BYTES(JOINS)
+CREDENTIAL, EDGE, JOIN = _BYTES(LETTERS), _BYTES("./="), _BYTES(JOINS)
 
 
 def candidates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -307,16 +353,34 @@ def candidates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[keep], ends[keep], doc[keep]
 
 
+def wholes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which runs have no joining character, and are their only sub-run; runs with some, and long ones, are looked at one by one."""
+    joins = np.concatenate(([0], np.cumsum(JOIN[data])))
+    return np.flatnonzero((joins[ends] == joins[starts]) & (ends - starts <= 256))
+
+
 def code_points(d: np.ndarray) -> np.ndarray:
     """For each byte of a text, and its end, how many code points start before it."""
     return np.concatenate(([0], np.cumsum((d & 0xC0) != 0x80)))
 
 
-def labelled_values(docs: DataFrame, values: int = MOST_VALUES, plain: int = MOST_PLAIN) -> tuple[list[str], list[str]]:
-    """(values that the fixed patterns find in the table, other candidates), different ones, of each the first so many by a hash.
+def different(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The places of the data[start:end] that differ from the one before in an order of hash h and size: each is there once at least."""
+    size = ends - starts
+    order = np.lexsort((size, h))
+    x, y = order[:-1], order[1:]
+    same = (h[x] == h[y]) & (size[x] == size[y])
+    at = np.flatnonzero(same)
+    if len(at):
+        n = size[x[at]]
+        first = np.cumsum(n) - n
+        place = np.arange(n.sum()) - np.repeat(first, n)
+        same[at] = ~np.logical_or.reduceat(data[np.repeat(starts[x[at]], n) + place] != data[np.repeat(starts[y[at]], n) + place], first)
+    return order[np.concatenate((np.ones(min(1, len(order)), bool), ~same))]
 
-    Found over all documents; only the first by hash, a bounded number, come to the driver.
-    """
+
+def examples(docs: DataFrame) -> DataFrame:
+    """h, value, label: all different values that the fixed patterns find in the table (label), and all different other candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -337,18 +401,77 @@ def labelled_values(docs: DataFrame, values: int = MOST_VALUES, plain: int = MOS
                     lo, hi = cp[starts[own] - off[k]], cp[ends[own] - off[k]]
                     covered.append(own[np.array([any(x <= a and z <= y for x, y, _ in spans) for a, z in zip(lo, hi)], bool)])
             free = np.setdiff1d(np.arange(len(starts)), np.concatenate([np.zeros(0, np.int64), *covered]))
-            h = hashes(data, starts[free], ends[free]) >> np.uint64(1)
-            # The first by hash of a batch hold the first of all.
-            first = np.unique(h, return_index=True)[1][:plain]
-            raw = data.tobytes()
-            rows = [(int(h[k]), raw[starts[free[k]] : ends[free[k]]].decode(), False) for k in first]
-            rows += sorted((xxhash.xxh64_intdigest(v) >> 1, v, True) for v in labelled_)[:values]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.bool_()))], ["h", "value", "label"])
+            starts, ends = starts[free], ends[free]
+            h = (hashes(data, starts, ends) >> np.uint64(1)).view(np.int64)
+            first, known, raw = different(data, starts, ends, h), sorted(labelled_), data.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*h[first].tolist(), *(xxhash.xxh64_intdigest(v) >> 1 for v in known)], pa.int64()),
+                    pa.array([*(raw[a:z].decode() for a, z in zip(starts[first].tolist(), ends[first].tolist())), *known], pa.string()),
+                    pa.array([False] * len(first) + [True] * len(known), pa.bool_()),
+                ],
+                ["h", "value", "label"],
+            )
 
-    seen = materialize(docs.select("text").mapInArrow(run, "h long, value string, label boolean").distinct())
-    return tuple([r.value for r in seen.where(F.col("label") == label).orderBy("h", "value").limit(most).collect()] for label, most in ((True, values), (False, plain)))
+    return docs.select("text").mapInArrow(run, "h long, value string, label boolean").distinct()
 
 
+def without_formats(plain: DataFrame) -> DataFrame:
+    """The candidates without a public format, by the automaton of these alone."""
+    public = default_automaton()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = public.tables()
+        for b in batches:
+            data, off = buffers(b.column(1))
+            passing, whole = np.ones(b.num_rows, bool), wholes(data, off[:-1], off[1:])
+            passing[whole] = public.ratios(data, off[:-1][whole], off[1:][whole], tables) >= MIN_RATIO - 1e-6
+            for k in np.flatnonzero(passing):
+                passing[k] = bool(public.spans(b.column(1)[int(k)].as_py(), MIN_RATIO))
+            yield b.filter(pa.array(~passing))
+
+    return plain.select("h", "value").mapInArrow(run, "h long, value string")
+
+
+def total(rows: DataFrame, run: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """(key, n): the counts that run gives for each batch of values, summed by key in Spark; in order of keys."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, n = run(*buffers(b.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+
+    got = rows.select("value").mapInArrow(counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    keys, n = (got.column(k).to_numpy().astype(np.int64) for k in range(2))
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def pairs_of(plain: DataFrame) -> dict[str, int]:
+    """How often each pair of neighbouring characters is in the values; ^ is the start and $ the end."""
+
+    def run(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code = CODES[data]
+        start = np.zeros(len(code) + 1, bool)
+        start[off] = True
+        before = np.where(start[:-1], 0, np.concatenate(([0], code[:-1])))
+        return np.unique(np.concatenate((before * N_CODES + code, code[off[1:] - 1] * N_CODES)), return_counts=True)
+
+    return {("^" + LETTERS)[k // N_CODES] + ("$" + LETTERS)[k % N_CODES]: int(n) for k, n in zip(*total(plain, run))}
+
+
+def ratio_steps(model: Automaton, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(step, n): how many values have a ratio from step / STEPS on; those below MIN_RATIO share a step of -1."""
+    tables = model.tables()
+
+    def run(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ratio = model.ratios(data, off[:-1], off[1:], tables)
+        return np.unique(np.where(ratio < MIN_RATIO, -1, np.floor(ratio * STEPS)).astype(np.int64), return_counts=True)
+
+    return total(rows, run)
+
+
+@dataclass
 class Learned:
     """An automaton with its background, the bound on their ratio, and what both are worth on what was held out of the fit.
 
@@ -356,20 +479,30 @@ class Learned:
     public format are no background.
     """
 
-    def __init__(self, values: list[str], plain: list[str]):
-        plain = [x for x in plain if not default_automaton().spans(x, MIN_RATIO)]
-        fit = lambda xs: [x for k, x in enumerate(xs) if k % FOLDS]
-        held = lambda xs: xs[::FOLDS]
-        self.model = Automaton(labelled() + fit(values), plain=fit(plain))
-        scores = sorted((self.model.ratio(x) for x in held(plain)), reverse=True)
-        allowed = int(FALSE_SHARE * len(scores))
-        self.min_ratio = max(MIN_RATIO, math.nextafter(scores[allowed], math.inf)) if allowed else MIN_RATIO
-        share = lambda xs: sum(self.model.ratio(x) >= self.min_ratio for x in xs) / max(1, len(xs))
-        self.recall, self.false_share = share(held(values)), share(held(plain))
+    model: Automaton
+    min_ratio: float
+    recall: float
+    false_share: float
 
 
 def learn(docs: DataFrame) -> Learned:
-    return Learned(*labelled_values(docs))
+    """Learns from all labelled values and all other candidates of the table; only counts, of a number of keys that the symbols and states bound, reach the driver."""
+    seen = materialize(examples(docs))
+    held = F.pmod("h", F.lit(FOLDS)) == 0
+    values, plain = seen.where("label"), materialize(without_formats(seen.where("NOT label")))
+    fit = materialize(values.where(~held).select("value"))
+
+    def counts(goes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return added(format_counts(goes), total(fit, lambda data, off: counted(goes, data, off)))
+
+    model = Automaton(counts, Background(pairs_of(plain.where(~held))))
+    steps, n = ratio_steps(model, plain.where(held))
+    allowed, min_ratio = int(FALSE_SHARE * n.sum()), MIN_RATIO
+    if allowed:  # the least step that no more than the allowed candidates reach
+        over = steps[(np.cumsum(n[::-1])[::-1] > allowed) & (steps >= 0)]
+        min_ratio = max(MIN_RATIO, (int(over.max()) + 1) / STEPS) if len(over) else MIN_RATIO
+    share = lambda steps, n: float(n[steps >= min_ratio * STEPS].sum() / max(1, n.sum()))
+    return Learned(model, min_ratio, share(*ratio_steps(model, values.where(held))), share(steps, n))
 
 
 def scan(docs: DataFrame, learned: Learned | None = None) -> DataFrame:
@@ -377,8 +510,8 @@ def scan(docs: DataFrame, learned: Learned | None = None) -> DataFrame:
 
     Candidates are the sub-runs, between joining characters, of runs of LEAST or more characters of credentials; the best of a run, and
     of what it leaves, that lies in no base span and reaches the bound is a span of kind format. The automaton is inferred from the
-    public formats and from the labelled values of the table itself (what the fixed patterns find), and held against a background of
-    its other candidates; both samples are bounded by documented parameters, and a fifth of them is held out to set the bound. A null
+    public formats and from all labelled values of the table itself (what the fixed patterns find), and held against a background of
+    all its other candidates; a fifth of both is held out to set the bound and to tell what they are worth. A null
     or empty text has no spans; rows are judged one by one, repeated rows alike; other columns are not used; an empty table gives no rows.
     """
     learned = learn(docs) if learned is None else learned
@@ -390,9 +523,7 @@ def scan(docs: DataFrame, learned: Learned | None = None) -> DataFrame:
         for b in batches:
             data, off = buffers(b.column(1))
             starts, ends, doc = candidates(data, off)
-            joins = np.concatenate(([0], np.cumsum(JOIN[data])))
-            # A run without a joining character is its only sub-run; runs with some are looked at one by one.
-            whole = np.flatnonzero((joins[ends] == joins[starts]) & (ends - starts <= 256))
+            whole = wholes(data, starts, ends)
             passing = np.ones(len(starts), bool)
             passing[whole] = model.ratios(data, starts[whole], ends[whole], tables) >= min_ratio - 1e-6
             at = np.flatnonzero(passing)

@@ -679,6 +679,58 @@ def test_secrets_equal_brute_force(spark):
     assert added > 30 and learned.recall >= 0.7 and sum(model.ratio(x) >= learned.min_ratio for x in plain) <= 0.005 * len(plain)
 
 
+def test_secrets_learn_from_all(spark):
+    """Counts, bound and shares against brute force over all values and candidates of a table with more of both than were once read."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    from eventloom.llm.textvec import buffers, hashes
+
+    rng = random.Random(5)
+    values = sorted({"".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(2500)} | {"".join(rng.choice("QZXW") for _ in range(rng.randint(9, 12))) for _ in range(60)})
+    plain = sorted({"".join(rng.choice(["an", "be", "co", "du", "e", "fi", "go", "hu"]) for _ in range(rng.randint(4, 8))) for _ in range(40_000)})
+    plain = [x for x in plain if len(x) >= 6]
+    assert len(values) > 2500 and len(plain) > 21_000
+    lines = [f"token={v}" for v in values] + [" ".join(plain[k : k + 50]) for k in range(0, len(plain), 50)]
+    docs = spark.createDataFrame(list(enumerate(lines + lines[-3:])), "doc_id long, text string").repartition(3)
+    learned = secret_scan.learn(docs)
+    model = learned.model
+
+    data, off = buffers(pa.array(plain))
+    h = hashes(data, off[:-1], off[1:]) >> np.uint64(1)
+    public = secret_scan.default_automaton()
+    kept = [(int(k) % secret_scan.FOLDS == 0, x) for k, x in zip(h, plain) if not public.spans(x, secret_scan.MIN_RATIO)]
+    known = [((xxhash.xxh64_intdigest(v) >> 1) % secret_scan.FOLDS == 0, v) for v in values]
+
+    steps, at = Counter(), Counter()
+    for v in secret_scan.labelled() + [v for held, v in known if not held]:
+        q, shown = 0, set()  # a value shows each pair of next characters at a state once
+        for c, after in zip([*v, ""], [*v[1:], "", ""]):
+            shown.add((q, c, after))
+            q = model.logs[q][1][c][1] if c else q
+        steps.update((q, c) for q, c, _ in shown)
+        at.update(q for q, _, _ in shown)
+    for q, (final, to) in model.logs.items():
+        assert abs(final - math.log(max(secret_scan.UNSEEN, steps[q, ""] / at[q]))) < 1e-9
+        assert {c: round(math.exp(p) * at[q]) for c, (p, _) in to.items()} == {c: n for (r, c), n in steps.items() if r == q and c}
+
+    pairs = Counter(p for held, x in kept if not held for p in map(str.__add__, "^" + x, x + "$"))
+    before = Counter()
+    for p, n in pairs.items():
+        before[p[0]] += n
+    prior, even = secret_scan.PRIOR, secret_scan.PRIOR / secret_scan.SYMBOLS
+    assert set(model.background.pairs) == set(pairs)
+    assert all(abs(model.background.pairs[p] - math.log((before[p[0]] + prior) / (n + even))) < 1e-9 for p, n in pairs.items())
+
+    share = lambda rows, bound: sum(model.ratio(x) >= bound for x in rows) / len(rows)
+    judged = [x for held, x in kept if held]
+    assert learned.false_share == share(judged, learned.min_ratio) <= secret_scan.FALSE_SHARE
+    assert learned.min_ratio == secret_scan.MIN_RATIO or share(judged, learned.min_ratio - 1 / secret_scan.STEPS) > secret_scan.FALSE_SHARE - 1 / len(judged)
+    assert learned.recall == share([v for held, v in known if held], learned.min_ratio) >= 0.9
+
+
 # op 9
 
 
